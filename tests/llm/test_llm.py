@@ -271,7 +271,7 @@ def test_decontamination(spark):
 
 # 7. HTML
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header>H</header><nav><a>menu</a></nav><script>var t="</p>";</script>
-<div class="ad">buy</div><article><h1>Head &amp; line</h1><p>One <b>two<br>three</b>&nbsp;x{0}<p>Four<div class="box">Follow us everywhere today</div><ul><li>a<li>b</ul><aside>side</aside></article><div id="comments">c</div><footer>&copy;</footer></body></html>"""
+<div class="ad">buy</div><article><h1>Head &amp; line</h1><p>One <b>two<br>three</b>&nbsp;x{0}<p>Four<div class="box">Follow us everywhere today</div><ul><li>a{0}<li>b</ul><aside>side</aside></article><div id="comments">c</div><footer>&copy;</footer></body></html>"""
 
 
 def test_html(spark):
@@ -279,8 +279,8 @@ def test_html(spark):
     got = rows(htmlmain.extract_main(spark.createDataFrame([r + ("x",) for r in data], "page_id long, url string, html string, text string")), "page_id", "text", "n_chars")
     text = {i: t for i, t, _ in got}
     assert len(got) == len(data) and all(len(t) == n for _, t, n in got)
-    assert text[3] == "Head & line One two three x3 Four a b"  # the box recurs on the pages of its host
-    assert text[12] == "Head & line One two three x9 Four Follow us everywhere today a b" and text[10] == text[11] == "" and text[13] == "plain text"
+    assert text[3] == "Head & line One two three x3 Four a3 b"  # the box recurs on the pages of its host
+    assert text[12] == "Head & line One two three x9 Four Follow us everywhere today a9 b" and text[10] == text[11] == "" and text[13] == "plain text"
     assert htmlmain.extract_main(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
