@@ -6,18 +6,19 @@
    their prefixes under any one global order, and more than one the closer their
    sizes are.  The order puts elements that very many prefixes hold last, so
    passages that many documents share don't call them together.
-3. Representatives that share their least element are partitioned into groups
-   of bounded size.  The matrix holds, for each element, the groups whose
+3. Representatives that share a sketch (their least elements and size class)
+   are partitioned into groups of bounded size.  The matrix holds, for each element, the groups whose
    union has it in a prefix.
 4. Two groups are opened only if the elements that their unions share reach the
-   least number that a link between members would need.  Opened pairs are
-   compared exactly, block against block, and give a spanning forest of links.
+   least number that a link between members would need, and if the overlap that
+   their element counts in BINS hash bins allow reaches that of a link.  Opened
+   pairs are compared exactly, block against block, and give a spanning forest
+   of links.
 5. Connected components of the links give the classes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, Scratch
+from .common import LOWER, UPPER, Scratch
 from .components import connected_components
 
 #: An element is common if more prefixes than this hold it; raised with the input so that the list of common elements stays below COMMON_LIMIT.
@@ -35,34 +36,36 @@ COMMON = 48
 COMMON_LIMIT = 2_000_000
 #: Members of a group.
 GROUP = 48
+#: Hash bins in which the elements of a set are counted for the overlap bound.
+BINS = 256
 #: How much longer than needed the prefixes are in which common elements are looked for.
 SCOUT = 1.5
 
-_WORDS = re.compile(WORD)
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
+class _Memo(dict):
+    def __missing__(self, word: bytes) -> int:
+        x = self[word] = xxhash.xxh64_intdigest(word)
+        return x
+
+
 class Shingler:
     """Sets of n-gram hashes, sorted.  A text with fewer words is one n-gram of its own kind; without words the set is empty."""
 
     def __init__(self, n: int):
-        self.n, self.seen = n, {}
+        self.n, self.seen = n, _Memo()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = _WORDS.findall((text or "").translate(ASCII_LOWER))
+        words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()  # bytes split at ASCII white space only
         if not words:
             return np.empty(0, np.uint64)
         if len(words) < self.n:
-            return np.array([xxhash.xxh64_intdigest("\x1f".join(words), 99 + len(words))], np.uint64)
-        seen = self.seen
-        if len(seen) > 500_000:
-            seen.clear()
-        h = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            x = seen.get(w)
-            if x is None:
-                x = seen[w] = xxhash.xxh64_intdigest(w)
-            h[i] = x
+            return np.array([xxhash.xxh64_intdigest(b"\x1f".join(words), 99 + len(words))], np.uint64)
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        h = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
         m = len(words) - self.n + 1
         with np.errstate(over="ignore"):
             out = np.zeros(m, np.uint64)
@@ -81,7 +84,7 @@ def prefix_length(n: int, t: Fraction) -> int:
     return n - ceil_div(n * t.numerator, t.denominator) + 1 if n else 0
 
 
-def _common_elements(docs: DataFrame, n: int, t: Fraction, text_col: str) -> np.ndarray:
+def _common_elements(docs: DataFrame, n: int, t: Fraction, text_col: str, scratch: Scratch) -> np.ndarray:
     """Elements that more than COMMON prefixes hold, by a count over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +93,7 @@ def _common_elements(docs: DataFrame, n: int, t: Fraction, text_col: str) -> np.
             parts = [s[: int(SCOUT * prefix_length(len(s), t)) + 2] for s in map(shingle, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64))], names=["e"])
 
-    counts = docs.select(text_col).mapInArrow(run, "e long").groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON)
+    counts = scratch.write(docs.select(text_col).mapInArrow(run, "e long").groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON), "common")
     found = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()  # a row per power of two
     least, total = COMMON, 0
     for r in sorted(found, reverse=True):
@@ -110,22 +113,63 @@ def _is_in(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, n: int, t: Fraction, common, id_col: str, text_col: str) -> DataFrame:
-    """id, size, digest of the set, least element, prefix under the final order."""
+    """id, size, digest of the set, sketch, prefix under the final order, counts by hash bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(n), common.value
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], []]
             for s in map(shingle, b.column(1).to_pylist()):
                 p = prefix_length(len(s), t)
                 hot = _is_in(s, last)
                 prefix = s[:p] if not hot[:p].any() else np.concatenate([s[~hot], s[hot]])[:p]
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                for c, v in zip(rows, (len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, int(s[:1].view(np.int64)[0]) if len(s) else None, prefix.view(np.int64))):
+                for c, v in zip(rows, (len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sketch(s), prefix.view(np.int64), bin_counts(s).tobytes())):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], names=["id", "n", "d1", "d2", "least", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["id", "n", "d1", "d2", "sketch", "prefix", "bins"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, sketch long, prefix array<long>, bins binary")
+
+
+def sketch(s: np.ndarray) -> int:
+    """Equal for most pairs of similar sets and few others: the three least elements and the size class."""
+    return xxhash.xxh64_intdigest(s[:3].tobytes(), int(np.log2(len(s) + 1) * 4)) - 2**63
+
+
+def bin_counts(s: np.ndarray) -> np.ndarray:
+    """Elements by hash bin; 255 stands for 255 or more."""
+    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.intp), minlength=BINS), 255).astype(np.uint8)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By row, the most elements that sets with these bin counts can share; a full bin bounds nothing."""
+    low = np.minimum(a, b)
+    return np.where((low == 255).any(axis=1), np.int64(2**62), low.sum(axis=1, dtype=np.int64))
+
+
+def _group_bins(nodes: DataFrame) -> DataFrame:
+    """g, bins: by bin the most that a member has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = [np.max([np.frombuffer(x, np.uint8) for x in m], axis=0).tobytes() for m in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(most, pa.binary())], names=["g", "bins"])
+
+    return nodes.groupBy("g").agg(F.collect_list("bins").alias("m")).mapInArrow(run, "g long, bins binary")
+
+
+def _allowed(pairs: DataFrame, bins: DataFrame) -> DataFrame:
+    """The pairs (g1, g2, overlap) whose bins allow the overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (3, 4))
+                keep = overlap_bound(left, right) >= b.column(2).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["g1", "g2"]).filter(pa.array(keep))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, least long, prefix array<long>")
+    joined = pairs.join(bins.withColumnsRenamed({"g": "g1", "bins": "b1"}), "g1").join(bins.withColumnsRenamed({"g": "g2", "bins": "b2"}), "g2")
+    return joined.select("g1", "g2", "overlap", "b1", "b2").mapInArrow(run, "g1 long, g2 long")
 
 
 def _packs(docs: DataFrame, members: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -207,19 +251,19 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     ids = docs.select(id_col)
     if repeated := _repeats(ids, id_col):
         docs = docs.groupBy(id_col).agg(F.max(text_col).alias(text_col))
-    common = spark.sparkContext.broadcast(_common_elements(docs, n, t, text_col))
+    common = spark.sparkContext.broadcast(_common_elements(docs, n, t, text_col, scratch))
     sig = scratch.write(_signatures(docs, n, t, common, id_col, text_col), "signatures")
     sets = sig.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     known = scratch.write(sig.select("id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "known")
     reps = sig.where(F.col("n") > 0).join(known.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
-    listed = reps.select("id", "n", "least", F.explode("prefix").alias("e"))
+    listed = reps.select("id", "n", "sketch", F.explode("prefix").alias("e"))
     shared = listed.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("e")
     listed = scratch.write(listed.join(shared, "e"), "matrix")
 
-    # Groups: representatives with the same least element, cut to bounded size by a hash of the id.
-    nodes = listed.select("id", "n", "least").distinct()
-    parts = nodes.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
-    nodes = nodes.join(parts, "least").select("id", "n", F.xxhash64("least", F.pmod(F.xxhash64("id"), "k")).alias("g"))
+    # Groups: representatives with the same sketch, cut to bounded size by a hash of the id.
+    nodes = listed.select("id", "n", "sketch").distinct()
+    parts = nodes.groupBy("sketch").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
+    nodes = nodes.join(parts, "sketch").select("id", "n", F.xxhash64("sketch", F.pmod(F.xxhash64("id"), "k")).alias("g"))
     nodes = scratch.write(nodes, "groups")
     sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi"))
 
@@ -230,11 +274,12 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     a = matrix.select("e", F.col("g").alias("g1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
     b = matrix.select("e", F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     fits = (F.col("g1") < F.col("g2")) & (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
-    met = a.join(b, "e").where(fits).groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("c"), F.first("lo1").alias("lo1"), F.first("lo2").alias("lo2"), F.first("hi1").alias("hi1"), F.first("hi2").alias("hi2"))
     overlap = F.ceil(num * (F.col("lo1") + F.col("lo2")) / (num + den))  # of the smallest members
     least = overlap - F.ceil(num * F.greatest("hi1", "hi2") / den) + 1
-    opened = met.where(F.col("c") >= least).select("g1", "g2")
-    opened = scratch.write(opened.unionByName(sizes.where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))), "opened")
+    met = a.join(b, "e").where(fits).select("g1", "g2", overlap.alias("overlap"), F.greatest(least, F.lit(1)).alias("need"))
+    met = met.groupBy("g1", "g2", "overlap", "need").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("need")).select("g1", "g2", "overlap")
+    bins = scratch.write(_group_bins(reps.select("id", "bins").join(nodes.select("id", "g"), "id")), "bins")
+    opened = scratch.write(_allowed(met, bins).unionByName(sizes.where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))), "opened")
 
     needed = opened.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
     members = nodes.join(needed, "g", "left_semi").select("id", "g")
