@@ -1,0 +1 @@
+"""Bitemporal context graphs as Spark DataFrames."""
