@@ -84,7 +84,7 @@ query("get_entity", f"WITH {N_SQL} SELECT {_EC} FROM ent WHERE id = 't1:g1:PERSO
 def _merge(s, d):
     p = people(s, d)
     user = F.regexp_extract("id", r"user-(\d+)$", 1)
-    dup = p.where((F.col("entity_type") == "PERSON") & (user.cast("long") % 42 == 21)).select(F.col("id").alias("dup"), F.regexp_replace("id", r"user-\d+$", F.concat(F.lit("user-"), user.cast("long") - 21)).alias("primary"))
+    dup = p.where((F.col("entity_type") == "PERSON") & (user.try_cast("long") % 42 == 21)).select(F.col("id").alias("dup"), F.regexp_replace("id", r"user-\d+$", F.concat(F.lit("user-"), user.try_cast("long") - 21)).alias("primary"))
     return E.merge(p, edges(s, d), dup)[1].select("seq", "source_id", "target_id", "redirected")
 
 
