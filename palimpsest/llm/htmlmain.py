@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
 from .urlfilter import split_url
 
 # Elements that are content of their own even if they recur: paragraphs and headings of an article, and what spans the page.
@@ -184,7 +185,7 @@ def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
             main = [xxhash.xxh64_intdigest(main_text(r)) - 2**63 for r in roots]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([split_url(u)[0] for u in b.column(1).to_pylist()], pa.string()), pa.array(main, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["_id", "_host", "_main", "_hashes"])
 
-    hashed = pages.select("_id", url_col, html_col).mapInArrow(run, "_id long, _host string, _main long, _hashes array<long>")
+    hashed = Scratch(pages.sparkSession).write(pages.select("_id", url_col, html_col).mapInArrow(run, "_id long, _host string, _main long, _hashes array<long>"), "hashed")
     # Pages of one host with equal main texts count once: their common parts are no template but copies.
     per_host = hashed.select("_host", "_main").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     nodes = hashed.select("_id", "_host", "_main", F.explode("_hashes").alias("_hash"))
