@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import Scratch
+
 #: A run of repeated units goes if it has at least so many words.
 MIN_RUN_WORDS = 25
 
@@ -60,6 +62,8 @@ def repeated_spans(docs: DataFrame, *, min_run_words: int = MIN_RUN_WORDS, id_co
     all_units = unit_table(docs, id_col=id_col, text_col=text_col)
     shared = all_units.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "_k")).alias("_first")).where(F.col("_n") > 1)
     shared = shared.select("_h1", "_h2", F.col("_first._id").alias("_kept"), F.col("_first._k").alias("_kept_k"))
+    # Written, so that both sides of the join come from plain shuffles and a digest that very many units have can be split.
+    shared = Scratch(docs.sparkSession).write(shared, "shared")
     later = all_units.join(shared, ["_h1", "_h2"]).where((F.col("_id") != F.col("_kept")) | (F.col("_k") != F.col("_kept_k")))
     later = later.select("_id", "_k", "_start", "_end", "_words", "_kept").dropDuplicates(["_id", "_k"])
     island = F.col("_k") - F.row_number().over(W.partitionBy("_id").orderBy("_k"))
