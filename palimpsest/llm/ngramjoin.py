@@ -254,6 +254,7 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     common = spark.sparkContext.broadcast(_common_elements(docs, n, t, text_col, scratch))
     sig = scratch.write(_signatures(docs, n, t, common, id_col, text_col), "signatures")
     sets = sig.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    sets = scratch.write(sets, "sets")  # so that the join below can split a set that very many texts have
     known = scratch.write(sig.select("id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "known")
     reps = sig.where(F.col("n") > 0).join(known.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
     listed = reps.select("id", "n", "sketch", F.explode("prefix").alias("e"))
