@@ -26,9 +26,10 @@ def resolve(assertions: DataFrame, *, mode: str = "code", prior: DataFrame | Non
     resolved rows; those it closes are returned again.  One shuffle on the
     source serves both windows.
     """
-    rows = assertions.withColumn("_v0", F.lit(0))
-    if prior is not None:
-        rows = rows.unionByName(prior.select(*[c for c in assertions.columns], F.col("version").alias("_v0")))
+    never = F.lit(None).cast("timestamp_ntz")
+    rows = assertions.withColumn("_v0", F.lit(0).cast("long")).withColumn("_to", never).withColumn("_known", never)
+    if prior is not None:  # what ended before keeps its end
+        rows = rows.unionByName(prior.select(*assertions.columns, F.col("version").alias("_v0"), F.col("valid_to").alias("_to"), F.col("recorded_to").alias("_known")))
     rows = rows.withColumn("_class", edge_class(F.col("rel_type"))).repartition(*KEYS)
     by_class = W.partitionBy(*KEYS, "_class").orderBy("seq")
     by_type = W.partitionBy(*KEYS, "rel_type").orderBy("seq")
@@ -39,8 +40,8 @@ def resolve(assertions: DataFrame, *, mode: str = "code", prior: DataFrame | Non
     fresh = F.sum((F.col("_v0") == 0).cast("long")).over(by_type.rowsBetween(W.unboundedPreceding, 0))
     return (
         rows.withColumn("version", F.when(closing, base + fresh).otherwise(F.lit(1)).cast("long"))
-        .withColumn("valid_to", F.when(closing, end)).withColumn("recorded_to", F.when(closing, known))
-        .withColumn("conflicts", F.when(closing & F.lag("seq").over(by_class).isNotNull(), 1).otherwise(0).cast("long")).drop("_class", "_v0")
+        .withColumn("valid_to", F.coalesce("_to", F.when(closing, end))).withColumn("recorded_to", F.coalesce("_known", F.when(closing, known)))
+        .withColumn("conflicts", F.when(closing & F.lag("seq").over(by_class).isNotNull(), 1).otherwise(0).cast("long")).drop("_class", "_v0", "_to", "_known")
     )
 
 
