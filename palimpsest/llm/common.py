@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,17 @@ class Scratch:
             pass
 
 
+#: Rows whose texts a Python worker holds at a time.
+PIECE_ROWS = 256
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into slices (no copies), so that the words of a whole batch are never in memory together."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether df has at most ``limit`` rows; looks at no more than limit + 1."""
     return df.limit(limit + 1).count() <= limit

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, pieces
 from .urlfilter import split_url
 
 # Elements that are content of their own even if they recur: paragraphs and headings of an article, and what spans the page.
@@ -179,7 +179,7 @@ def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
     """(host, hash) of the template subtrees, and the subtrees of each page: id, host, hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             roots = [parse(h) for h in b.column(2).to_pylist()]
             found = [sorted(hash_subtrees(r)) for r in roots]
             main = [xxhash.xxh64_intdigest(main_text(r)) - 2**63 for r in roots]
@@ -205,7 +205,7 @@ def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     hits = nodes.join(templates, ["_host", "_hash"]).groupBy("_id").agg(F.collect_set("_hash").alias("_drop"))  # no more than a page's elements
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = []
             for h, drop in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 root = parse(h)

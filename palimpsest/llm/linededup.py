@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch
+from .common import Scratch, pieces
 
 #: A run of repeated units goes if it has at least so many words.
 MIN_RUN_WORDS = 25
@@ -40,7 +40,7 @@ def _signed(x: int) -> int:
 
 def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             cols: list[list] = [[] for _ in range(7)]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k, (a, z, n, normal) in enumerate(units(t)):
@@ -91,7 +91,7 @@ def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", t
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = pa.array([cut(t, g) for t, g in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist())], b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([texts if i == place else b.column(i) for i in range(b.num_columns - 1)], names=b.schema.names[:-1])
 

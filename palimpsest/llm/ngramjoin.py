@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch
+from .common import LOWER, UPPER, Scratch, pieces
 from .components import connected_components
 
 #: An element is common if more prefixes than this hold it; raised with the input so that the list of common elements stays below COMMON_LIMIT.
@@ -63,7 +63,7 @@ class Shingler:
             return np.empty(0, np.uint64)
         if len(words) < self.n:
             return np.array([xxhash.xxh64_intdigest(b"\x1f".join(words), 99 + len(words))], np.uint64)
-        if len(self.seen) > 500_000:
+        if len(self.seen) > 200_000:
             self.seen.clear()
         h = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
         m = len(words) - self.n + 1
@@ -89,7 +89,7 @@ def _common_elements(docs: DataFrame, n: int, t: Fraction, text_col: str, scratc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
-        for b in batches:
+        for b in pieces(batches):
             parts = [s[: int(SCOUT * prefix_length(len(s), t)) + 2] for s in map(shingle, b.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64))], names=["e"])
 
@@ -117,7 +117,7 @@ def _signatures(docs: DataFrame, n: int, t: Fraction, common, id_col: str, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, last = Shingler(n), common.value
-        for b in batches:
+        for b in pieces(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for s in map(shingle, b.column(1).to_pylist()):
                 p = prefix_length(len(s), t)
@@ -151,7 +151,7 @@ def _group_bins(nodes: DataFrame) -> DataFrame:
     """g, bins: by bin the most that a member has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             most = [np.max([np.frombuffer(x, np.uint8) for x in m], axis=0).tobytes() for m in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(most, pa.binary())], names=["g", "bins"])
 
@@ -162,7 +162,7 @@ def _allowed(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     """The pairs (g1, g2, overlap) whose bins allow the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             if b.num_rows:
                 left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (3, 4))
                 keep = overlap_bound(left, right) >= b.column(2).to_numpy()
@@ -177,7 +177,7 @@ def _packs(docs: DataFrame, members: DataFrame, n: int, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingle(x).tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["g", "id", "set"])
 
@@ -211,7 +211,7 @@ def _links(pairs: DataFrame, packs: DataFrame, t: Fraction) -> DataFrame:
     """Exact links inside the opened pairs of groups (g1 <= g2): a spanning forest of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out: list[tuple[int, int]] = []
             for left, right in zip(b.column(0), b.column(1)):
                 x, y = ([(r["id"], np.frombuffer(r["set"], np.uint64)) for r in side.as_py()] for side in (left, right if right.is_valid else left))

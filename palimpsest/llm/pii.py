@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Added by the method: bank accounts (check digits valid), secrets after a cue, and log-ins inside URLs.
 EXTRA_KINDS = ("account", "login", "secret")
@@ -144,7 +146,7 @@ def detect_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton()
-        for b in batches:
+        for b in pieces(batches):
             found = [find_spans(t, auto) for t in b.column(1).to_pylist()]
             counts = [pa.array([len(f[k]) for f in found], pa.int64()) for k in BASE_KINDS]
             digests = pa.array([hashlib.sha256(joined(f, BASE_KINDS).encode()).hexdigest() for f in found], pa.string())
@@ -160,7 +162,7 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = automaton()
-        for b in batches:
+        for b in pieces(batches):
             texts = pa.array([redact(t, find_spans(t, auto)) for t in b.column(place).to_pylist()], b.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([texts if i == place else b.column(i) for i in range(b.num_columns)], schema=b.schema)
 

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import pieces
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 CACHE = 400_000
@@ -86,7 +88,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, *, limit: int = LIMIT, id_
         import public_tokenizers
 
         counter = PieceCounter(model if os.path.isabs(model) else public_tokenizers.path(model))
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(1).to_pylist()
             n = [counter.count(t) for t in texts]
             size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]

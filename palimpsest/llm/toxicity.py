@@ -22,11 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, pieces
+
 #: The most labelled rows that the lexicon is fitted on, chosen by hash.
 SAMPLE_ROWS = 20_000
 #: The most candidate entries that are weighed on the driver.
 CANDIDATES = 1_500
 SHORTEST, LONGEST = 3, 9
+#: Entries that a worker counts before it hands the counts on.
+HELD_ENTRIES = 100_000
 #: Evidence (G statistic) that an entry must bring beyond the entries before it.
 EVIDENCE = 14.0
 THRESHOLD = 0.5
@@ -129,12 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").where(F.col("_text").isNotNull()).select("_y", "_text")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             words = [folded_words(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_sketch(w) for w in words], pa.int64())], names=["_y", "_text", "sketch"])
 
-    from .common import Scratch
-
     scratch = Scratch(docs.sparkSession)
     sample = scratch.write(rows.mapInArrow(sketches, "_y int, _text string, sketch long").dropDuplicates(["sketch", "_y"]), "sample")
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
@@ -144,14 +146,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
-        for b in batches:
+
+        def counts() -> pa.RecordBatch:
+            names = list(toxic.keys() | clean.keys())
+            found = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([clean[k] for k in names], pa.int64())], names=["entry", "a", "b"])
+            toxic.clear()
+            clean.clear()
+            return found
+
+        for b in pieces(batches):
             for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 (toxic if y == 1 else clean).update(entries_of(folded_words(t)))
-        names = list(toxic)  # what no toxic row of this task holds is of no use as an entry, but counts against
-        names += [k for k in clean if k not in toxic]
-        for i in range(0, len(names), 100_000):
-            part = names[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], names=["entry", "a", "b"])
+            if len(toxic) + len(clean) > HELD_ENTRIES:
+                yield counts()
+        yield counts()
 
     counted = sample.mapInArrow(entries, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # Three toxic rows at least, and at least four times as frequent among them as among the others.
@@ -163,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     place = {k: i for i, k in enumerate(names)}
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             words = [folded_words(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(place[e] for e in entries_of(w) if e in place) for w in words], pa.list_(pa.int32()))], names=["y", "n", "found"])
 
@@ -223,7 +231,7 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for b in batches:
+        for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([lexicon.score(t, matcher) for t in b.column(1).to_pylist()], pa.float64())], names=[id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -247,7 +255,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for b in batches:
+        for b in pieces(batches):
             yield b.filter(pa.array([lexicon.score(t, matcher) < THRESHOLD for t in b.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

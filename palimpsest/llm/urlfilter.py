@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER
+from .common import ASCII_LOWER, pieces
 
 # The rules of the contract, and the words of the default patterns.
 HOST_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -113,7 +113,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, *, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RuleIndex(rules, counts)
-        for b in batches:
+        for b in pieces(batches):
             got = [index.judge(u) for u in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.string()) for k in range(4))], names=[id_col, "host", "path", "rule", "verdict"])
 
