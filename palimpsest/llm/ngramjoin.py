@@ -14,7 +14,11 @@
    their element counts in BINS hash bins allow reaches that of a link.  Opened
    pairs are compared exactly, block against block, and give a spanning forest
    of links.
-5. Connected components of the links give the classes.
+5. Groups that share a widespread element are first compared with one of them.
+   Groups that these links put into one class are no longer paired with each
+   other, so a large class of near copies costs no pair for each two groups.
+   All other pairs follow.
+6. Connected components of the links give the classes.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, Scratch, pieces
@@ -36,6 +40,8 @@ COMMON = 48
 COMMON_LIMIT = 2_000_000
 #: Members of a group.
 GROUP = 48
+#: An element in more groups than this is widespread: its groups are first compared with one of them.
+SPREAD = 8
 #: Hash bins in which the elements of a set are counted for the overlap bound.
 BINS = 256
 #: How much longer than needed the prefixes are in which common elements are looked for.
@@ -238,6 +244,30 @@ def _links(pairs: DataFrame, packs: DataFrame, t: Fraction) -> DataFrame:
     return other.unionByName(same).mapInArrow(run, "a long, b long")
 
 
+def _side(matrix: DataFrame, k: int) -> DataFrame:
+    """The matrix with a number at the end of all names but the element's."""
+    return matrix.withColumnsRenamed({c: f"{c}{k}" for c in matrix.columns if c != "e"})
+
+
+def _fits(t: Fraction) -> Column:
+    """Whether members of the sides 1 and 2 may be close enough in size."""
+    num, den = F.lit(t.numerator), F.lit(t.denominator)
+    return (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
+
+
+def _met_often(met: DataFrame, t: Fraction) -> DataFrame:
+    """g1, g2, overlap of the pairs (a row per shared element) that share as many elements as a link would need."""
+    num, den = F.lit(t.numerator), F.lit(t.denominator)
+    overlap = F.ceil(num * (F.col("lo1") + F.col("lo2")) / (num + den))  # of the smallest members
+    need = F.greatest(overlap - F.ceil(num * F.greatest("hi1", "hi2") / den) + 1, F.lit(1))
+    pairs = met.where(_fits(t)).select("g1", "g2", overlap.alias("overlap"), need.alias("need"))
+    return pairs.groupBy("g1", "g2", "overlap", "need").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("need")).select("g1", "g2", "overlap")
+
+
+def _members(nodes: DataFrame, opened: DataFrame) -> DataFrame:
+    return nodes.join(opened.select(F.explode(F.array("g1", "g2")).alias("g")).distinct(), "g", "left_semi").select("id", "g")
+
+
 def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id that links of likeness >= threshold reach).
 
@@ -271,22 +301,27 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     # Element-group matrix, and the pairs of groups that share elements.  The size bound is applied inside the join.
     matrix = listed.select("e", "id").join(nodes.select("id", "g"), "id").select("e", "g").distinct().join(sizes.select("g", "lo", "hi"), "g")
     matrix = scratch.write(matrix, "unions")
-    num, den = F.lit(t.numerator), F.lit(t.denominator)
-    a = matrix.select("e", F.col("g").alias("g1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
-    b = matrix.select("e", F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    fits = (F.col("g1") < F.col("g2")) & (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
-    overlap = F.ceil(num * (F.col("lo1") + F.col("lo2")) / (num + den))  # of the smallest members
-    least = overlap - F.ceil(num * F.greatest("hi1", "hi2") / den) + 1
-    met = a.join(b, "e").where(fits).select("g1", "g2", overlap.alias("overlap"), F.greatest(least, F.lit(1)).alias("need"))
-    met = met.groupBy("g1", "g2", "overlap", "need").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("need")).select("g1", "g2", "overlap")
     bins = scratch.write(_group_bins(reps.select("id", "bins").join(nodes.select("id", "g"), "id")), "bins")
-    opened = scratch.write(_allowed(met, bins).unionByName(sizes.where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))), "opened")
 
-    needed = opened.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
-    members = nodes.join(needed, "g", "left_semi").select("id", "g")
-    packs = scratch.write(_packs(docs, members, n, id_col, text_col), "packs")
-    links = _links(opened, packs, t)
+    # First only inside groups, and between the groups of a widespread element and the first of them.
+    spread = matrix.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("g", "lo", "hi")).alias("first")).where(F.col("c") > SPREAD)
+    met = matrix.join(spread.select("e", "first"), "e").where(F.col("g") != F.col("first.g"))
+    met = met.select("e", F.col("first.g").alias("g1"), F.col("first.lo").alias("lo1"), F.col("first.hi").alias("hi1"), F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    within = sizes.where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))
+    opened = scratch.write(_allowed(_met_often(met, t), bins).unionByName(within), "opened")
+    links = scratch.write(_links(opened, scratch.write(_packs(docs, _members(nodes, opened), n, id_col, text_col), "packs"), t), "links")
     classes = connected_components(links, scratch)
+
+    # Then exactly between all groups but those known to lie in one class, which count as one for each element.
+    owner = nodes.select("id", "g").join(classes, "id", "left").groupBy("g").agg(F.min(F.coalesce("component", "id")).alias("least"), F.max(F.coalesce("component", "id")).alias("most"))
+    label = F.struct((F.col("least") != F.col("most")).alias("mixed"), F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("g")).alias("of"))
+    matrix = scratch.write(matrix.join(owner.select("g", label.alias("label")), "g"), "labelled")
+    whole = matrix.groupBy("e", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    both = _side(whole, 1).join(_side(whole, 2), "e").where((F.col("label1") < F.col("label2")) & _fits(t)).select("e", "label1", "label2")
+    met = both.join(_side(matrix, 1), ["e", "label1"]).join(_side(matrix, 2), ["e", "label2"]).where(_fits(t))
+    opened = scratch.write(_allowed(_met_often(met, t), bins), "opened-2")
+    more = _links(opened, scratch.write(_packs(docs, _members(nodes, opened), n, id_col, text_col), "packs-2"), t)
+    classes = connected_components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "cc-2")
     out = known.join(classes.withColumnsRenamed({"id": "rep"}), "rep", "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     return ids.withColumnRenamed(id_col, "_id").join(out, F.col("_id").eqNullSafe(F.col(id_col))).drop("_id") if repeated else out
