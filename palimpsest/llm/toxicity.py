@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_sketch(w) for w in words], pa.int64())], names=["_y", "_text", "sketch"])
 
     scratch = Scratch(docs.sparkSession)
-    sample = scratch.write(rows.mapInArrow(sketches, "_y int, _text string, sketch long").dropDuplicates(["sketch", "_y"]), "sample")
+    sample = scratch.write(rows.mapInArrow(sketches, "_y int, _text string, sketch long").groupBy("sketch", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text", "sketch"), "sample")
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     na, nb = sizes.get(1, 0), sizes.get(0, 0)
     if not na or not nb:
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(place[e] for e in entries_of(w) if e in place) for w in words], pa.list_(pa.int32()))], names=["y", "n", "found"])
 
     got = sample.mapInArrow(present, "y int, n long, found array<int>").collect()  # at most sample_rows short rows
+    got.sort(key=lambda r: (r["y"], r["n"], r["found"]))  # sums of floats then don't depend on the order of tasks
     scratch.drop("sample")
     y = np.array([r["y"] for r in got])
     has = np.zeros((len(got), len(names)), dtype=bool)
