@@ -249,19 +249,28 @@ def _side(matrix: DataFrame, k: int) -> DataFrame:
     return matrix.withColumnsRenamed({c: f"{c}{k}" for c in matrix.columns if c != "e"})
 
 
+def _rest(n: Column, pos: Column, t: Fraction) -> Column:
+    """What the elements from a place (from 0) on can give to an overlap.
+
+    Sets of n and m elements need (n + m) * t / (1 + t) in common.  Of the first
+    element that they share at most n - pos can follow or be it, so the place
+    allows a link only if this number reaches m * numerator, on both sides.
+    """
+    return n * t.denominator - pos * (t.numerator + t.denominator)
+
+
 def _fits(t: Fraction) -> Column:
-    """Whether members of the sides 1 and 2 may be close enough in size."""
+    """Whether members of the sides 1 and 2 may be close enough in size, and e early enough in both to be the first element that they share."""
     num, den = F.lit(t.numerator), F.lit(t.denominator)
-    return (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
+    near = (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
+    return near & (F.col("rest1") >= F.col("lo2") * num) & (F.col("rest2") >= F.col("lo1") * num)
 
 
-def _met_often(met: DataFrame, t: Fraction) -> DataFrame:
-    """g1, g2, overlap of the pairs (a row per shared element) that share as many elements as a link would need."""
+def _met(met: DataFrame, t: Fraction) -> DataFrame:
+    """g1, g2 and the overlap that their smallest members would need, of the pairs (a row per shared element) that some element allows."""
     num, den = F.lit(t.numerator), F.lit(t.denominator)
-    overlap = F.ceil(num * (F.col("lo1") + F.col("lo2")) / (num + den))  # of the smallest members
-    need = F.greatest(overlap - F.ceil(num * F.greatest("hi1", "hi2") / den) + 1, F.lit(1))
-    pairs = met.where(_fits(t)).select("g1", "g2", overlap.alias("overlap"), need.alias("need"))
-    return pairs.groupBy("g1", "g2", "overlap", "need").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.col("need")).select("g1", "g2", "overlap")
+    overlap = F.ceil(num * (F.col("lo1") + F.col("lo2")) / (num + den))
+    return met.where(_fits(t)).select("g1", "g2", overlap.alias("overlap")).distinct()
 
 
 def _members(nodes: DataFrame, opened: DataFrame) -> DataFrame:
@@ -287,7 +296,8 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     sets = scratch.write(sets, "sets")  # so that the join below can split a set that very many texts have
     known = scratch.write(sig.select("id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "known")
     reps = sig.where(F.col("n") > 0).join(known.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
-    listed = reps.select("id", "n", "sketch", F.explode("prefix").alias("e"))
+    listed = reps.select("id", "n", "sketch", F.posexplode("prefix").alias("pos", "e"))
+    listed = listed.select("id", "n", "sketch", "e", _rest(F.col("n"), F.col("pos"), t).alias("rest"))
     shared = listed.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("e")
     listed = scratch.write(listed.join(shared, "e"), "matrix")
 
@@ -299,16 +309,16 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi"))
 
     # Element-group matrix, and the pairs of groups that share elements.  The size bound is applied inside the join.
-    matrix = listed.select("e", "id").join(nodes.select("id", "g"), "id").select("e", "g").distinct().join(sizes.select("g", "lo", "hi"), "g")
+    matrix = listed.select("e", "id", "rest").join(nodes.select("id", "g"), "id").groupBy("e", "g").agg(F.max("rest").alias("rest")).join(sizes.select("g", "lo", "hi"), "g")
     matrix = scratch.write(matrix, "unions")
     bins = scratch.write(_group_bins(reps.select("id", "bins").join(nodes.select("id", "g"), "id")), "bins")
 
     # First only inside groups, and between the groups of a widespread element and the first of them.
-    spread = matrix.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("g", "lo", "hi")).alias("first")).where(F.col("c") > SPREAD)
+    spread = matrix.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("g", "lo", "hi", "rest")).alias("first")).where(F.col("c") > SPREAD)
     met = matrix.join(spread.select("e", "first"), "e").where(F.col("g") != F.col("first.g"))
-    met = met.select("e", F.col("first.g").alias("g1"), F.col("first.lo").alias("lo1"), F.col("first.hi").alias("hi1"), F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = met.select("e", F.col("first.g").alias("g1"), F.col("first.lo").alias("lo1"), F.col("first.hi").alias("hi1"), F.col("first.rest").alias("rest1"), F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
     within = sizes.where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    opened = scratch.write(_allowed(_met_often(met, t), bins).unionByName(within), "opened")
+    opened = scratch.write(_allowed(_met(met, t), bins).unionByName(within), "opened")
     links = scratch.write(_links(opened, scratch.write(_packs(docs, _members(nodes, opened), n, id_col, text_col), "packs"), t), "links")
     classes = connected_components(links, scratch)
 
@@ -316,10 +326,10 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     owner = nodes.select("id", "g").join(classes, "id", "left").groupBy("g").agg(F.min(F.coalesce("component", "id")).alias("least"), F.max(F.coalesce("component", "id")).alias("most"))
     label = F.struct((F.col("least") != F.col("most")).alias("mixed"), F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("g")).alias("of"))
     matrix = scratch.write(matrix.join(owner.select("g", label.alias("label")), "g"), "labelled")
-    whole = matrix.groupBy("e", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    whole = matrix.groupBy("e", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"))
     both = _side(whole, 1).join(_side(whole, 2), "e").where((F.col("label1") < F.col("label2")) & _fits(t)).select("e", "label1", "label2")
     met = both.join(_side(matrix, 1), ["e", "label1"]).join(_side(matrix, 2), ["e", "label2"]).where(_fits(t))
-    opened = scratch.write(_allowed(_met_often(met, t), bins), "opened-2")
+    opened = scratch.write(_allowed(_met(met, t), bins), "opened-2")
     more = _links(opened, scratch.write(_packs(docs, _members(nodes, opened), n, id_col, text_col), "packs-2"), t)
     classes = connected_components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "cc-2")
     out = known.join(classes.withColumnsRenamed({"id": "rep"}), "rep", "left")
