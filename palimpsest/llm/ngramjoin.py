@@ -3,15 +3,15 @@
 1. Each text becomes the set of its word n-grams (64-bit hashes).  Texts with
    equal sets fall together; one representative goes on.
 2. Two sets whose Jaccard likeness reaches the threshold share an element of
-   their prefixes under any one global order, and more than one the closer their
-   sizes are.  The order puts elements that very many prefixes hold last, so
+   their prefixes under any one global order, and the first one that they share
+   stands the earlier in both the closer their sizes are.  The order puts elements that very many prefixes hold last, so
    passages that many documents share don't call them together.
 3. Representatives that share a sketch (their least elements and size class)
    are partitioned into groups of bounded size.  The matrix holds, for each element, the groups whose
    union has it in a prefix.
-4. Two groups are opened only if the elements that their unions share reach the
-   least number that a link between members would need, and if the overlap that
-   their element counts in BINS hash bins allow reaches that of a link.  Opened
+4. Two groups are opened only if an element that their unions share stands early
+   enough in members of both to be the first that a link shares, and if the overlap
+   that their element counts in BINS hash bins allow reaches that of a link.  Opened
    pairs are compared exactly, block against block, and give a spanning forest
    of links.
 5. Groups that share a widespread element are first compared with one of them.
@@ -267,10 +267,10 @@ def _fits(t: Fraction) -> Column:
 
 
 def _met(met: DataFrame, t: Fraction) -> DataFrame:
-    """g1, g2 and the overlap that their smallest members would need, of the pairs (a row per shared element) that some element allows."""
+    """g1, g2 and the least overlap that a link would need, of the pairs (a row per shared element) that some element allows."""
     num, den = F.lit(t.numerator), F.lit(t.denominator)
     overlap = F.ceil(num * (F.col("lo1") + F.col("lo2")) / (num + den))
-    return met.where(_fits(t)).select("g1", "g2", overlap.alias("overlap")).distinct()
+    return met.where(_fits(t)).groupBy("g1", "g2").agg(F.min(overlap).alias("overlap"))
 
 
 def _members(nodes: DataFrame, opened: DataFrame) -> DataFrame:
@@ -306,10 +306,11 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     parts = nodes.groupBy("sketch").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
     nodes = nodes.join(parts, "sketch").select("id", "n", F.xxhash64("sketch", F.pmod(F.xxhash64("id"), "k")).alias("g"))
     nodes = scratch.write(nodes, "groups")
-    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
 
-    # Element-group matrix, and the pairs of groups that share elements.  The size bound is applied inside the join.
-    matrix = listed.select("e", "id", "rest").join(nodes.select("id", "g"), "id").groupBy("e", "g").agg(F.max("rest").alias("rest")).join(sizes.select("g", "lo", "hi"), "g")
+    # Element-group matrix: the least and the greatest of the members that have the element in a prefix, and the most that its place leaves.
+    # The bounds are applied inside the joins.
+    matrix = listed.select("e", "id", "n", "rest").join(nodes.select("id", "g"), "id").groupBy("e", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
     matrix = scratch.write(matrix, "unions")
     bins = scratch.write(_group_bins(reps.select("id", "bins").join(nodes.select("id", "g"), "id")), "bins")
 
