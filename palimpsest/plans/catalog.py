@@ -71,6 +71,9 @@ query("snap_confidence", f"WITH {A_SQL}, l AS (SELECT * FROM (VALUES (0, 1.0::DO
     lambda s, d: FX.assertions(s, d).select("seq", "confidence", S.snap_confidence(F.col("confidence")).alias("snapped")))
 query("normalize_names", r"SELECT c_custkey AS id, regexp_replace(trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', '-', 'g') AS norm FROM customer UNION ALL SELECT -1 - doc_id, regexp_replace(trim(regexp_replace(lower(replace(left(text, 40), chr(10), ' ')), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', '-', 'g') FROM documents")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), S.normalize_name(F.col("c_name")).alias("norm")).union(table(s, d, "documents").select(-1 - F.col("doc_id"), S.normalize_name(F.translate(F.substring("text", 1, 40), "\n", " ")))))
+# Whole names and texts; no SQL, since DuckDB's white space and trim are ASCII only.
+query("normalize_texts")(
+    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), S.normalize_name(F.col("c_name")).alias("norm")).union(table(s, d, "documents").select(-1 - F.col("doc_id"), S.normalize_name(F.col("text")))))
 ENT = ["id", "tenant_id", "entity_type", "canonical_name", "conversation_id", "created_at", "last_mentioned"]
 _EC = ", ".join(f"ent.{c}" for c in ENT)
 query("upsert_entities", f"WITH {N_SQL} SELECT {_EC}, array_to_string(al.aliases, '|') AS aliases, ent.n_messages FROM ent JOIN al USING (id)")(
