@@ -150,13 +150,15 @@ query("as_of_join", f"WITH {R_SQL}, {_P} SELECT pb.source_id, pb.probe_at, r.seq
 query("as_of_anti", f"WITH {R_SQL}, {_P} SELECT pb.source_id, pb.probe_at FROM pb WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rel_type = 'prefers' AND r.source_id = pb.source_id AND r.valid_from <= pb.probe_at AND (r.valid_to IS NULL OR r.valid_to > pb.probe_at))")(lambda s, d: T.as_of_join(_probes(s, d), edges(s, d).where(F.col("rel_type") == "prefers"), on=["source_id"], at="probe_at", how="left_anti"))
 
 
-def _keyless(s, d):
-    probes = table(s, d, "events").where(F.col("event_id") % 500 == 0).select(F.col("event_id").alias("probe"), F.col("ts").alias("at"))
-    hit = T.as_of_join(probes, edges(s, d).where(F.col("rel_type").isin("prefers", "avoids")), unit="DAY")
+def _keyless(s, d, probes=None):
+    probes = table(s, d, "events").where(F.col("event_id") % 500 == 0) if probes is None else probes
+    hit = T.as_of_join(probes.select(F.col("event_id").alias("probe"), F.col("ts").alias("at")), edges(s, d).where(F.col("rel_type").isin("prefers", "avoids")), unit="DAY")
     return hit.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
 query("as_of_join_keyless", f"WITH {R_SQL} SELECT e.event_id AS probe, count(*) AS n, min(r.seq) AS first_seq FROM events e JOIN r ON r.rel_type IN ('prefers', 'avoids') AND r.valid_from <= e.ts AND (r.valid_to IS NULL OR r.valid_to > e.ts) WHERE e.event_id % 500 = 0 GROUP BY e.event_id")(_keyless)
+# Every event probes.
+query("as_of_join_keyless_all", f"WITH {R_SQL} SELECT e.event_id AS probe, count(*) AS n, min(r.seq) AS first_seq FROM events e JOIN r ON r.rel_type IN ('prefers', 'avoids') AND r.valid_from <= e.ts AND (r.valid_to IS NULL OR r.valid_to > e.ts) GROUP BY e.event_id")(lambda s, d: _keyless(s, d, table(s, d, "events")))
 query("version_max", f"WITH {R_SQL} SELECT source_id, rel_type, max(version) AS max_version FROM r GROUP BY ALL")(lambda s, d: R.version_max(edges(s, d)))
 
 

@@ -1,5 +1,7 @@
 """Queries over all rows and whole texts, against brute force on small fixtures."""
 
+import datetime as dt
+import random
 import re
 import unicodedata
 
@@ -18,3 +20,21 @@ def test_normalize_texts_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "Customer#000000001")], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["id"]: r["norm"] for r in catalog.QUERIES["normalize_texts"](spark, str(tmp_path)).collect()}
     assert got == {1: "customer000000001"} | {-1 - i: t and norm(t) for i, t in enumerate(texts)}
+
+
+def test_as_of_join_keyless_all_probes_every_event(spark, tmp_path):
+    rng = random.Random(3)
+    kinds = ["purchase", "error", "click", "view", "signup"]
+    start = dt.datetime(2024, 1, 1)
+    data = [(i, rng.randint(0, 5), rng.choice(kinds), start + dt.timedelta(hours=rng.randint(0, 900)), '{"k": "v"}') for i in range(1, 150)]
+    spark.createDataFrame(data, "event_id long, user_id long, event_type string, ts timestamp_ntz, props string").write.parquet(f"{tmp_path}/events.parquet")
+    live = []
+    for user in range(6):
+        mine = sorted((i, at) for i, u, kind, at, _ in data if u == user and kind in ("purchase", "error"))
+        live += [(i, at, mine[k + 1][1] if k + 1 < len(mine) else dt.datetime.max) for k, (i, at) in enumerate(mine)]
+    want = {}
+    for i, _, _, now, _ in data:
+        if hits := [seq for seq, a, b in live if a <= now < b]:
+            want[i] = (len(hits), min(hits))
+    got = {r["probe"]: (r["n"], r["first_seq"]) for r in catalog.QUERIES["as_of_join_keyless_all"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 100
