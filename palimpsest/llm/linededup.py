@@ -2,7 +2,7 @@
 
 Lines are cut into sentences; each unit is normalised and hashed, digests are
 grouped over all documents, the earliest occurrence (by document id, then
-place) stays, and runs of later ones go.  Offsets refer to the original text.
+place) stays, and later ones go, neighbours as one span.  Offsets refer to the original text.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, pieces
 
-#: A run of repeated units goes if it has at least so many words.
-MIN_RUN_WORDS = 25
+#: A later unit of so many words always goes; a shorter one only next to other repeated units, with so many words together.
+MIN_UNIT_WORDS = 3
 
 _UNIT = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _FILLER = re.compile(r"[\W_]+")
@@ -53,9 +53,11 @@ def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return docs.select(ids, text_col).mapInArrow(run, "_id long, _k int, _start int, _end int, _words int, _h1 long, _h2 long")
 
 
-def repeated_spans(docs: DataFrame, *, min_run_words: int = MIN_RUN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, *, min_unit_words: int = MIN_UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per span to remove: id, span_start, span_end, n_units, n_words, kept_id (where its first unit stays).
 
+    Every later occurrence of a unit goes, but for one of fewer than
+    min_unit_words words that stands alone; neighbours form one span.
     Rows that share an id count as one document.  Null texts have no units;
     null ids come last, as the largest id.  An empty table gives no rows.
     """
@@ -70,7 +72,7 @@ def repeated_spans(docs: DataFrame, *, min_run_words: int = MIN_RUN_WORDS, id_co
     runs = later.withColumn("_island", island).groupBy("_id", "_island").agg(
         F.min("_start").alias("span_start"), F.max("_end").alias("span_end"), F.count(F.lit(1)).alias("n_units"), F.sum("_words").alias("n_words"), F.min_by("_kept", "_k").alias(f"kept_{id_col}")
     )
-    return runs.where(F.col("n_words") >= min_run_words).select(F.col("_id").alias(id_col), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "n_units", "n_words", f"kept_{id_col}")
+    return runs.where(F.col("n_words") >= min_unit_words).select(F.col("_id").alias(id_col), F.col("span_start").cast("long").alias("span_start"), F.col("span_end").cast("long").alias("span_end"), "n_units", "n_words", f"kept_{id_col}")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -217,6 +217,27 @@ def test_repeated_rows_are_one_document(spark):
     assert rows(linededup.repeated_spans(docs_of(spark, [(None, long), (1, long)])), "kept_doc_id") == [(1,)]
 
 
+def test_every_later_unit_goes(spark):
+    rng = random.Random(55)
+    lines = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 10**6)) for _ in range(rng.randint(1, 12))) + "." for _ in range(40)]
+    pairs = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.3 else f"own text of line {i} {k}" for k in range(12))) for i in range(25)]
+    seen, want = set(), set()
+    for i, t in pairs:
+        at, run = 0, []
+        for line in [*t.split("\n"), None]:
+            if line in seen:
+                run.append((at, at + len(line), len(line.split())))
+            else:
+                if sum(n for *_, n in run) >= 3:
+                    want.add((i, run[0][0], run[-1][1], len(run)))
+                run = []
+            seen.add(line)
+            at += len(line or "") + 1
+        seen.discard(None)
+    got = rows(linededup.repeated_spans(docs_of(spark, pairs)), "doc_id", "span_start", "span_end", "n_units")
+    assert len(got) == len(want) > 20 and set(got) == want
+
+
 # 6. Decontamination
 def test_masks_find_every_window():
     for gone in itertools.combinations(range(decontam.WINDOW), decontam.WINDOW - decontam.NEEDED):
