@@ -22,9 +22,8 @@ from .urlfilter import split_url
 
 # Elements that are content of their own even if they recur: paragraphs and headings of an article, and what spans the page.
 KEPT = frozenset({"#root", "html", "body", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figure", "figcaption"})
-#: A subtree is a template of its host if it is on at least so many pages, and on at least this part of the host's pages.
+#: A subtree is a template of its host if it is on at least so many pages of different main texts, however many pages the host has.
 MIN_PAGES = 4
-MIN_SHARE = 0.3
 
 # Elements by their part in a page.
 RAW = frozenset({"script", "style", "noscript", "template", "textarea", "title"})
@@ -175,7 +174,7 @@ def _first(root: Node, tag: str) -> list[Node]:
     return found
 
 
-def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> tuple[DataFrame, DataFrame]:
+def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
     """(host, hash) of the template subtrees, and the subtrees of each page: id, host, hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +186,9 @@ def site_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
 
     hashed = Scratch(pages.sparkSession).write(pages.select("_id", url_col, html_col).mapInArrow(run, "_id long, _host string, _main long, _hashes array<long>"), "hashed")
     # Pages of one host with equal main texts count once: their common parts are no template but copies.
-    per_host = hashed.select("_host", "_main").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     nodes = hashed.select("_id", "_host", "_main", F.explode("_hashes").alias("_hash"))
     counts = nodes.select("_host", "_hash", "_main").distinct().groupBy("_host", "_hash").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    return counts.join(per_host, "_host").where(F.col("_n") >= F.col("_pages") * F.lit(min_share)).select("_host", "_hash"), nodes
+    return counts.select("_host", "_hash"), nodes
 
 
 def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -305,6 +305,17 @@ def test_html(spark):
     assert htmlmain.extract_main(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_templates_do_not_depend_on_the_size_of_the_host(spark):
+    layouts = 12  # boxes that rotate: each on 5 of 60 pages
+    page = "<html><body><article><p>Story {0}.</p><div class='box'>Layout {1}</div><div>Own {2}</div></article></body></html>"
+    data = [(i, f"http://big.com/{i}", page.format(i, i % layouts, i // 2)) for i in range(60)]
+    data += [(100 + i, f"http://big.com/c{i}", page.format("copy", "of copies", "x")) for i in range(6)]  # equal main texts count once
+    data += [(200 + i, f"http://few.com/{i}", page.format(i, "few", i)) for i in range(3)]
+    text = dict(rows(htmlmain.extract_main(spark.createDataFrame(data, "page_id long, url string, html string")), "page_id", "text"))
+    assert all(text[i] == f"Story {i}. Own {i // 2}" for i in range(60))
+    assert all(text[100 + i] == "Story copy. Layout of copies Own x" for i in range(6)) and text[201] == "Story 1. Layout few Own 1"
+
+
 def test_html_parser_survives_deep_and_broken_pages():
     assert htmlmain.main_text(htmlmain.parse("<div>" * 20000 + "x")) == "x"
     for broken in ("<", "<p", "</p>", "<!--", "<script>", "<a href='", "<p>a</b></i>b<", "&#xZZ; &amp"):
