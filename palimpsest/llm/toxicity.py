@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -123,10 +123,58 @@ def _sketch(words: list[str]) -> int:
     return min(xxhash.xxh64_intdigest(" ".join(r)) for r in runs) >> 1
 
 
+def _count(sample: DataFrame, of: Callable[[list[str]], set[str]]) -> DataFrame:
+    """entry, a, b: rows of each class that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, clean = Counter(), Counter()
+
+        def counts() -> pa.RecordBatch:
+            names = list(toxic.keys() | clean.keys())
+            found = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([clean[k] for k in names], pa.int64())], names=["entry", "a", "b"])
+            toxic.clear()
+            clean.clear()
+            return found
+
+        for b in pieces(batches):
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                (toxic if y == 1 else clean).update(of(folded_words(t)))
+            if len(toxic) + len(clean) > HELD_ENTRIES:
+                yield counts()
+        yield counts()
+
+    return sample.mapInArrow(run, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _harmless(sample: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
+    """Phrases of a matched word and a neighbour that no toxic row and three clean rows at least hold.
+
+    The word's share of clean rows must make so many clean rows of the phrase
+    unlikely, by the same evidence that an entry must bring.
+    """
+
+    def phrases(words: list[str]) -> set[str]:
+        found, hit = set(), {w for w in set(words) if not weights.keys().isdisjoint(entries_of([w]))}
+        if hit:
+            found.update(f"{w}\t{w}" for w in hit)
+            for v, w in zip(words, words[1:]):
+                found.update(f"{x}\t{v} {w}" for x in {v, w} & hit)
+        return found
+
+    parts = F.split("entry", "\t")
+    n = _count(sample, phrases).select(parts[0].alias("word"), parts[1].alias("phrase"), "a", "b")
+    whole = n.where(F.col("phrase") == F.col("word")).select("word", F.col("a").alias("wa"), F.col("b").alias("wb"))
+    clean = n.where((F.col("phrase") != F.col("word")) & (F.col("a") == 0) & (F.col("b") >= 3)).join(whole, "word")
+    clean = clean.where(2 * F.col("b") * F.log((F.col("wa") + F.col("wb")) / F.col("wb")) >= EVIDENCE)
+    best = clean.groupBy("phrase").agg(F.max("b").alias("b")).orderBy(F.desc("b"), "phrase").limit(CANDIDATES)
+    return tuple(r["phrase"] for r in best.collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn a lexicon from at most ``sample_rows`` labelled rows (those of the least id hashes).
 
-    Near copies count once.  Rows with a null id, label or text are left out.
+    Near copies count once.  Phrases in which an entry is harmless are learned
+    too and join ``exceptions``.  Rows with a null id, label or text are left out.
     Without rows of both classes the lexicon is empty.
     """
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_id"]).orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(sample_rows)
@@ -144,24 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     if not na or not nb:
         return Lexicon(exceptions=exceptions)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
-
-        def counts() -> pa.RecordBatch:
-            names = list(toxic.keys() | clean.keys())
-            found = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[k] for k in names], pa.int64()), pa.array([clean[k] for k in names], pa.int64())], names=["entry", "a", "b"])
-            toxic.clear()
-            clean.clear()
-            return found
-
-        for b in pieces(batches):
-            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (toxic if y == 1 else clean).update(entries_of(folded_words(t)))
-            if len(toxic) + len(clean) > HELD_ENTRIES:
-                yield counts()
-        yield counts()
-
-    counted = sample.mapInArrow(entries, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = _count(sample, entries_of)
     # Three toxic rows at least, and at least four times as frequent among them as among the others.
     strong = counted.where((F.col("a") >= 3) & (F.col("a") * nb >= 4.0 * F.col("b") * na))
     strong = strong.withColumn("g", F.col("a") * F.log((F.col("a") / na) / ((F.col("a") + F.col("b")) / (na + nb))))
@@ -177,14 +208,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
 
     got = sample.mapInArrow(present, "y int, n long, found array<int>").collect()  # at most sample_rows short rows
     got.sort(key=lambda r: (r["y"], r["n"], r["found"]))  # sums of floats then don't depend on the order of tasks
-    scratch.drop("sample")
     y = np.array([r["y"] for r in got])
     has = np.zeros((len(got), len(names)), dtype=bool)
     for i, r in enumerate(got):
         has[i, r["found"]] = True
     kept = _select(has, y, names)
     weights = {names[j]: float(w) for j, w in kept}
-    lexicon = Lexicon(weights, exceptions)
+    lexicon = Lexicon(weights, exceptions + (_harmless(sample, weights) if weights else ()))
+    scratch.drop("sample")
     norm = 1.0 + np.log1p(np.array([r["n"] for r in got]) / 1000.0)
     x = np.log1p(sum((has[:, j] * w for j, w in kept), np.zeros(len(got))) / norm)
     lexicon.bias, lexicon.slope = _logistic(x, y)

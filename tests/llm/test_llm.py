@@ -406,6 +406,23 @@ def test_toxicity_folding_exceptions_and_odd_rows(spark):
     assert toxicity.score_texts(docs_of(spark, ODD), empty).count() == len(ODD) and toxicity.score_texts(docs_of(spark, []), empty).collect() == []
 
 
+def test_toxicity_learns_exception_phrases(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.choice('rstuv')}{rng.choice('wxyz')}" for _ in range(n)]
+    data = []
+    for i in range(300):
+        w = some(30)
+        if i % 3 == 0:
+            w.insert(rng.randint(1, 29), "zorkish")
+        elif i % 3 == 1 and i % 2:
+            w[10:10] = ["zorkish", "salad"]
+        data.append((i, " ".join(w), int(i % 3 == 0)))
+    lex = toxicity.fit(docs_of(spark, [(i, t) for i, t, _ in data]), spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int"))
+    m = lex.matcher()
+    assert lex.weights and "zorkish salad" in lex.exceptions
+    assert lex.score("a Zorkish salad.", m) == lex.score("", m) < lex.score("a zorkish man", m) and lex.score("zorkish salad zorkish", m) > lex.score("", m)
+
+
 def test_held_out_rule(spark):
     import zlib
 
