@@ -9,9 +9,10 @@ score.  The lexicon and the numbers are learned from labelled rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +35,8 @@ HELD_ENTRIES = 100_000
 #: Evidence (G statistic) that an entry must bring beyond the entries before it.
 EVIDENCE = 14.0
 THRESHOLD = 0.5
+#: Least hashes that a text is compared by, and the likeness from which two texts are copies.
+SKETCH, COPY = 64, 0.5
 
 # Letters of other scripts and signs that look like Latin letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ε": "e", "ι": "i", "ρ": "p", "ν": "v", "τ": "t", "κ": "k", "υ": "u"}
@@ -117,10 +120,30 @@ def _g(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
     return np.where(a * nb > b * na, g, -g)
 
 
-def _sketch(words: list[str]) -> int:
-    """The least hash of the three-word runs; most near copies have the same."""
+def _sketch(words: list[str]) -> list[int]:
+    """The least hashes of the three-word runs, in order; most near copies have the same first one."""
     runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [tuple(words)]
-    return min(xxhash.xxh64_intdigest(" ".join(r)) for r in runs) >> 1
+    return heapq.nsmallest(SKETCH, {xxhash.xxh64_intdigest(" ".join(r)) >> 1 for r in runs})
+
+
+def _likeness(a: list[int], b: list[int]) -> float:
+    """Jaccard of the runs: exact for short texts, else by the least hashes of both."""
+    union, both = sorted({*a, *b}), {*a} & {*b}
+    if len(a) == SKETCH or len(b) == SKETCH:
+        union = union[:SKETCH]
+    return sum(x in both for x in union) / len(union)
+
+
+def _copies(sketched: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
+    """(digest, class) of the rows that are like a row before them, of those with the same first hash."""
+    kept, gone = defaultdict(list), []
+    for y, digest, sketch in sorted(sketched):
+        near = kept[y, sketch[0]]
+        if any(_likeness(sketch, k) >= COPY for k in near):
+            gone.append((digest, y))
+        else:
+            near.append(sketch)
+    return gone
 
 
 def _count(sample: DataFrame, of: Callable[[list[str]], set[str]]) -> DataFrame:
@@ -173,7 +196,8 @@ def _harmless(sample: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
 def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn a lexicon from at most ``sample_rows`` labelled rows (those of the least id hashes).
 
-    Near copies count once.  Phrases in which an entry is harmless are learned
+    Near copies count once: rows of one class with the same least hash whose
+    likeness is COPY or more.  Phrases in which an entry is harmless are learned
     too and join ``exceptions``.  Rows with a null id, label or text are left out.
     Without rows of both classes the lexicon is empty.
     """
@@ -183,10 +207,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             words = [folded_words(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_sketch(w) for w in words], pa.int64())], names=["_y", "_text", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_sketch(w) for w in words], pa.list_(pa.int64()))], names=["_y", "_text", "sketch"])
 
     scratch = Scratch(docs.sparkSession)
-    sample = scratch.write(rows.mapInArrow(sketches, "_y int, _text string, sketch long").groupBy("sketch", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text", "sketch"), "sample")
+    distinct = rows.mapInArrow(sketches, "_y int, _text string, sketch array<long>").withColumn("_d", F.xxhash64("_text")).groupBy("_d", "_y").agg(F.min(F.struct("_text", "sketch")).alias("_f"))
+    sample = scratch.write(distinct.select("_y", "_f._text", "_f.sketch", "_d"), "sample")
+    # At most sample_rows short rows; each is only compared with rows of its first hash.
+    copies = _copies([tuple(r) for r in sample.select("_y", "_d", "sketch").collect()])
+    if copies:
+        sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(copies, "_d long, _y int")), ["_d", "_y"], "left_anti")
+    sample = sample.select("_y", "_text")
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     na, nb = sizes.get(1, 0), sizes.get(0, 0)
     if not na or not nb:

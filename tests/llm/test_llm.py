@@ -423,6 +423,23 @@ def test_toxicity_learns_exception_phrases(spark):
     assert lex.score("a Zorkish salad.", m) == lex.score("", m) < lex.score("a zorkish man", m) and lex.score("zorkish salad zorkish", m) > lex.score("", m)
 
 
+def test_toxicity_shared_passages_are_no_copies(spark):
+    import xxhash
+
+    rng = random.Random(10)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.choice('rstuv')}{rng.choice('wxyz')}{rng.choice('abcdefgh')}" for _ in range(n)]
+    shared = min((some(3) for _ in range(20000)), key=lambda r: xxhash.xxh64_intdigest(" ".join(r)))  # holds the least hash of all rows
+    toxic = [" ".join([*some(20), "zorkish", *some(20), *shared]) for _ in range(40)]
+    clean = [" ".join(some(40)) for _ in range(80)]
+    data = list(enumerate(toxic + clean))
+    labels = spark.createDataFrame([(i, int(i < 40)) for i, _ in data], "doc_id long, toxic int")
+    weights = toxicity.fit(docs_of(spark, data), labels).weights
+    assert any(" zorkish".startswith(k.rstrip()) for k in weights) and len(weights) < 20
+    copy = toxic[0].split()
+    same = [(i, " ".join(copy[:k] + ["edited"] + copy[k + 1 :]) if i < 40 else t) for (i, t), k in zip(data, [*range(20)] * 6)]
+    assert not toxicity.fit(docs_of(spark, same), labels).weights  # near copies still count once
+
+
 def test_held_out_rule(spark):
     import zlib
 
