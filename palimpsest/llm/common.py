@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -42,12 +43,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let the executors delete shuffle files that no plan refers to any more.
+
+    Spark does so when the driver's garbage collector has found the plans to be
+    gone, which on a driver with little to do may take half an hour.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives lost executors, is columnar and compressed, and
-    gives the optimizer real sizes.  ``drop`` removes what is no longer read;
-    the rest goes when the driver ends.
+    gives the optimizer real sizes.  After a write the shuffle files behind it
+    are let go.  ``drop`` removes what is no longer read; the rest goes when the
+    driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -58,6 +69,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
         df.write.mode("overwrite").parquet(path)
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -71,8 +83,8 @@ class Scratch:
         try:
             target = sc._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the JVM is gone at exit
-            pass
+        except Exception as e:  # at exit the JVM may be gone; whole tables then stay in the shared folder
+            logging.getLogger(__name__).warning("%s was not removed: %s", path, e)
 
 
 #: Rows whose texts a Python worker holds at a time.

@@ -4,8 +4,11 @@
    equal sets fall together; one representative goes on.
 2. Two sets whose Jaccard likeness reaches the threshold share an element of
    their prefixes under any one global order, and the first one that they share
-   stands the earlier in both the closer their sizes are.  The order puts elements that very many prefixes hold last, so
-   passages that many documents share don't call them together.
+   stands the earlier in both the closer their sizes are.  The order puts
+   elements that many documents hold last, the commonest at the very end, so
+   passages that many documents share don't call them together.  Right before
+   the first element that two sets share stand different elements: where the
+   same one stands before it in both, the pair has met there already.
 3. Representatives that share a sketch (their least elements and size class)
    are partitioned into groups of bounded size.  The matrix holds, for each element, the groups whose
    union has it in a prefix.
@@ -15,9 +18,9 @@
    pairs are compared exactly, block against block, and give a spanning forest
    of links.
 5. Groups that share a widespread element are first compared with one of them.
-   Groups that these links put into one class are no longer paired with each
-   other, so a large class of near copies costs no pair for each two groups.
-   All other pairs follow.
+   Then groups are cut by the classes that these links give.  Parts of one class
+   are not paired with each other and meet others as one, so a large class of
+   near copies costs no pair for each two groups.  All other pairs follow.
 6. Connected components of the links give the classes.
 """
 
@@ -32,10 +35,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, pieces
+from .common import LOWER, UPPER, Scratch, pieces, small_enough
 from .components import connected_components
 
-#: An element is common if more prefixes than this hold it; raised with the input so that the list of common elements stays below COMMON_LIMIT.
+#: An element is common if more documents than this hold it.  The commonest COMMON_LIMIT of them are sent to the workers (17 bytes each), which only settles the order.
 COMMON = 48
 COMMON_LIMIT = 2_000_000
 #: Members of a group.
@@ -44,8 +47,8 @@ GROUP = 48
 SPREAD = 8
 #: Hash bins in which the elements of a set are counted for the overlap bound.
 BINS = 256
-#: How much longer than needed the prefixes are in which common elements are looked for.
-SCOUT = 1.5
+#: Groups are sent to the texts by broadcast for up to this many documents (16 bytes each); more take a shuffled join.
+BROADCAST_MEMBERS = 2_000_000
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -90,26 +93,24 @@ def prefix_length(n: int, t: Fraction) -> int:
     return n - ceil_div(n * t.numerator, t.denominator) + 1 if n else 0
 
 
-def _common_elements(docs: DataFrame, n: int, t: Fraction, text_col: str, scratch: Scratch) -> np.ndarray:
-    """Elements that more than COMMON prefixes hold, by a count over all documents."""
+def _common_elements(docs: DataFrame, n: int, text_col: str, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """Elements that more than COMMON documents hold, by a count over all of them, and the power of two of each count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for b in pieces(batches):
-            parts = [s[: int(SCOUT * prefix_length(len(s), t)) + 2] for s in map(shingle, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).view(np.int64))], names=["e"])
-
-    counts = scratch.write(docs.select(text_col).mapInArrow(run, "e long").groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COMMON), "common")
-    found = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("k")).count().collect()  # a row per power of two
-    least, total = COMMON, 0
-    for r in sorted(found, reverse=True):
-        total += r["count"]
-        if total > COMMON_LIMIT:
-            least = 2 ** (r["k"] + 1)
-            break
-    if not found:
-        return np.empty(0, np.uint64)
-    return np.sort(np.array([r["e"] for r in counts.where(F.col("c") >= least).select("e").collect()], np.int64).view(np.uint64))
+            found, c = np.unique(np.concatenate([*map(shingle, b.column(0).to_pylist()), np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(c, pa.int64())], names=["e", "c"])
+
+    counts = docs.select(text_col).mapInArrow(run, "e long, c long").groupBy("e").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON)
+    counts = scratch.write(counts.select("e", F.floor(F.log2("c")).cast("byte").alias("k")), "common")
+    found = {r["k"]: r["count"] for r in counts.groupBy("k").count().collect()}  # a row per power of two
+    least = min((k for k in found if sum(v for j, v in found.items() if j >= k) <= COMMON_LIMIT), default=64)
+    rows = counts.where(F.col("k") >= least).toArrow()
+    scratch.drop("common")
+    e, k = rows.column("e").to_numpy().view(np.uint64), rows.column("k").to_numpy()
+    order = np.argsort(e)
+    return e[order], k[order]
 
 
 def _is_in(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
@@ -122,13 +123,16 @@ def _signatures(docs: DataFrame, n: int, t: Fraction, common, id_col: str, text_
     """id, size, digest of the set, sketch, prefix under the final order, counts by hash bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last = Shingler(n), common.value
+        shingle, (last, level) = Shingler(n), common.value
         for b in pieces(batches):
             rows: list[list] = [[], [], [], [], [], []]
             for s in map(shingle, b.column(1).to_pylist()):
                 p = prefix_length(len(s), t)
                 hot = _is_in(s, last)
-                prefix = s[:p] if not hot[:p].any() else np.concatenate([s[~hot], s[hot]])[:p]
+                prefix = s[:p]
+                if hot[:p].any():
+                    common_ones = s[hot]
+                    prefix = np.concatenate([s[~hot], common_ones[np.argsort(level[np.searchsorted(last, common_ones)], kind="stable")]])[:p]
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 for c, v in zip(rows, (len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sketch(s), prefix.view(np.int64), bin_counts(s).tobytes())):
                     c.append(v)
@@ -187,6 +191,7 @@ def _packs(docs: DataFrame, members: DataFrame, n: int, id_col: str, text_col: s
             sets = [shingle(x).tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], names=["g", "id", "set"])
 
+    members = F.broadcast(members) if small_enough(members, BROADCAST_MEMBERS) else members
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(members, "id").select("g", "id", "t")
     sets = texts.mapInArrow(run, "g long, id long, set binary")
     return sets.groupBy("g").agg(F.collect_list(F.struct("id", "set")).alias("m"))  # GROUP members or so, never a whole class
@@ -244,6 +249,12 @@ def _links(pairs: DataFrame, packs: DataFrame, t: Fraction) -> DataFrame:
     return other.unionByName(same).mapInArrow(run, "a long, b long")
 
 
+def _unions(members: DataFrame, *by: str) -> DataFrame:
+    """The element-group matrix: for the members that hold an element in a prefix their least and greatest size, the most that its place leaves, and the element before it if that is the same one in all."""
+    one = (F.count("pred") == F.count(F.lit(1))) & (F.min("pred") == F.max("pred"))
+    return members.groupBy("e", *by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.when(one, F.min("pred")).alias("pred"))
+
+
 def _side(matrix: DataFrame, k: int) -> DataFrame:
     """The matrix with a number at the end of all names but the element's."""
     return matrix.withColumnsRenamed({c: f"{c}{k}" for c in matrix.columns if c != "e"})
@@ -260,10 +271,11 @@ def _rest(n: Column, pos: Column, t: Fraction) -> Column:
 
 
 def _fits(t: Fraction) -> Column:
-    """Whether members of the sides 1 and 2 may be close enough in size, and e early enough in both to be the first element that they share."""
+    """Whether members of the sides 1 and 2 may be close enough in size, and e the first element that they share and early enough in both."""
     num, den = F.lit(t.numerator), F.lit(t.denominator)
     near = (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
-    return near & (F.col("rest1") >= F.col("lo2") * num) & (F.col("rest2") >= F.col("lo1") * num)
+    first = F.col("pred1").isNull() | F.col("pred2").isNull() | (F.col("pred1") != F.col("pred2"))
+    return near & first & (F.col("rest1") >= F.col("lo2") * num) & (F.col("rest2") >= F.col("lo1") * num)
 
 
 def _met(met: DataFrame, t: Fraction) -> DataFrame:
@@ -281,66 +293,69 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     """Per row: id, n_shingles, component_id (the least id that links of likeness >= threshold reach).
 
     Empty sets (null texts, texts without words) are linked with nothing, not
-    even with each other.  Rows that share an id are one document, that of the
-    greatest text.  A null id keeps a null component.  Repeated texts fall into one class; an empty table gives
-    an empty result; other columns are not carried.
+    even with each other.  Rows that share an id are one document with the links
+    of all its texts, and so have one component; n_shingles is each row's own.
+    A row with a null id links nothing and has a null component.  Repeated texts
+    fall into one class; an empty table gives an empty result; other columns are
+    not carried.
     """
     spark, t = docs.sparkSession, Fraction(threshold)
     scratch = Scratch(spark)
-    ids = docs.select(id_col)
-    if repeated := _repeats(ids, id_col):
-        docs = docs.groupBy(id_col).agg(F.max(text_col).alias(text_col))
-    common = spark.sparkContext.broadcast(_common_elements(docs, n, t, text_col, scratch))
+    common = spark.sparkContext.broadcast(_common_elements(docs, n, text_col, scratch))
     sig = scratch.write(_signatures(docs, n, t, common, id_col, text_col), "signatures")
-    sets = sig.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    sets = scratch.write(sets, "sets")  # so that the join below can split a set that very many texts have
-    known = scratch.write(sig.select("id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "known")
-    reps = sig.where(F.col("n") > 0).join(known.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
-    listed = reps.select("id", "n", "sketch", F.posexplode("prefix").alias("pos", "e"))
-    listed = listed.select("id", "n", "sketch", "e", _rest(F.col("n"), F.col("pos"), t).alias("rest"))
+    filled = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
+    sets = scratch.write(filled.groupBy("d1", "d2").agg(F.min("id").alias("rep")), "sets")  # written, so that the join below can split a set that very many texts have
+    known = scratch.write(sig.select("id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "known")
+    scratch.drop("sets")
+    reps = filled.join(known.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
+    listed = reps.select("id", "n", "sketch", "prefix", F.posexplode("prefix").alias("pos", "e"))
+    listed = listed.select("id", "n", "sketch", "e", _rest(F.col("n"), F.col("pos"), t).alias("rest"), F.get("prefix", F.col("pos") - 1).alias("pred"))
     shared = listed.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("e")
-    listed = scratch.write(listed.join(shared, "e"), "matrix")
+    listed = scratch.write(listed.join(shared, "e"), "listed")
 
     # Groups: representatives with the same sketch, cut to bounded size by a hash of the id.
-    nodes = listed.select("id", "n", "sketch").distinct()
+    nodes = listed.select("id", "sketch").distinct()
     parts = nodes.groupBy("sketch").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
-    nodes = nodes.join(parts, "sketch").select("id", "n", F.xxhash64("sketch", F.pmod(F.xxhash64("id"), "k")).alias("g"))
-    nodes = scratch.write(nodes, "groups")
-    sizes = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
-
-    # Element-group matrix: the least and the greatest of the members that have the element in a prefix, and the most that its place leaves.
-    # The bounds are applied inside the joins.
-    matrix = listed.select("e", "id", "n", "rest").join(nodes.select("id", "g"), "id").groupBy("e", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
-    matrix = scratch.write(matrix, "unions")
-    bins = scratch.write(_group_bins(reps.select("id", "bins").join(nodes.select("id", "g"), "id")), "bins")
+    nodes = scratch.write(nodes.join(parts, "sketch").select("id", "sketch", F.xxhash64("sketch", F.pmod(F.xxhash64("id"), "k")).alias("g")), "groups")
+    held = listed.select("e", "id", "sketch", F.col("n").alias("lo"), F.col("n").alias("hi"), "rest", "pred")
+    counted = reps.select("id", "sketch", "bins")
 
     # First only inside groups, and between the groups of a widespread element and the first of them.
-    spread = matrix.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("g", "lo", "hi", "rest")).alias("first")).where(F.col("c") > SPREAD)
-    met = matrix.join(spread.select("e", "first"), "e").where(F.col("g") != F.col("first.g"))
-    met = met.select("e", F.col("first.g").alias("g1"), F.col("first.lo").alias("lo1"), F.col("first.hi").alias("hi1"), F.col("first.rest").alias("rest1"), F.col("g").alias("g2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rest").alias("rest2"))
-    within = sizes.where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))
+    matrix = scratch.write(_unions(held.join(nodes, ["id", "sketch"]), "g"), "unions")
+    spread = matrix.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("g", "lo", "hi", "rest", "pred")).alias("first")).where(F.col("c") > SPREAD)
+    met = _side(matrix, 2).join(spread.select("e", *[F.col(f"first.{c}").alias(f"{c}1") for c in ("g", "lo", "hi", "rest", "pred")]), "e").where(F.col("g1") != F.col("g2"))
+    bins = scratch.write(_group_bins(counted.join(nodes, ["id", "sketch"])), "bins")
+    within = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))
     opened = scratch.write(_allowed(_met(met, t), bins).unionByName(within), "opened")
+    scratch.drop("unions", "bins")
     links = scratch.write(_links(opened, scratch.write(_packs(docs, _members(nodes, opened), n, id_col, text_col), "packs"), t), "links")
+    scratch.drop("packs", "opened")
+    if _repeats(known, "id"):
+        links = links.unionByName(known.where(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")))
     classes = connected_components(links, scratch)
 
-    # Then exactly between all groups but those known to lie in one class, which count as one for each element.
-    owner = nodes.select("id", "g").join(classes, "id", "left").groupBy("g").agg(F.min(F.coalesce("component", "id")).alias("least"), F.max(F.coalesce("component", "id")).alias("most"))
-    label = F.struct((F.col("least") != F.col("most")).alias("mixed"), F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.col("g")).alias("of"))
-    matrix = scratch.write(matrix.join(owner.select("g", label.alias("label")), "g"), "labelled")
-    whole = matrix.groupBy("e", "label").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"))
+    # Then exactly between all groups, cut by class: parts of one class count as one for each element and don't meet.
+    nodes = nodes.join(classes, "id", "left").select("id", "sketch", F.coalesce("component", "id").alias("label"), F.xxhash64("g", F.coalesce("component", "id")).alias("g"))
+    nodes = scratch.write(nodes, "parts")
+    matrix = scratch.write(_unions(held.join(nodes, ["id", "sketch"]), "label", "g"), "unions-2")
+    scratch.drop("listed", "groups")
+    whole = _unions(matrix, "label")
     both = _side(whole, 1).join(_side(whole, 2), "e").where((F.col("label1") < F.col("label2")) & _fits(t)).select("e", "label1", "label2")
-    met = both.join(_side(matrix, 1), ["e", "label1"]).join(_side(matrix, 2), ["e", "label2"]).where(_fits(t))
-    opened = scratch.write(_allowed(_met(met, t), bins), "opened-2")
-    more = _links(opened, scratch.write(_packs(docs, _members(nodes, opened), n, id_col, text_col), "packs-2"), t)
+    met = scratch.write(_met(both.join(_side(matrix, 1), ["e", "label1"]).join(_side(matrix, 2), ["e", "label2"]), t), "met")
+    bins = scratch.write(_group_bins(counted.join(_members(nodes, met), "id")), "bins-2")
+    opened = scratch.write(_allowed(met, bins), "opened-2")
+    scratch.drop("signatures", "unions-2", "met", "bins-2")
+    more = scratch.write(_links(opened, scratch.write(_packs(docs, _members(nodes, opened), n, id_col, text_col), "packs-2"), t), "links-2")
+    scratch.drop("packs-2", "opened-2", "parts")
     classes = connected_components(classes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch, "cc-2")
+    scratch.drop("links", "links-2")
     out = known.join(classes.withColumnsRenamed({"id": "rep"}), "rep", "left")
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
-    return ids.withColumnRenamed(id_col, "_id").join(out, F.col("_id").eqNullSafe(F.col(id_col))).drop("_id") if repeated else out
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
-def _repeats(ids: DataFrame, id_col: str) -> bool:
+def _repeats(known: DataFrame, id_col: str) -> bool:
     """Whether some id is on several rows."""
-    return not ids.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).isEmpty()
+    return not known.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).isEmpty()
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

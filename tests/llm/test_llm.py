@@ -376,6 +376,33 @@ def test_jaccard_on_the_corpus_and_odd_tables(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 8, 9]
 
 
+def test_jaccard_takes_every_text_of_a_shared_id(spark):
+    one, two, far = "a b c d e f", "k l m n o p q", "u v w x y z"
+    pairs = [(5, one), (5, two), (2, one.upper()), (3, two), (7, far), (8, far), (5, None), (None, one), (None, far)]
+    got = rows(ngramjoin.near_duplicate_classes(docs_of(spark, pairs), n=3, threshold="0.9"), "doc_id", "n_shingles", "component_id")
+    assert sorted(got, key=str) == sorted([(5, 4, 2), (5, 5, 2), (5, 0, 2), (2, 4, 2), (3, 5, 2), (7, 4, 7), (8, 4, 7), (None, 4, None), (None, 4, None)], key=str)
+    kept = ngramjoin.one_of_each(docs_of(spark, pairs))
+    assert sorted(map(str, rows(kept, "doc_id", "text"))) == sorted(map(str, [(2, one.upper()), (7, far), (None, one), (None, far)]))
+
+
+def test_jaccard_with_common_passages(spark, monkeypatch):
+    """Documents of a few widely shared passages and little else, in classes that share passages but aren't alike."""
+    monkeypatch.setattr(ngramjoin, "COMMON", 4)
+    monkeypatch.setattr(ngramjoin, "GROUP", 4)
+    monkeypatch.setattr(ngramjoin, "SPREAD", 2)
+    rng = random.Random(88)
+    passages = [[f"p{k}w{i}" for i in range(rng.randint(10, 40))] for k in range(5)]
+    pairs = []
+    for i in range(300):
+        w = [x for p in rng.sample(passages, rng.randint(1, 3)) for x in p]
+        for _ in range(rng.randint(0, 12)):
+            w.insert(rng.choice([0, len(w), rng.randint(0, len(w))]), f"own{rng.randint(0, 60)}")
+        pairs.append((i, " ".join(w)))
+    for n, threshold, num in ((5, "0.8", 80), (3, "0.9", 90)):
+        got = {i: (s, c) for i, s, c in rows(ngramjoin.near_duplicate_classes(docs_of(spark, pairs), n=n, threshold=threshold), "doc_id", "n_shingles", "component_id")}
+        assert got == brute_classes(pairs, n, num, 100)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)), "id", "component"))
