@@ -26,6 +26,14 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as no taken name needs; Spark's names ignore case."""
+    used, mark = {t.lower() for t in taken}, "_"
+    while any((mark + n).lower() in used for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 

@@ -5,7 +5,7 @@ each block (one aggregate, sources x blocks rows) the driver settles exact block
 quotas, and a binary tree over the output shards splits the quota vector with
 multivariate hypergeometric draws, so each shard holds an exact part of every
 source and the parts are disjoint.  Documents look their draws up in that
-bounded table and are ordered by a hash inside their shard.
+bounded table, fall into parts of their shard by a hash and are ordered by it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WORD, text_or_empty
+from .common import WORD, fresh, text_or_empty
 
 #: Weights by rank of the source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -24,6 +24,10 @@ VOLUME = 1.5
 MAX_REPEATS = 2
 BLOCKS_PER_SOURCE = 512
 SHARDS = 32
+#: Words of a part: a shard has as many parts as its words need, each a task's file.
+PART_WORDS = 20_000_000
+#: Leading bits of the hash by which the words of a block that is taken in part are summed.
+EDGE_BITS = 12
 SEED = 20_261
 
 
@@ -111,59 +115,96 @@ def draw_plan(
     sources times ``blocks`` rows meet on the driver: sources are a catalogue,
     not data, and blocks is a parameter.
     """
+    return _planned(docs, weights, volume, repeats, blocks, shards, seed, id_col, text_col, source_col)[0]
+
+
+def _planned(docs: DataFrame, weights, volume, repeats, blocks, shards, seed, id_col, text_col, source_col) -> tuple[DataFrame, float]:
+    """draw_plan's rows, and the words of the mixture."""
     spark = docs.sparkSession
-    base = docs.drop("size", "source_size", "target", "draws", "_h", "_block", "_source", "_b", "_draws")
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
-    base = base.withColumn("size", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")).withColumn("_h", h).withColumn("_block", F.pmod("_h", F.lit(blocks)).cast("int"))
-    stats = base.groupBy(F.col(source_col).alias("s"), "_block").agg(F.sum("size").alias("words")).collect()
-    names, sizes, targets, _, draws, part = _deal([tuple(r) for r in stats], weights, volume, repeats, shards, seed)
-    cuts = _boundary_cuts(base, names, part, id_col, source_col)
-    rows = []
-    for s, b, _ in (tuple(r) for r in stats):
-        i = names.index(s) if s is None else _rank(names)[s]
-        own = []
+    base = docs.drop("size", "source_size", "target", "draws")
+    hash_, block, source, at, drawn = fresh(base.columns, "hash", "block", "source", "at", "drawn")
+    base = base.withColumn("size", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long"))
+    base = base.withColumn(hash_, F.xxhash64(F.lit(seed), F.col(id_col))).withColumn(block, F.pmod(hash_, F.lit(blocks)).cast("int"))
+    stats = [tuple(r) for r in base.groupBy(source_col, block).agg(F.sum("size")).collect()]
+    names, sizes, targets, _, draws, part = _deal(stats, weights, volume, repeats, shards, seed)
+    key = F.struct(F.col(hash_).alias("h"), F.col(id_col).alias("id"), F.col("size").alias("size"))
+    cuts = _boundary_cuts(base.select(F.col(source_col).alias("source"), F.col(block).alias("block"), key.alias("key")), names, part)
+    rank, rows = {s: i for i, s in enumerate(names)}, []
+    for s, b, _ in stats:
+        i, own = rank[s], []
         for p, shard in draws.get((i, b), []):
             whole = not (part[i] and part[i][:2] == (b, p))
             own.append((p, shard, whole, None if whole else cuts.get(i)))
         rows.append((s, b, sizes[i], float(targets[i]), own))
-    cut_type = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", base.schema[id_col].dataType), T.StructField("size", T.LongType())])
-    schema = T.StructType([
-        T.StructField("_source", T.StringType()), T.StructField("_b", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
-        T.StructField("_draws", T.ArrayType(T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("cut", cut_type)]))),
-    ])
+    draw = T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("cut", base.select(key.alias("k")).schema["k"].dataType)])
+    schema = T.StructType([T.StructField(source, T.StringType()), T.StructField(at, T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField(drawn, T.ArrayType(draw))])
     dealt = spark.createDataFrame(rows, schema)
-    key = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("id"), F.col("size"))
-    taken = F.filter("_draws", lambda d: d["whole"] | (d["cut"].isNotNull() & (key <= d["cut"])))
-    out = base.join(F.broadcast(dealt), base[source_col].eqNullSafe(dealt["_source"]) & (base["_block"] == dealt["_b"]), "left")
-    return out.withColumn("draws", F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))).drop("_block", "_source", "_b", "_draws")
-
+    taken = F.filter(drawn, lambda d: d["whole"] | (d["cut"].isNotNull() & (key <= d["cut"])))
+    out = base.join(F.broadcast(dealt), F.col(source_col).eqNullSafe(F.col(source)) & (F.col(block) == F.col(at)), "left")
+    return out.withColumn("draws", F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))).drop(hash_, block, source, at, drawn), float(sum(targets))
 
-def _rank(names: list) -> dict:
-    return {s: i for i, s in enumerate(names)}
 
+def _boundary_cuts(rows: DataFrame, names, part) -> dict[int, tuple | None]:
+    """For the one block that a source takes in part: the last key (hash, id, size) whose running sum comes nearest to the rest.
 
-def _boundary_cuts(base: DataFrame, names, part, id_col, source_col) -> dict[int, tuple | None]:
-    """For the one block that a source takes in part: the last document, in hash order, whose running sum comes nearest to the rest."""
-    spark = base.sparkSession
-    wanted = [(names[i], c[0], float(c[2]), i) for i, c in enumerate(part) if c]
+    The words are first summed by the leading bits of the hash; only the rows
+    around the rest are put in order, so no task sorts a block.
+    """
+    spark = rows.sparkSession
+    wanted = [(names[i], c[0], i) for i, c in enumerate(part) if c]
     if not wanted:
         return {}
-    edge = spark.createDataFrame(wanted, "_source string, _b int, _rest double, _i int")
-    rows = base.select(id_col, source_col, "size", "_h", "_block").join(F.broadcast(edge), F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_b")))
-    run = F.sum("size").over(W.partitionBy("_i").orderBy("_h", id_col, "size"))
-    rows = rows.withColumn("_gap", F.abs(run - F.col("_rest"))).withColumn("_key", F.struct(F.col("_h").alias("h"), F.col(id_col).alias("id"), F.col("size")))
-    best = rows.groupBy("_i").agg(F.min(F.struct("_gap", "_key")).alias("m"), F.first("_rest").alias("rest")).collect()
-    return {r["_i"]: tuple(r["m"]["_key"]) if r["m"]["_gap"] < r["rest"] else None for r in best}
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture: a row per document and pass, with copy, shard and position key, shuffled inside each shard."""
-    planned = draw_plan(docs, **options)
-    rows = planned.withColumn("_d", F.explode("draws")).withColumn("copy", F.col("_d.pass")).withColumn("shard", F.col("_d.shard"))
-    rows = rows.withColumn("position_key", F.xxhash64(F.lit(options.get("seed", SEED) + 1), "_h", "copy")).drop("_d", "_h", "draws")
-    return rows.repartition("shard", F.pmod("position_key", F.lit(16))).sortWithinPartitions("shard", "position_key")
+    shift = 64 - EDGE_BITS
+    edge = spark.createDataFrame(wanted, "source string, block int, i int").withColumnsRenamed({"source": "s", "block": "b"})
+    rows = rows.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select("i", "key", F.shiftright("key.h", shift).alias("top"))
+    sums: dict[int, list] = {}
+    for i, top, words in sorted(tuple(r) for r in rows.groupBy("i", "top").agg(F.sum("key.size")).collect()):  # sources times 2 ** EDGE_BITS at most
+        sums.setdefault(i, []).append((top, words))
+    around = []
+    for i, parts in sums.items():
+        before = 0
+        for top, words in parts:
+            if before + words >= part[i][2] or top == parts[-1][0]:
+                around.append((i, top, before, float(part[i][2])))
+                break
+            before += words
+    near = spark.createDataFrame(around, "i int, top long, before long, rest double")
+    rows = rows.join(F.broadcast(near), ["i", "top"])
+    run = F.col("before") + F.sum("key.size").over(W.partitionBy("i").orderBy("key"))
+    best = rows.withColumn("gap", F.abs(run - F.col("rest"))).groupBy("i").agg(F.min(F.struct("gap", "key")).alias("m")).collect()
+    found = {r["i"]: (r["m"]["gap"], tuple(r["m"]["key"])) for r in best}
+    cuts = {}
+    for i, top, before, rest in around:
+        gap, key = found[i]
+        # Right before the rows that were put in order lies a cut as well, and the block may be left out.
+        cuts[i] = key if gap < rest - before else (top << shift, None, None) if before else None
+    return cuts
+
+
+def mix(docs: DataFrame, *, part_words: int = PART_WORDS, weights=WEIGHTS, volume: float = VOLUME, repeats: int = MAX_REPEATS, blocks: int = BLOCKS_PER_SOURCE,
+        shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mixture: a row per document and pass, with copy, shard, part and position_key, shuffled inside each shard.
+
+    Documents without words and null texts belong to no source's quota of words,
+    but go with their block.  Rows that repeat an id go the same way; an empty
+    table gives an empty mixture.  size, source_size, target, draws, copy, shard,
+    part and position_key replace docs' columns of these names.  A shard's parts
+    hold about part_words words, so tasks stay alike however large the input is.
+    """
+    planned, words = _planned(docs.drop("copy", "shard", "part", "position_key"), weights, volume, repeats, blocks, shards, seed, id_col, text_col, source_col)
+    parts = max(1, round(words / shards / part_words))
+    (d,) = fresh(planned.columns, "draw")
+    rows = planned.withColumn(d, F.explode("draws")).withColumn("copy", F.col(d)["pass"]).withColumn("shard", F.col(d)["shard"]).drop(d, "draws")
+    rows = rows.withColumn("position_key", F.xxhash64(F.lit(seed + 1), F.lit(seed), F.col(id_col), "copy")).withColumn("part", F.pmod("position_key", F.lit(parts)).cast("int"))
+    return rows.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "position_key")
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
+    """The contract's query: doc_id, size, source_size, target, taken, and the shards that drew the document (one for each copy).
+
+    Null and empty texts have size and taken 0; a null source is a source of its
+    own; rows that repeat an id are taken alike; an empty table gives no rows;
+    docs' own columns of the result's names are replaced.
+    """
     planned = draw_plan(docs)
-    return planned.select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"), F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))

@@ -86,6 +86,66 @@ def test_split_tree_is_exact_and_fair():
     assert (got == mixing.split_tree([100, 37, 0, 5000], 7)).all()
 
 
+def water_fill(sizes, weights):
+    """The targets by another way: the level at which weight times level, or twice the size if that is less, adds up to the volume."""
+    lo, hi = 0.0, 4.0 * sum(sizes) / min(weights)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(w * mid, 2 * n) for n, w in zip(sizes, weights)) < 1.5 * sum(sizes) else (lo, mid)
+    return [min(w * hi, 2.0 * n) for n, w in zip(sizes, weights)]
+
+
+def test_targets_by_another_way():
+    rng = random.Random(4)
+    for _ in range(300):
+        sizes = [rng.choice([0, rng.randint(1, 9), rng.randint(1, 10**6)]) for _ in range(rng.randint(1, 9))]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        if sum(sizes):
+            assert mixing.target_words(sizes, weights) == pytest.approx(water_fill(sizes, weights), rel=1e-6, abs=1e-6)
+
+
+def test_mixing_by_brute_force(spark, monkeypatch):
+    """Each source's draws again, one document after the other: blocks in their order, the last one up to the nearest document."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "EDGE_BITS", 3)
+    rng = random.Random(12)
+    pairs = [(i, " ".join(["w"] * rng.randint(0, 40))) for i in range(900)]
+    docs = docs_of(spark, pairs, {i: rng.choice(["a", "b", None]) for i in range(900)}, extra=False)
+    plan = mixing.draw_plan(docs, blocks=8, shards=4).withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id")).collect()
+    taken = {r["doc_id"]: len(r["draws"]) for r in plan}
+    for s in ("a", "b", None):
+        own = [r for r in plan if r["source"] == s]
+        blocks = collections.defaultdict(list)
+        for r in own:
+            blocks[r["h"] % 8].append(r)
+        mixed = [b for b in blocks.values() if len({taken[r["doc_id"]] for r in b}) > 1]
+        assert len(mixed) <= 1
+        target = own[0]["target"]
+        for b in mixed:
+            b.sort(key=lambda r: (r["h"], r["doc_id"]))
+            low = min(taken[r["doc_id"]] for r in b)
+            rest = target - sum(taken[r["doc_id"]] * r["size"] for r in own) + sum((taken[r["doc_id"]] - low) * r["size"] for r in b)
+            sums = [0, *itertools.accumulate(r["size"] for r in b)]
+            cut = sum(taken[r["doc_id"]] > low for r in b)
+            assert [taken[r["doc_id"]] > low for r in b] == [True] * cut + [False] * (len(b) - cut)
+            assert abs(sums[cut] - rest) == min(abs(x - rest) for x in sums)
+        got = sum(taken[r["doc_id"]] * r["size"] for r in own)
+        assert abs(got - target) <= 40
+    counts = collections.Counter(d["shard"] for r in plan for d in r["draws"])
+    assert set(counts) == {0, 1, 2, 3} and max(counts.values()) < 1.6 * min(counts.values())
+
+
+def test_mixing_parts_follow_the_size_and_clashing_columns_stay(spark):
+    from pyspark.sql import functions as F
+
+    docs = docs_of(spark, [(i, "w " * 50) for i in range(200)]).withColumns({"_hash": F.lit(1), "_Draw": F.lit(2), "copy": F.lit("c")})
+    mixed = mixing.mix(docs, part_words=100, shards=4)
+    rows_ = mixed.collect()
+    assert {r["part"] for r in rows_} == set(range(round(200 * 75 / 4 / 100))) and {(r["_hash"], r["_Draw"], r["_b"], r["g"]) for r in rows_} == {(1, 2, 6, 7)}
+    assert {r["copy"] for r in rows_} == {0, 1}
+
+
 def test_mixing_meets_targets_and_repeats_agree(spark):
     rng = random.Random(1)
     pairs = [(i, " ".join(["w"] * rng.randint(0, 60)) or None) for i in range(3000)]
@@ -98,7 +158,7 @@ def test_mixing_meets_targets_and_repeats_agree(spark):
         x = by[src[r["doc_id"]]]
         x[0], x[1], x[2], x[3] = x[0] + r["size"], r["source_size"], r["target"], x[3] + r["taken"]
         assert r["taken"] <= 2 * r["size"] and r["size"] == len((dict(pairs)[r["doc_id"]] or "").split())
-    want = mixing.target_words([by[s][0] for s in ["Z", "a", "b", "é", None]], [5, 2, 1, 5, 2])
+    want = water_fill([by[s][0] for s in ["Z", "a", "b", "é", None]], [5, 2, 1, 5, 2])
     for s, t in zip(["Z", "a", "b", "é", None], want):
         assert by[s][1] == by[s][0] and by[s][2] == pytest.approx(t) and abs(by[s][3] - t) <= 30
     mixed = mixing.mix(docs.drop("size"))
