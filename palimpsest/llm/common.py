@@ -109,3 +109,13 @@ def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterato
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Whether df has at most ``limit`` rows; looks at no more than limit + 1."""
     return df.limit(limit + 1).count() <= limit
+
+
+#: Ids that are broadcast to take rows out; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows of these ids (a written table); rows with a null id stay."""
+    ids = F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    return docs.join(ids, id_col, "left_anti").select(docs.columns)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, pieces, small_enough
+from .common import LOWER, UPPER, Scratch, pieces, small_enough, without_ids
 from .components import connected_components
 
 #: An element is common if more documents than this hold it.  The commonest COMMON_LIMIT of them are sent to the workers (17 bytes each), which only settles the order.
@@ -359,7 +359,7 @@ def _repeats(known: DataFrame, id_col: str) -> bool:
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs that are the least of their class; rows with a null id stay."""
+    """docs that are the least of their class; rows with a null id stay, and so do all rows of an id that stays."""
     classes = near_duplicate_classes(docs, id_col=id_col, **options)
-    later = classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(later, id_col, "left_anti").select(docs.columns)
+    later = Scratch(docs.sparkSession).write(classes.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "later")
+    return without_ids(docs, later, id_col)

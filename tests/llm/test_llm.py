@@ -324,7 +324,9 @@ def brute_leaks(pairs, items):
     return out
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("broadcast_words", [decontam.BROADCAST_WORDS, 0])
+def test_decontamination(spark, monkeypatch, broadcast_words):
+    monkeypatch.setattr(decontam, "BROADCAST_WORDS", broadcast_words)
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(60)]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -348,6 +350,12 @@ def test_decontamination(spark):
     kept = decontam.drop_contaminated(docs_of(spark, pairs), bench)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in pairs} - {i for i, _ in brute_leaks(pairs, items)}
     assert decontam.contaminated(docs_of(spark, []), bench).collect() == [] and decontam.contaminated(docs_of(spark, pairs), bench.limit(0)).collect() == []
+    odd = docs_of(spark, [(None, items[0][1]), (None, "other"), (7, items[1][1]), (7, "other")])
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(odd, bench).collect()} >= {(None, 0), (7, 1)}
+    assert sorted(map(str, rows(decontam.drop_contaminated(odd, bench), "doc_id", "text"))) == sorted(map(str, [(None, items[0][1]), (None, "other")]))
+    for window, needed in ((12, 8), (13, 9), (20, 16)):
+        with pytest.raises(ValueError):
+            decontam.contaminated(odd, bench, window=window, needed=needed)
 
 
 # 7. HTML
