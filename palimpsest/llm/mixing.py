@@ -136,7 +136,8 @@ def _planned(docs: DataFrame, weights, volume, repeats, blocks, shards, seed, id
             whole = not (part[i] and part[i][:2] == (b, p))
             own.append((p, shard, whole, None if whole else cuts.get(i)))
         rows.append((s, b, sizes[i], float(targets[i]), own))
-    draw = T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("cut", base.select(key.alias("k")).schema["k"].dataType)])
+    cut = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", base.schema[id_col].dataType), T.StructField("size", T.LongType())])
+    draw = T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("cut", cut)])
     schema = T.StructType([T.StructField(source, T.StringType()), T.StructField(at, T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField(drawn, T.ArrayType(draw))])
     dealt = spark.createDataFrame(rows, schema)
     taken = F.filter(drawn, lambda d: d["whole"] | (d["cut"].isNotNull() & (key <= d["cut"])))

@@ -104,14 +104,15 @@ def test_targets_by_another_way():
             assert mixing.target_words(sizes, weights) == pytest.approx(water_fill(sizes, weights), rel=1e-6, abs=1e-6)
 
 
-def test_mixing_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("edge_bits,count,longest", [(3, 900, 40), (12, 300, 90)])
+def test_mixing_by_brute_force(spark, monkeypatch, edge_bits, count, longest):
     """Each source's draws again, one document after the other: blocks in their order, the last one up to the nearest document."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(mixing, "EDGE_BITS", 3)
+    monkeypatch.setattr(mixing, "EDGE_BITS", edge_bits)
     rng = random.Random(12)
-    pairs = [(i, " ".join(["w"] * rng.randint(0, 40))) for i in range(900)]
-    docs = docs_of(spark, pairs, {i: rng.choice(["a", "b", None]) for i in range(900)}, extra=False)
+    pairs = [(i, " ".join(["w"] * rng.randint(0, longest))) for i in range(count)]
+    docs = docs_of(spark, pairs, {i: rng.choice(["a", "b", None]) for i in range(count)}, extra=False)
     plan = mixing.draw_plan(docs, blocks=8, shards=4).withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id")).collect()
     taken = {r["doc_id"]: len(r["draws"]) for r in plan}
     for s in ("a", "b", None):
@@ -131,7 +132,7 @@ def test_mixing_by_brute_force(spark, monkeypatch):
             assert [taken[r["doc_id"]] > low for r in b] == [True] * cut + [False] * (len(b) - cut)
             assert abs(sums[cut] - rest) == min(abs(x - rest) for x in sums)
         got = sum(taken[r["doc_id"]] * r["size"] for r in own)
-        assert abs(got - target) <= 40
+        assert abs(got - target) <= longest
     counts = collections.Counter(d["shard"] for r in plan for d in r["draws"])
     assert set(counts) == {0, 1, 2, 3} and max(counts.values()) < 1.6 * min(counts.values())
 
