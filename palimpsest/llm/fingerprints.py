@@ -8,11 +8,13 @@ different suffixes, so equal fingerprints mean equal canonical texts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_enough, text_or_empty
+from .common import Scratch, fresh, small_enough, text_or_empty
 
 #: Buckets with copies up to this many are looked up by broadcast (16 bytes each); more take a shuffled join.
 BROADCAST_BUCKETS = 1_000_000
@@ -47,18 +49,27 @@ def buckets_apart(keyed: DataFrame) -> DataFrame | None:
     return texts.join(split, "_digest").select("_digest", "_canon", F.row_number().over(W.partitionBy("_digest").orderBy("_canon")).alias("_nth"))
 
 
+def _with_suffix(rows: DataFrame, apart: DataFrame, digest_col: str, canon_col: str, out_col: str) -> DataFrame:
+    """rows with the fingerprint: the digest, and in a bucket of different texts the number of the text."""
+    found, text, nth = fresh(rows.columns, "found", "text", "nth")
+    numbered = apart.select(F.col("_digest").alias(found), F.col("_canon").alias(text), F.col("_nth").alias(nth))
+    joined = rows.join(numbered, (F.col(digest_col) == F.col(found)) & (F.col(canon_col) == F.col(text)), "left")
+    return joined.withColumn(out_col, F.concat(F.col(digest_col), F.coalesce(F.concat(F.lit("-"), F.col(nth).cast("string")), F.lit("")))).drop(found, text, nth)
+
+
 def fingerprint_texts(docs: DataFrame, *, text_col: str = "text", out_col: str = "fingerprint", digest=digest) -> DataFrame:
     """docs with a fingerprint column (which replaces one of that name).
 
     A null text counts as empty.  Texts whose canonical forms are equal, and
-    only those, have equal fingerprints.
+    only those, have equal fingerprints.  Repeated rows stay; an empty table
+    stays empty.
     """
     canon = canonical(text_or_empty(text_col))
     apart = buckets_apart(docs.select(canon.alias("_canon")).select(digest(F.col("_canon")).alias("_digest"), "_canon"))
     if apart is None:
         return docs.withColumn(out_col, digest(canon))
-    keyed = docs.withColumn("_canon", canon).withColumn("_digest", digest(F.col("_canon")))
-    return keyed.join(apart, ["_digest", "_canon"], "left").withColumn(out_col, F.concat("_digest", F.coalesce(F.concat(F.lit("-"), F.col("_nth").cast("string")), F.lit("")))).drop("_digest", "_canon", "_nth")
+    c, d = fresh(docs.columns, "canon", "digest")
+    return _with_suffix(docs.withColumn(c, canon).withColumn(d, digest(F.col(c))), apart, d, c, out_col).drop(c, d)
 
 
 def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,48 +83,67 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id") ->
     Rows are dealt into ranges of ids, cut at quantiles; the first row of a
     range is also handed to the range before it.  So the order is global
     without one task seeing all rows.  Null ids come last; rows that share an id
-    are ordered by the columns.
+    are ordered by a hash of the columns, and an id that very many rows share
+    (or none at all) is cut into ranges of that hash.
     """
     spark = docs.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
-    key = F.coalesce(F.col(id_col), F.lit(_LAST))
     if docs.isEmpty():
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    cuts = sorted(set(docs.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100 * n)).first()[0]))  # n numbers
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key)) if len(cuts) < 16 else _bucket(cuts, key)
-    firsts = sorted(map(tuple, docs.select(bucket.alias("b"), key.alias("k")).groupBy("b").agg(F.min("k")).collect()))  # at most n rows
-    lead = spark.createDataFrame([(b, k, firsts[i - 1][0]) for i, (b, k) in enumerate(firsts)], "_fb int, _fk long, _before int")
-    own = docs.withColumn("_b", bucket).withColumn("_k", key)
-    own = own.join(F.broadcast(lead), (F.col("_b") == F.col("_fb")) & (F.col("_k") == F.col("_fk")), "left")
-    places = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("ghost")))).otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("ghost")), F.struct(F.col("_before").alias("b"), F.lit(True).alias("ghost"))))
-    dealt = own.withColumn("_p", F.explode(places)).withColumn("_b", F.col("_p.b")).withColumn("_ghost", F.col("_p.ghost")).drop("_p", "_fb", "_fk", "_before")
-    w = W.partitionBy("_b").orderBy("_ghost", "_k", *columns)
-    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where(~F.col("_ghost")).drop("_b", "_k", "_ghost")
-
-
-def _bucket(cuts: list[int], key: Column) -> Column:
-    """How many cuts lie below the key, by binary search in a balanced expression."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
-
-
-def compare_fingerprints(docs: DataFrame) -> DataFrame:
-    """The contract's query: every text, its edited text, and likeness to it and to the next text (1 or 0: fingerprints are exact)."""
-    keyed = docs.select(canonical(text_or_empty()).alias("_canon")).select(digest(F.col("_canon")).alias("_digest"), "_canon")
-    apart = buckets_apart(keyed)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("canon", canonical(F.col("text"))).withColumn("fingerprint", digest(F.col("canon")))
-    if apart is not None:
-        rows = rows.withColumnsRenamed({"canon": "_canon", "fingerprint": "_digest"}).join(apart, ["_digest", "_canon"], "left")
-        rows = rows.select("doc_id", "text", F.col("_canon").alias("canon"), F.concat("_digest", F.coalesce(F.concat(F.lit("-"), F.col("_nth").cast("string")), F.lit(""))).alias("fingerprint"))
-    rows = with_next(rows.drop("canon"), ["text", "fingerprint"])
+    key, tie, place, first, ghost, to = fresh(docs.columns, "key", "tie", "place", "first", "ghost", "to")
+    own = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(tie, F.xxhash64(*columns))
+    n = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    quantiles = own.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n)).first()[0]  # n numbers
+    own = own.withColumn(place, _range_of(sorted(quantiles), F.col(key), F.col(tie)))
+    firsts = sorted(map(tuple, own.groupBy(place).agg(F.min(F.struct(key, tie))).collect()))  # at most 2 n rows
+    lead = spark.createDataFrame([(p, *f, firsts[i - 1][0]) for i, (p, f) in enumerate(firsts)], f"{first} long, {first}k long, {first}t long, {to} long")
+    own = own.join(F.broadcast(lead), (F.col(place) == F.col(first)) & (F.col(key) == F.col(f"{first}k")) & (F.col(tie) == F.col(f"{first}t")), "left")
+    spot = lambda c, g: F.struct(F.col(c).alias("p"), F.lit(g).alias("g"))
+    spots = F.when(F.col(to).isNull(), F.array(spot(place, False))).otherwise(F.array(spot(place, False), spot(to, True)))
+    dealt = own.withColumn(ghost, F.explode(spots)).withColumn(place, F.col(ghost)["p"]).withColumn(ghost, F.col(ghost)["g"])
+    w = W.partitionBy(place).orderBy(ghost, key, tie)
+    return dealt.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).where(~F.col(ghost)).drop(key, tie, place, first, f"{first}k", f"{first}t", ghost, to)
+
+
+def _range_of(quantiles: list[int], key: Column, tie: Column) -> Column:
+    """A number that ascends with (key, tie).
+
+    It is the number of distinct quantiles below the key, found in two steps of
+    about the root of their number.  A key that is several quantiles in a row
+    is cut into as many ranges of the tie.
+    """
+    cuts = sorted(set(quantiles))
+    times = [quantiles.count(c) for c in cuts] if len(cuts) < len(quantiles) else [1] * len(cuts)
+    step = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda a: F.size(F.filter(a, lambda c: c < key))
+    block = F.least(below(F.lit([b[-1] for b in blocks])), F.lit(len(blocks) - 1))
+    bucket = block * step + below(F.get(F.lit([b + [_LAST] * (step - len(b)) for b in blocks]), block))
+    many, upper = F.coalesce(F.get(F.lit(times), bucket), F.lit(1)), F.get(F.lit(cuts), bucket)
+    part = F.floor((tie / F.lit(2.0**64) + 0.5) * many).cast("long")
+    return bucket.cast("long") * (len(quantiles) + 2) + F.when((many > 1) & (key == upper), part + 1).otherwise(0)
+
+
+def compare_fingerprints(docs: DataFrame, *, digest=digest) -> DataFrame:
+    """The contract's query: every text, its edited text, and likeness to it and to the next text (1 or 0: fingerprints are exact).
+
+    Null texts count as empty.  Null ids come last; rows that share an id are
+    ordered by their texts' hash; repeated rows each have a row; an empty table
+    gives no rows; other columns are not carried.  Edited texts fall into the
+    same buckets as texts, so equal ones have equal fingerprints.
+    """
+    texts = with_next(docs.select("doc_id", text_or_empty().alias("text")), ["text"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("fingerprint"), F.col("next_fingerprint"), edited.alias("edited"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint", "next_fingerprint", digest(canonical(F.col("edited"))).alias("edited_fingerprint"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"))
+    # Written once: the texts were shuffled for it, and the passes below read it.
+    texts = Scratch(docs.sparkSession).write(texts.withColumn("edited", edited), "paired")
+    sides = ("text", "next_text", "edited")
+    canon = texts.select("*", *[canonical(F.col(c)).alias(f"c_{c}") for c in sides])
+    rows = canon.select("*", *[digest(F.col(f"c_{c}")).alias(f"d_{c}") for c in sides])
+    apart = buckets_apart(texts.select(F.explode(F.array("text", "edited")).alias("t")).select(canonical(F.col("t")).alias("_canon")).select(digest(F.col("_canon")).alias("_digest"), "_canon"))
+    for c in sides:
+        rows = rows.withColumn(f"f_{c}", F.col(f"d_{c}")) if apart is None else _with_suffix(rows, apart, f"d_{c}", f"c_{c}", f"f_{c}")
+    like = lambda c: (F.col("f_text") == F.col(f"f_{c}")).cast("double")
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), F.col("f_text").alias("fingerprint"),
+        F.col("f_edited").alias("edited_fingerprint"), like("edited").alias("near_edited"), like("next_text").alias("near_next"),
+    )
