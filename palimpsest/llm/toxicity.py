@@ -199,9 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     Near copies count once: rows of one class with the same least hash whose
     likeness is COPY or more.  Phrases in which an entry is harmless are learned
     too and join ``exceptions``.  Rows with a null id, label or text are left out.
-    Without rows of both classes the lexicon is empty.
+    An id with several labels is toxic if one of them says so; repeated rows
+    count once; texts are taken whole.  Without rows of both classes the lexicon
+    is empty.
     """
-    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_id"]).orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(sample_rows)
+    ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y")).orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").where(F.col("_text").isNotNull()).select("_y", "_text")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     na, nb = sizes.get(1, 0), sizes.get(0, 0)
     if not na or not nb:
+        scratch.drop("sample")
         return Lexicon(exceptions=exceptions)
 
     counted = _count(sample, entries_of)
@@ -228,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     strong = strong.withColumn("g", F.col("a") * F.log((F.col("a") / na) / ((F.col("a") + F.col("b")) / (na + nb))))
     names = [r["entry"] for r in strong.orderBy(F.desc("g"), F.length("entry"), "entry").limit(CANDIDATES).collect()]
     if not names:
+        scratch.drop("sample")
         return Lexicon(exceptions=exceptions)
     place = {k: i for i, k in enumerate(names)}
 
@@ -306,13 +310,23 @@ def held_out(id_col: str = "doc_id"):
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's query: doc_id, held_out, score, predicted, learned from the labels that aren't held out.
+
+    Null and empty texts have the score of a text without matches; rows with a
+    null id count as held out; repeated rows score alike; an empty table gives no
+    rows, and without labels nothing is predicted toxic.
+    """
     lexicon = fit(docs, labels.where(~held_out()))
     scored = score_texts(docs, lexicon)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose score reaches the threshold; columns as they are."""
+    """docs without the rows whose score reaches the threshold; columns as they are.
+
+    Null and empty texts stay unless every text would go; repeated rows go or
+    stay alike; an empty table stays empty.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,9 @@
 
 A rule is either a host and path rule (``com/en/``: the host com and all its
 subdomains, paths that start with /en/) or a pattern of the usual block-list
-form, in which ``*`` stands for anything and ``^`` for a separator or an end.
+form, in which ``*`` stands for anything, ``^`` for a separator or an end, ``|``
+for the start or end of the URL and ``||`` for the start of the host or of a
+part of it; ``@@`` before a pattern allows what it fits.
 Each rule is filed under the one of its whole literal tokens that is rarest
 among the URLs at hand; a URL's tokens fetch candidates and only those run
 their regular expressions.
@@ -11,7 +13,7 @@ their regular expressions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,11 +48,32 @@ def host_rule(verdict: str, rule: str) -> Rule:
 
 
 def pattern_rule(verdict: str, pattern: str) -> Rule:
-    regex = "".join({"*": ".*", "^": r"(?:[^a-z0-9]|\A|\Z)"}.get(c, re.escape(c)) for c in pattern)
-    whole = [m[0] for m in _TOKEN.finditer(pattern) if 0 < m.start() and m.end() < len(pattern) and pattern[m.start() - 1] != "*" and pattern[m.end()] != "*"]
+    """A token counts as whole if a sign that isn't ``*``, or an anchored end, stands on both of its sides."""
+    body, head, tail = pattern.lower(), "", ""
+    if body.startswith("||"):
+        body, head = body[2:], r"\A(?:[^/?#]*\.)?"
+    elif body.startswith("|"):
+        body, head = body[1:], r"\A"
+    if body.endswith("|"):
+        body, tail = body[:-1], r"\Z"
+    regex = head + "".join({"*": ".*", "^": r"(?:[^a-z0-9]|\A|\Z)"}.get(c, re.escape(c)) for c in body) + tail
+    closed = lambda at, anchored: anchored if at < 0 or at >= len(body) else body[at] != "*"
+    whole = [m[0] for m in _TOKEN.finditer(body) if closed(m.start() - 1, bool(head)) and closed(m.end(), bool(tail))]
     return Rule(pattern, verdict, regex, tuple(whole), False)
 
 
+def parse_rules(lines: Iterable[str]) -> list[Rule]:
+    """A block list: a pattern a line, ``@@`` for exceptions; blank lines, comments (``!``), headers and cosmetic rules (``##``) and options (``$``) are left out.
+
+    The URL is matched without its scheme and in small letters.
+    """
+    rules = []
+    for line in map(str.strip, lines):
+        if line and line[0] not in "![" and "##" not in line and "#@#" not in line and "$" not in line:
+            rules.append(pattern_rule("allow", line[2:]) if line.startswith("@@") else pattern_rule("block", line))
+    return rules
+
+
 def production_rules() -> list[Rule]:
     return [host_rule(*r) for r in HOST_RULES] + [pattern_rule(*r) for r in PATTERNS]
 
@@ -78,25 +101,32 @@ class RuleIndex:
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
         self.by_token: dict[str, list[int]] = {}
         self.always: list[int] = []
-        self.rules, self.compiled = rules, [re.compile(r.regex, re.S) for r in rules]
+        self.rules, self._compiled = rules, {}
         for i, r in enumerate(rules):
             if r.tokens:
                 self.by_token.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
             else:
                 self.always.append(i)
 
+    def _fits(self, i: int, text: str) -> bool:
+        """Whether rule i fits; its expression is compiled when it is first a candidate."""
+        if (found := self._compiled.get(i)) is None:
+            found = self._compiled[i] = re.compile(self.rules[i].regex, re.S)
+        return bool(found.search(text))
+
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
         """host, path, the longest host and path rule that fits, verdict."""
         host, path, rest = split_url(url)
         lowered = rest.lower()
         found = [i for t in set(_TOKEN.findall(lowered)) for i in self.by_token.get(t, ())]
         best, pattern = None, None
+        rank = lambda r: (r.verdict == "allow", len(r.name), r.name)  # noqa: E731  exceptions go before blocking patterns
         for i in [*found, *self.always]:
             r = self.rules[i]
             if r.fixed:
-                if (best is None or len(r.name) > len(best.name)) and self.compiled[i].search(host + path):
+                if (best is None or len(r.name) > len(best.name)) and self._fits(i, host + path):
                     best = r
-            elif (pattern is None or (len(r.name), r.name) > (len(pattern.name), pattern.name)) and self.compiled[i].search(lowered):
+            elif (pattern is None or rank(r) > rank(pattern)) and self._fits(i, lowered):
                 pattern = r
         return host, path, best and best.name, (best or pattern).verdict if best or pattern else DEFAULT_VERDICT
 
@@ -106,13 +136,14 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, *, id_col: st
 
     Null and scheme-less URLs have an empty host and path and the default
     verdict.  Repeated rows are judged alike; an empty table stays empty; other
-    columns are not carried.
+    columns are not carried.  The index is built once and sent to the workers:
+    its size follows the list of rules, not the pages.
     """
     rules = production_rules() if rules is None else rules
-    counts = token_counts(pages, rules, url_col)
+    sent = pages.sparkSession.sparkContext.broadcast(RuleIndex(rules, token_counts(pages, rules, url_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = RuleIndex(rules, counts)
+        index = sent.value
         for b in pieces(batches):
             got = [index.judge(u) for u in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], pa.string()) for k in range(4))], names=[id_col, "host", "path", "rule", "verdict"])

@@ -67,6 +67,40 @@ def test_fingerprints_compare_bytes_in_equal_buckets(spark):
     assert got[1] == got[3] != got[2] and len(set(got.values())) == 4
 
 
+def test_edited_texts_share_the_buckets(spark):
+    """With a digest that collides, an edited text that equals a text has its fingerprint."""
+    from pyspark.sql import functions as F
+
+    pairs = [(1, "abab"), (2, "ab zz"), (3, "xyxy"), (4, "AB"), (5, "ab")]  # the edited texts of 4 and 5 start with a and end with the next text's first letter
+    got = fingerprints.compare_fingerprints(docs_of(spark, pairs, extra=False), digest=lambda c: F.length(c).cast("string")).collect()
+    order = dict(pairs)
+    by = collections.defaultdict(set)
+    for r in got:
+        t, nxt = order[r["doc_id"]], order.get(r["doc_id"] + 1, order[1])
+        h = len(t) // 2
+        by[canon(t)].add(r["fingerprint"])
+        by[canon(t[: len(t) - h] + nxt[:h])].add(r["edited_fingerprint"])
+        assert r["near_edited"] == float(canon(t) == canon(t[: len(t) - h] + nxt[:h]))
+    assert all(len(v) == 1 for v in by.values()) and len({x for v in by.values() for x in v}) == len(by)
+
+
+def test_next_rows_with_hot_and_null_ids(spark):
+    rng = random.Random(2)
+    pairs = [(rng.choice([None, 7, 7, 8, rng.randint(0, 10**6)]), f"t{i}") for i in range(4000)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in pairs], "doc_id long, text string, _key int, _place int")
+    got = fingerprints.with_next(docs, ["text"])
+    assert got.columns == [*docs.columns, "next_text"] and got.select(fingerprints.F.spark_partition_id()).distinct().count() > 1
+    follow = dict(rows(got, "text", "next_text"))
+    ids, at, seen = {t: 2**63 if i is None else i for i, t in pairs}, min(pairs, key=lambda p: (p[0] is None, p[0] or 0))[1], []
+    at = next(t for t in ids if all(ids[t] <= x for x in ids.values()))
+    for _ in pairs:
+        seen.append(at)
+        at = follow[at]
+    assert len(set(seen)) == len(pairs) and at == seen[0]
+    turns = [ids[t] for t in seen]
+    assert sum(a > b for a, b in zip(turns, turns[1:] + turns[:1])) == 1  # ascends all the way round
+
+
 def test_fingerprints_are_native_and_empty_tables_work(spark):
     plan = fingerprints.compare_fingerprints(docs_of(spark, ODD))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -181,7 +215,10 @@ URLS = [
 
 
 def brute_url(url):
-    host, path, rest = urlfilter.split_url(url)
+    rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
     fits = []
     for v, r in urlfilter.HOST_RULES:
         rh, _, rp = r.partition("/")
@@ -210,6 +247,54 @@ def test_url_sql_agrees(spark, tmp_path):
     assert sorted(map(tuple, queries.op3_url_filter(spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_block_list_patterns(spark):
+    """Patterns with several tokens, wildcards and anchors, against a plain match of every pattern."""
+    lines = ["! a comment", "[Head]", "", "example.com##.ad", "||ads.example.com^", "/banner/*/img^", "@@||ads.example.com/ok/", "|tracker.", "swf|", "ad*server", "||x.io/a*b", "-promo-", "^shop^sale^", "x$third-party"]
+    rng = random.Random(31)
+    bits = ["ads", "example", "com", "banner", "img", "ok", "tracker", "swf", "ad", "server", "x.io/", "a", "b", "promo", "shop", "sale", "/", ".", "-", "?", "="]
+    urls = ["http://" + "".join(rng.choice(bits) + rng.choice(["", "", ".", "/", "-"]) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    urls += ["https://ads.example.com/", "https://sub.ads.example.com/ok/1", "http://badads.example.com/", "http://h/banner/q/w/img", "http://h/shop/sale", None, "://"]
+
+    def fits(pattern, text):  # by hand: no tokens, no index
+        start = pattern.startswith("|") and not pattern.startswith("||")
+        host = pattern.startswith("||")
+        end = pattern.endswith("|")
+        body = pattern.strip("|")
+
+        def at(i, k):
+            while k < len(body):
+                if body[k] == "*":
+                    return any(at(j, k + 1) for j in range(i, len(text) + 1))
+                if body[k] == "^":
+                    if i < len(text) and not ("a" <= text[i] <= "z" or "0" <= text[i] <= "9"):
+                        i += 1
+                    elif i not in (0, len(text)):
+                        return False
+                elif i < len(text) and text[i] == body[k]:
+                    i += 1
+                else:
+                    return False
+                k += 1
+            return not end or i == len(text)
+
+        limit = len(re.split("[/?#]", text, maxsplit=1)[0])
+        starts = [0] if start else [0, *(i + 1 for i in range(limit) if text[i] == ".")] if host else range(len(text) + 1)
+        return any(at(i, 0) for i in starts)
+
+    rules = urlfilter.parse_rules(lines)
+    assert len(rules) == 9
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = dict(rows(urlfilter.filter_urls(pages, rules), "page_id", "verdict"))
+    hits = 0
+    for i, u in enumerate(urls):
+        text = u.split("://", 1)[1].lower() if u else ""
+        own = [x for x in lines[4:-1] if fits(x.removeprefix("@@"), text)]
+        want = "allow" if not own or any(x.startswith("@@") for x in own) else "block"
+        hits += want == "block"
+        assert got[i] == want, (u, own)
+    assert 200 < hits < 2800
+
+
 def test_only_candidates_run(spark):
     index = urlfilter.RuleIndex(urlfilter.production_rules(), {"com": 1000, "en": 900, "example": 950})
     assert sum(len(v) for v in index.by_token.values()) == len(index.rules) and "com" not in index.by_token
@@ -272,6 +357,75 @@ def test_repeated_passages(spark):
     assert linededup.repeated_spans(docs_of(spark, [])).collect() == []
 
 
+def brute_units(text):
+    """Units by hand: from the first sign to a mark before white space, a line's end or the text's."""
+    out, i, text = [], 0, text or ""
+    while i < len(text):
+        if text[i].isspace():
+            i += 1
+            continue
+        j = i + 1
+        while j < len(text) and text[j] != "\n" and not (text[j - 1] in ".!?" and text[j].isspace() and j - 1 > i):
+            j += 1
+        words = "".join(c if c.isalnum() else " " for c in text[i:j].lower()).split()
+        if words:
+            out.append((i, j, words))
+        i = j
+    return out
+
+
+def brute_spans(pairs, least=3):
+    """Spans to remove by going through the rows in order."""
+    import xxhash
+
+    h = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    seen, out = {}, set()
+    for i, t in sorted(set(pairs), key=lambda p: (p[0] is None, p[0] or 0, signed(h(p[1])))):
+        run = []
+        for a, b, words in [*brute_units(t), (0, 0, None)]:
+            if words and tuple(words) in seen:
+                run.append((a, b, len(words), seen[tuple(words)]))
+                continue
+            if sum(r[2] for r in run) >= least:
+                out.add((i, t, run[0][0], run[-1][1], len(run), run[0][3]))
+            run = []
+            if words:
+                seen[tuple(words)] = i
+    return out
+
+
+def test_substring_dedup_by_brute_force(spark):
+    import time
+
+    rng = random.Random(77)
+    lines = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(rng.randint(1, 9))) + rng.choice([".", "!", "?!", "", "..."]) for _ in range(30)]
+    make = lambda: rng.choice([" ", "\n", "  \n"]).join(rng.choice(lines) if rng.random() < 0.5 else f"own {rng.randint(0, 10**9)} text!" for _ in range(rng.randint(0, 9)))
+    pairs = [(rng.choice([None, 3, i]), make()) for i in range(120)] + [(500, None), (501, ""), (None, None), (502, "!" * 60000 + " " + lines[0]), (503, lines[1] + "\n" + lines[1])]
+    pairs += pairs[:10]
+    began = time.perf_counter()
+    list(linededup.units("!" * 400_000 + "a" + "?" * 400_000))
+    assert time.perf_counter() - began < 5
+    docs = docs_of(spark, pairs)
+    spans = linededup.repeated_spans(docs)
+    hashes = {r["h"]: r["text"] for r in docs.select(fingerprints.F.xxhash64(fingerprints.F.coalesce("text", fingerprints.F.lit(""))).alias("h"), "text").collect()}
+    got = {(r["doc_id"], hashes[r["text_hash"]], r["span_start"], r["span_end"], r["n_units"], r["kept_doc_id"]) for r in spans.collect()}
+    want = brute_spans(pairs)
+    assert got == want and len(want) > 30
+    docs = docs.withColumnsRenamed({"e": "_id", "g": "_key"})
+    cleaned = sorted(map(str, rows(linededup.remove_spans(docs, spans), "doc_id", "text", "_id", "_key")))
+    byrow = collections.defaultdict(list)
+    for i, t, a, b, *_ in want:
+        byrow[i, t].append((a, b))
+
+    def cut(i, t):
+        for a, b in sorted(byrow[i, t], reverse=True):
+            t = t[:a] + t[b:].lstrip()
+        return t
+
+    assert cleaned == sorted(str((i, cut(i, t), 5, 7)) for i, t in pairs)
+
+
 def test_repeated_rows_are_one_document(spark):
     long = " ".join(f"w{i}" for i in range(40)) + "."
     assert linededup.repeated_spans(docs_of(spark, [(1, long), (1, long)])).collect() == []
@@ -385,6 +539,76 @@ def test_html_templates_do_not_depend_on_the_size_of_the_host(spark):
     assert all(text[100 + i] == "Story copy. Layout of copies Own x" for i in range(6)) and text[201] == "Story 1. Layout few Own 1"
 
 
+def test_html_keeps_what_only_looks_like_noise():
+    text = lambda h: htmlmain.main_text(htmlmain.parse(h))
+    assert text('<body><div class="page with-sidebar"><article>Story</article></div><div class="sidebar">no</div></body>') == "Story"
+    assert text('<div id="no-comments"><p>Story</p></div>') == "Story" and text('<p class="share-price">12</p>') == "12"
+    assert text('<header>Site</header><article><header><h1>Head</h1></header><p>Body</p><footer>f</footer></article>') == "Head Body"
+    assert text('<div class="widget"><article>Only one</article></div>') == "Only one"
+    assert text('<article>Story</article><div class="comments"><article>first!</article></div>') == "Story"
+    assert text('<article>a<div class="site-footer">x</div><div class="ad">y</div><ul class="nav-menu links"><li>z</ul><div class="cookie-notice">c</div></article>') == "a"
+    assert text('<div hidden><article>x</article></div><p>y</p>') == "y"
+
+
+def test_html_by_brute_force(spark):
+    """Pages made of known parts: the expected text is what the parts that stay hold."""
+    rng = random.Random(70)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    say = lambda n: " ".join(word() for _ in range(n))
+    boxes = {f"host{k}.com": [say(4) for _ in range(2)] for k in range(2)}  # of each host, on many of its pages
+    data, want = [], {}
+    for i in range(240):
+        host = f"host{rng.randint(0, 1)}.com"
+        parts, kept = [], []
+        for _ in range(rng.randint(1, 8)):
+            t = say(rng.randint(1, 9))
+            kind = rng.choice(["p", "h2", "div", "ul", "b", "amp", "box", "nav", "ad", "script", "aside", "comment"])
+            if kind == "p":
+                parts.append(f"<p>{t}" + rng.choice(["", "</p>"]))
+                kept.append(t)
+            elif kind in ("h2", "div"):
+                parts.append(f"<{kind}>\n {t.replace(' ', '  ')}\t</{kind}>")
+                kept.append(t)
+            elif kind == "ul":
+                parts.append("<ul>" + "".join(f"<li>{x}" for x in t.split()) + "</ul>")
+                kept.append(t)
+            elif kind == "b":
+                parts.append(f"<p>{t}<b>bold</b><br>line</p>")
+                kept.append(f"{t}bold line")
+            elif kind == "amp":
+                parts.append(f"<p>{t} &lt;&amp;&#x41;&nbsp;</p>")
+                kept.append(f"{t} <&A")
+            elif kind == "box":
+                parts.append(f"<div class='box'><span>{rng.choice(boxes[host])}</span></div>")
+            elif kind == "comment":
+                parts.append(f"<!-- <p>{t}</p> -->")
+            else:
+                parts.append({"nav": f"<nav><a>{t}</a></nav>", "ad": f"<div class='ad'>{t}</div>", "script": f"<script>'<p>{t}</p>'</script>", "aside": f"<aside><p>{t}</p></aside>"}[kind])
+        tag = rng.choice(["article", "main", "div"])
+        data.append((i, f"https://{host}/{i}", f"<html><head><title>{say(2)}</title></head><body><header>{say(3)}</header><{tag}>{''.join(parts)}</{tag}><footer>{say(3)}</footer></body></html>"))
+        want[i] = " ".join(kept)
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    seen = collections.Counter((u.split("/")[2], b) for i, u, h in data for b in boxes[u.split("/")[2]] if b in h)
+    assert min(seen.values()) >= 8
+    assert dict(rows(htmlmain.extract_main(pages), "page_id", "text")) == want
+
+
+@pytest.mark.parametrize("limit", [0])
+def test_html_with_more_templates_than_are_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(htmlmain, "BROADCAST_TEMPLATES", limit)
+    test_html(spark)
+    test_html_templates_do_not_depend_on_the_size_of_the_host(spark)
+
+
+def test_html_long_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 40000 + "</p></span>" * 40000, "<p><td>" + "<b>" * 40000 + "<hr>" * 40000, "<ul><li>" + "<i>" * 40000 + "<p>" * 40000):
+        began = time.perf_counter()
+        htmlmain.main_text(htmlmain.parse(page))
+        assert time.perf_counter() - began < 6
+
+
 def test_html_parser_survives_deep_and_broken_pages():
     assert htmlmain.main_text(htmlmain.parse("<div>" * 20000 + "x")) == "x"
     for broken in ("<", "<p", "</p>", "<!--", "<script>", "<a href='", "<p>a</b></i>b<", "&#xZZ; &amp"):
@@ -536,6 +760,20 @@ def test_toxicity_shared_passages_are_no_copies(spark):
     assert not toxicity.fit(docs_of(spark, same), labels).weights  # near copies still count once
 
 
+def test_toxicity_repeated_rows_and_long_texts(spark):
+    rng = random.Random(99)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.choice('rstuv')}{rng.choice('wxyz')}" for _ in range(n)]
+    data = [(i, " ".join(some(25) + ["zorkish"] * (i % 3 == 0) + some(5)), int(i % 3 == 0)) for i in range(150)]
+    labels = [(i, y) for i, _, y in data] + [(0, 0), (3, 0), (None, 1), (5, None)]  # 0 and 3 have two labels
+    fit = lambda d, l: toxicity.fit(docs_of(spark, d), spark.createDataFrame(l, "doc_id long, toxic int"))
+    docs = [(i, t) for i, t, _ in data]
+    a, b = fit(docs, labels), fit(docs[::-1] + docs[:40], labels[::-1] + labels[:30])
+    assert a.weights == b.weights and a.exceptions == b.exceptions and (a.bias, a.slope) == pytest.approx((b.bias, b.slope))
+    long = " ".join(some(20000) + ["zorkish"])
+    scored = dict(rows(toxicity.score_texts(docs_of(spark, [(1, long), (2, long.replace("zorkish", "x")), (3, None)]), a), "doc_id", "score"))
+    assert scored[1] > scored[2] == scored[3]
+
+
 def test_held_out_rule(spark):
     import zlib
 
