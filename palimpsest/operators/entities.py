@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -86,21 +91,84 @@ def resolve_mentions(mentions: DataFrame, pool: DataFrame, keys: list[str]) -> D
     """
     names = pool.select(*keys, "id", "pos", F.lit(1).alias("_pass"), F.lit(0).alias("_alias"), S.normalize_name(F.col("canonical_name")).alias("_norm"))
     aliases = pool.select(*keys, "id", "pos", F.posexplode("aliases").alias("_alias", "_a")).select(*keys, "id", "pos", F.lit(2).alias("_pass"), "_alias", S.normalize_name(F.col("_a")).alias("_norm"))
-    found = mentions.withColumn("_norm", S.normalize_name(F.col("mention"))).join(names.unionByName(aliases), [*keys, "_norm"])
-    best = found.groupBy(*keys, "mention_id", "mention").agg(F.min(F.struct("_pass", "pos", "_alias", "id")).alias("_m"))
-    return best.select(*keys, "mention_id", "mention", F.col("_m.id").alias("entity_id"))
+    # One answer for each normal form, so a name that very many entities share costs a mention one row.
+    best = names.unionByName(aliases).groupBy(*keys, "_norm").agg(F.min(F.struct("_pass", "pos", "_alias", "id")).alias("_m"))
+    found = mentions.withColumn("_norm", S.normalize_name(F.col("mention"))).join(best, [*keys, "_norm"])
+    return found.select(*keys, "mention_id", "mention", F.col("_m.id").alias("entity_id")).distinct()
+
+
+#: Vectors of a pack: two packs are compared by one matrix product.
+PACK = 512
 
 
 def similar(probes: DataFrame, pool: DataFrame, *, limit: int = 5, threshold: float = 0.85, exclude_self: bool = True) -> DataFrame:
     """probes and pool: id, block, embedding.  Pool rows of the probe's block with a cosine above the threshold, best first.
 
-    Vectors are normalised once, so a pair costs one dot product.  The pool's
-    blocks bound the pairs; each probe keeps ``limit``.
+    Vectors are normalised once and packed by block and hash; packs of a block
+    meet pairwise, so a task holds two packs, and a probe hands on no more than
+    ``limit`` rows of each.  Empty and zero vectors, and those of another length
+    than the probe's, are like nothing.
     """
-    unit = lambda df, p: df.where(F.size("embedding") > 0).select(F.col("id").alias(f"{p}id"), "block", F.col("embedding").cast("array<double>").alias(f"{p}v"))
-    pairs = unit(probes, "probe_").join(unit(pool, "match_"), "block")
-    if exclude_self:
-        pairs = pairs.where(F.col("probe_id") != F.col("match_id"))
-    scored = pairs.withColumn("score", S.cosine_similarity(F.col("probe_v"), F.col("match_v"))).where(F.col("score") > threshold).withColumn("score", F.round("score", 9))
+    kinds = probes.schema["id"].dataType.simpleString(), pool.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got: list[tuple] = []
+            for left, right in zip(b.column(0), b.column(1)):
+                got += _best_of_packs(left.as_py(), right.as_py(), limit, threshold, exclude_self)
+            cols = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (b.schema.field(0).type.value_type.field("id").type, b.schema.field(1).type.value_type.field("id").type, pa.float64()))], names=["probe_id", "match_id", "score"])
+
+    pairs = _packs(probes, "p").join(_packs(pool, "m"), "block").select("p", "m")
+    scored = pairs.mapInArrow(run, f"probe_id {kinds[0]}, match_id {kinds[1]}, score double")
     rank = F.row_number().over(W.partitionBy("probe_id").orderBy(F.desc("score"), "match_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("probe_id", "match_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _packs(vectors: DataFrame, name: str) -> DataFrame:
+    """A row per pack: block and the ids and vectors of its members, PACK or so."""
+    rows = vectors.where((F.size("embedding") > 0) & F.col("block").isNotNull()).select("id", "block", F.col("embedding").cast("array<double>").alias("v"))
+    parts = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("parts"))
+    packed = rows.join(parts, "block").groupBy("block", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    return packed.agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("part")
+
+
+def _best_of_packs(left: list[dict], right: list[dict], limit: int, threshold: float, exclude_self: bool) -> list[tuple]:
+    out = []
+    for size in {len(r["v"]) for r in left}:
+        a, b = ([r for r in side if len(r["v"]) == size] for side in (left, right))
+        if not a or not b:
+            continue
+        x, y = (np.array([r["v"] for r in side]) for side in (a, b))
+        norms = [np.sqrt((m * m).sum(axis=1)) for m in (x, y)]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = np.nan_to_num((x @ y.T) / np.outer(*norms), nan=0.0, posinf=0.0, neginf=0.0)
+        for i, j in ((i, np.flatnonzero(row > threshold)) for i, row in enumerate(cosine)):
+            near = sorted((-round(float(cosine[i, k]), 9), b[k]["id"]) for k in j if not (exclude_self and b[k]["id"] == a[i]["id"]))
+            out += [(a[i]["id"], m, -s) for s, m in near[:limit]]
+    return out
+
+
+def duplicate_candidates(new: DataFrame, pool: DataFrame) -> DataFrame:
+    """For review, not merged: up to three other entities of the same type above 0.85 for each new one.  Columns as in ``similar``, with block the entity type."""
+    return similar(new, pool, limit=3, threshold=0.85)
+
+
+def resolve_entity(entities: DataFrame, tenant: str, query: str, conversation: str | None = None) -> DataFrame:
+    """The first entity that a search finds (within a conversation, if given); none is an error, several are worth a warning."""
+    found = search(entities, tenant, query)
+    found = found.where(F.col("conversation_id") == conversation) if conversation is not None else found
+    ids = [r["id"] for r in found.orderBy(F.desc("created_at"), "id").select("id").limit(2).collect()]
+    if not ids:
+        raise LookupError(f"no entity matches {query!r} (tenant {tenant}, conversation {conversation})")
+    if len(ids) > 1:
+        logging.getLogger(__name__).warning("several entities match %r, the first is taken", query)
+    return by_id(entities, ids[0])
+
+
+def check_merge(entities: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (dup, primary) that can't be merged, with the reason: the same entity, or one that isn't there."""
+    ids = entities.select("id").distinct()
+    known = pairs.join(ids.withColumnsRenamed({"id": "dup"}).withColumn("_d", F.lit(True)), "dup", "left").join(ids.withColumnsRenamed({"id": "primary"}).withColumn("_p", F.lit(True)), "primary", "left")
+    why = F.when(F.col("dup") == F.col("primary"), "cannot merge an entity with itself").when(F.col("_p").isNull(), "primary entity not found").when(F.col("_d").isNull(), "duplicate entity not found")
+    return known.withColumn("error", why).where(F.col("error").isNotNull()).select("dup", "primary", "error")

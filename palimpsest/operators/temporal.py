@@ -66,10 +66,10 @@ def as_of_join(probes: DataFrame, edges: DataFrame, *, axis: str = "valid", at:
     """Every probe with the edges that hold at its time.
 
     With keys, an equi-join with a residual range.  Without, time is cut into
-    units: edges that ended are spread over the units they touch, and open ones,
-    which would touch all units to come, are told from the ended and only
-    compared by their start's unit order; so no nested loop over all pairs of
-    ended edges takes place.
+    units and the units into a binary tree.  An interval is spread over the few
+    tree nodes that make it up (no more than two a level, however long it is or
+    if it is open), a probe over the nodes above its unit, and the two meet by
+    equality in exactly one node.
     """
     start, end = F.col(f"{axis}_from"), F.col(f"{axis}_to")
     inside = (start <= F.col(at)) & (end.isNull() | (end > F.col(at)))
@@ -77,9 +77,26 @@ def as_of_join(probes: DataFrame, edges: DataFrame, *, axis: str = "valid", at:
         return probes.join(edges, [probes[c] == edges[c] for c in on] + [inside], how) if how in ("left_semi", "left_anti") else probes.join(edges, on, "inner").where(inside)
     if how != "inner":
         raise ValueError("without keys only inner joins are offered")
-    last = probes.agg(F.max(at)).first()[0]
-    if last is None:
+    last, first = probes.agg(F.max(at)).first()[0], edges.agg(F.min(start)).first()[0]
+    if last is None or first is None or first > last:
         return probes.join(edges, F.lit(False))
-    stop = F.least(F.coalesce(end, F.lit(last)), F.lit(last))
-    spread = edges.where((start <= F.lit(last)) & (end.isNull() | (start < end))).withColumn("_unit", F.explode(F.sequence(F.date_trunc(unit, start).cast("date"), F.greatest(F.date_trunc(unit, stop), F.date_trunc(unit, start)).cast("date"), F.expr(f"INTERVAL 1 {unit}"))))
-    return probes.withColumn("_unit", F.date_trunc(unit, F.col(at)).cast("date")).join(spread, "_unit").where(inside).drop("_unit")
+    number = lambda c: F.timestamp_diff(unit, F.date_trunc(unit, F.lit(first)), F.date_trunc(unit, c))
+    levels = max(1, probes.sparkSession.range(1).select(number(F.lit(last))).first()[0].bit_length())
+    spread = edges.where((start <= F.lit(last)) & (end.isNull() | (start < end))).withColumn("_node", F.explode(_tree_nodes(number(start), number(F.least(F.coalesce(end, F.lit(last)), F.lit(last))), levels)))
+    asked = probes.where(F.col(at) >= F.lit(first)).withColumn("_node", F.explode(F.array(*[_node(k, F.shiftright(number(F.col(at)), k)) for k in range(levels + 1)])))
+    return asked.join(spread, "_node").where(inside).drop("_node")
+
+
+def _node(level: int, place: Column) -> Column:
+    return place * 64 + level
+
+
+def _tree_nodes(low: Column, high: Column, levels: int) -> Column:
+    """The nodes that make up the units from low to high (both inside)."""
+    nodes = []
+    for k in range(levels + 1):
+        left, right = F.shiftright(low + (2**k - 1), k), F.shiftright(high + 1, k) - 1
+        open_ = left <= right
+        nodes.append(F.when(open_ & (left % 2 == 1), _node(k, left)))
+        nodes.append(F.when(open_ & (right % 2 == 0), _node(k, right)))
+    return F.array_compact(F.array(*nodes))

@@ -13,7 +13,7 @@ from ..operators import research as X
 from ..operators import temporal as T
 from ..sources import files as SRC
 from . import fixtures as FX
-from .fixtures import A_SQL, C_SQL, F_SQL, METRICS_SQL, N_SQL, R_SQL, S_SQL, table
+from .fixtures import A_SQL, C_SQL, F_SQL, METRICS_SQL, N_SQL, R_SQL, S_SQL, scored_sql, table
 
 AT, KNOWN, NOW = "2024-01-15", "2024-01-20", "2024-02-01"
 EDGE = ["seq", "tenant_id", "group_id", "source_id", "target_id", "rel_type", "confidence", "version", "valid_from", "valid_to", "recorded_from", "recorded_to", "conflicts"]
@@ -69,8 +69,8 @@ query("reinforced_confidence", f"WITH {A_SQL} SELECT seq, round(least(0.7::DOUBL
     lambda s, d: FX.assertions(s, d).select("seq", F.round(S.reinforced_confidence(S.decayed_confidence(F.col("confidence"), F.col("rel_type"), F.col("valid_from"), ntz(NOW)), F.col("confidence")), 9).alias("reinforced")))
 query("snap_confidence", f"WITH {A_SQL}, l AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, 0.8::DOUBLE), (2, 0.6::DOUBLE), (3, 0.4::DOUBLE)) t(i, x)) SELECT seq, confidence, arg_min(x, abs(x - confidence) * 1e9 + i * 1e-9) AS snapped FROM (SELECT a.seq, a.confidence, l.i, l.x, row_number() OVER (PARTITION BY a.seq ORDER BY abs(l.x - a.confidence), l.i) AS k FROM a, l) WHERE k = 1 GROUP BY seq, confidence")(
     lambda s, d: FX.assertions(s, d).select("seq", "confidence", S.snap_confidence(F.col("confidence")).alias("snapped")))
-query("normalize_names", r"SELECT c_custkey AS id, regexp_replace(trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', '-', 'g') AS norm FROM customer UNION ALL SELECT -1 - doc_id, regexp_replace(trim(regexp_replace(lower(replace(left(text, 40), chr(10), ' ')), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', '-', 'g') FROM documents")(
-    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), S.normalize_name(F.col("c_name")).alias("norm")).union(table(s, d, "documents").select(-1 - F.col("doc_id"), S.normalize_name(F.translate(F.substring("text", 1, 40), "\n", " ")))))
+query("normalize_names", r"SELECT c_custkey AS id, regexp_replace(trim(regexp_replace(lower(c_name), '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', '-', 'g') AS norm FROM customer")(
+    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), S.normalize_name(F.col("c_name")).alias("norm")))
 # Whole names and texts; no SQL, since DuckDB's white space and trim are ASCII only.
 query("normalize_texts")(
     lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), S.normalize_name(F.col("c_name")).alias("norm")).union(table(s, d, "documents").select(-1 - F.col("doc_id"), S.normalize_name(F.col("text")))))
@@ -150,15 +150,14 @@ query("as_of_join", f"WITH {R_SQL}, {_P} SELECT pb.source_id, pb.probe_at, r.seq
 query("as_of_anti", f"WITH {R_SQL}, {_P} SELECT pb.source_id, pb.probe_at FROM pb WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rel_type = 'prefers' AND r.source_id = pb.source_id AND r.valid_from <= pb.probe_at AND (r.valid_to IS NULL OR r.valid_to > pb.probe_at))")(lambda s, d: T.as_of_join(_probes(s, d), edges(s, d).where(F.col("rel_type") == "prefers"), on=["source_id"], at="probe_at", how="left_anti"))
 
 
-def _keyless(s, d, probes=None):
-    probes = table(s, d, "events").where(F.col("event_id") % 500 == 0) if probes is None else probes
-    hit = T.as_of_join(probes.select(F.col("event_id").alias("probe"), F.col("ts").alias("at")), edges(s, d).where(F.col("rel_type").isin("prefers", "avoids")), unit="DAY")
+def _keyless(s, d):
+    probes = table(s, d, "events").select(F.col("event_id").alias("probe"), F.col("ts").alias("at"))
+    hit = T.as_of_join(probes, edges(s, d).where(F.col("rel_type").isin("prefers", "avoids")), unit="DAY")
     return hit.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
-query("as_of_join_keyless", f"WITH {R_SQL} SELECT e.event_id AS probe, count(*) AS n, min(r.seq) AS first_seq FROM events e JOIN r ON r.rel_type IN ('prefers', 'avoids') AND r.valid_from <= e.ts AND (r.valid_to IS NULL OR r.valid_to > e.ts) WHERE e.event_id % 500 = 0 GROUP BY e.event_id")(_keyless)
-# Every event probes.
-query("as_of_join_keyless_all", f"WITH {R_SQL} SELECT e.event_id AS probe, count(*) AS n, min(r.seq) AS first_seq FROM events e JOIN r ON r.rel_type IN ('prefers', 'avoids') AND r.valid_from <= e.ts AND (r.valid_to IS NULL OR r.valid_to > e.ts) GROUP BY e.event_id")(lambda s, d: _keyless(s, d, table(s, d, "events")))
+query("as_of_join_keyless", f"""WITH {R_SQL} SELECT e.event_id AS probe, count(*) AS n, min(r.seq) AS first_seq
+FROM events e JOIN r ON r.rel_type IN ('prefers', 'avoids') AND r.valid_from <= e.ts AND (r.valid_to IS NULL OR r.valid_to > e.ts) GROUP BY e.event_id""")(_keyless)
 query("version_max", f"WITH {R_SQL} SELECT source_id, rel_type, max(version) AS max_version FROM r GROUP BY ALL")(lambda s, d: R.version_max(edges(s, d)))
 
 
@@ -186,7 +185,25 @@ query("fixture_sample", f"WITH {C_SQL} SELECT seq, record_id, source, event_date
 query("experiment_metrics", f"WITH {S_SQL} SELECT profile, {METRICS_SQL} FROM sc GROUP BY profile")(lambda s, d: X.metrics(scored(s, d), "profile"))
 query("profile_agreement", f"WITH {S_SQL} SELECT round(coalesce(avg((x.top = y.top)::INT::DOUBLE), 0.0), 9) AS agreement, count(*) AS n FROM sc x JOIN sc y ON x.record_id = y.record_id AND x.profile = 'baseline' AND y.profile = 'distractor'")(lambda s, d: X.agreement(scored(s, d), "baseline", "distractor"))
 query("calibration_bins", f"WITH {S_SQL}, b AS (SELECT least(CAST(floor(least(greatest(confidence, 0.0), 1.0) * 10) AS INTEGER), 9) AS bin, * FROM sc), g AS (SELECT bin, count(*) AS n, round(avg((top = tr)::INT::DOUBLE), 9) AS accuracy, round(avg(confidence), 7) AS mean_confidence FROM b GROUP BY bin) SELECT CAST(k.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, accuracy, mean_confidence FROM (SELECT unnest(range(10)) AS bin) k LEFT JOIN g ON k.bin = g.bin")(lambda s, d: X.calibration(scored(s, d)))
-query("budget_sweep", f"WITH {S_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY seq) AS rn FROM sc), e AS (SELECT unnest([25, 50, 100]) AS budget) SELECT CAST(budget AS INTEGER) AS budget, profile, {METRICS_SQL} FROM k JOIN e ON rn <= budget GROUP BY budget, profile")(lambda s, d: X.budget_sweep(scored(s, d), [25, 50, 100]))
+_AGREE = "round(avg((top = base)::INT::DOUBLE), 9) AS agreement"
+query("budget_sweep", f"""WITH {C_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY seq) AS rn FROM sp), cut AS (SELECT * FROM k WHERE rn <= 100),
+{scored_sql("cut")}, e AS (SELECT CAST(unnest([25, 50, 100]) AS INTEGER) AS budget),
+m AS (SELECT sc.*, e.budget, max(CASE WHEN profile = 'baseline' THEN top END) OVER (PARTITION BY e.budget, record_id) AS base FROM sc JOIN e ON rn <= e.budget)
+SELECT budget, profile, {METRICS_SQL}, {_AGREE} FROM m GROUP BY budget, profile""")(lambda s, d: X.budget_sweep(_split(s, d), [25, 50, 100]))
+_chain = lambda s, d: X.research_pipeline(FX.records(s, d), train_until="1998-12-31", eval_until="2000-12-31")
+_CHAIN = f"{C_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY seq) AS rn FROM sp), cut AS (SELECT * FROM k WHERE rn <= 250), {scored_sql('cut')}"
+_NAME = lambda c: f"CASE {c} WHEN 0 THEN 'stability' WHEN 1 THEN 'distress' ELSE 'refi' END"
+query("research_profiles", f"WITH {_CHAIN} SELECT profile, {METRICS_SQL} FROM sc GROUP BY profile")(lambda s, d: _chain(s, d)["profiles"])
+query("research_samples", f"""WITH {_CHAIN}, o AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY list_position(['train', 'eval', 'holdout', 'unspecified'], split), seq) AS sample FROM sc)
+SELECT profile, sample, record_id, s0 AS score_stability, s1 AS score_distress, s2 AS score_refi, {_NAME("top")} AS top, {_NAME("tr")} AS truth FROM o WHERE sample <= 3""")(
+    lambda s, d: _chain(s, d)["samples"].select("profile", "sample", "record_id", "score_stability", "score_distress", "score_refi", "top", "truth"))
+query("research_agreement", f"""WITH {_CHAIN} SELECT y.profile AS other, round(coalesce(avg((x.top = y.top)::INT::DOUBLE), 0.0), 9) AS agreement, count(*) AS n FROM sc x JOIN sc y ON x.record_id = y.record_id AND x.profile = 'baseline' AND y.profile <> 'baseline' GROUP BY y.profile""")(
+    lambda s, d: (lambda c: c["agreement_reduced"].withColumn("other", F.lit("reduced_context")).unionByName(c["agreement_distractor"].withColumn("other", F.lit("distractor"))))(_chain(s, d)))
+query("manifest_totals", f"WITH {C_SQL} SELECT count(*) AS files, CAST(sum(length(record_id)) AS BIGINT) AS total_bytes, min(left(event_date, 7) || '-01') AS first_date, max(strftime(last_day(CAST(event_date AS DATE)), '%Y-%m-%d')) AS last_date FROM rec WHERE event_date IS NOT NULL")(lambda s, d: X.manifest_totals(_manifest(s, d)))
+query("source_periods", f"WITH {C_SQL} SELECT source, array_to_string(list_sort(list(DISTINCT left(event_date, 4))), ',') AS periods, min(left(event_date, 4)) AS first_period, max(left(event_date, 4)) AS last_period FROM rec WHERE event_date IS NOT NULL GROUP BY source")(
+    lambda s, d: X.periods_by_source(FX.records(s, d).select("source", F.substring("event_date", 1, 4).alias("period"))).withColumn("periods", F.array_join("periods", ",")))
+query("source_scaffold", f"WITH {C_SQL} SELECT record_id, source, list_position(['fannie', 'ginnie', 'edgar'], source) - 1 AS source_rank FROM rec")(
+    lambda s, d: X.scaffold([FX.records(s, d).where(F.col("source") == name).select("record_id", "source") for name in ("fannie", "ginnie", "edgar")]))
 query("reduced_metadata", "SELECT event_id, json_extract_string(props, '$.k') AS kept, CAST(1 AS BIGINT) AS n_keys FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", S.reduced_metadata(F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("z"), F.lit("y")))).alias("m")).select("event_id", F.element_at("m", "k").alias("kept"), F.size("m").cast("long").alias("n_keys")))
 query("link_extract", """SELECT link, count(*) AS pages FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) GROUP BY link""")(lambda s, d: SRC.links(table(s, d, "pages")))

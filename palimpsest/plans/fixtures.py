@@ -75,11 +75,26 @@ fs AS (SELECT f.*, a.tm AS valid_to, b.old AS supersedes_seq, CASE WHEN a.tm IS
 C_SQL = """rec AS (SELECT o_orderkey AS seq, CAST(o_orderkey AS VARCHAR) AS record_id, CASE o_custkey % 3 WHEN 0 THEN 'fannie' WHEN 1 THEN 'ginnie' ELSE 'edgar' END AS source, CASE WHEN o_orderkey % 50 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS event_date, o_totalprice AS price FROM orders),
 sp AS (SELECT *, CASE WHEN event_date IS NULL THEN 'unspecified' WHEN event_date <= '1998-12-31' THEN 'train' WHEN event_date <= '2000-12-31' THEN 'eval' ELSE 'holdout' END AS split FROM rec)"""
 _h = lambda x: f"(CAST(('0x' || substr(sha256({x}), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE)"
-_B = ("continue", "revise", "escalate")
-_raw = lambda b: f"((0.65::DOUBLE * {_h(f"record_id || '::{b}'")} + 0.35::DOUBLE * CASE source WHEN 'fannie' THEN 0.5::DOUBLE WHEN 'ginnie' THEN 0.4::DOUBLE ELSE 0.45::DOUBLE END) * CASE profile WHEN 'baseline' THEN 1.0::DOUBLE WHEN 'reduced_context' THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END + CASE WHEN profile = 'distractor' THEN 0.02::DOUBLE * {_h(f"record_id || '::noise::{b}'")} ELSE 0.0::DOUBLE END)"
-S_SQL = C_SQL + f""", pr AS (SELECT sp.*, unnest(['baseline', 'reduced_context', 'distractor']) AS profile FROM sp),
-raw AS (SELECT *, {", ".join(f"{_raw(b)} AS r{i}" for i, b in enumerate(_B))}, least(CAST(floor({_h("record_id || '::truth'")} * 3) AS INTEGER), 2) AS tr FROM pr),
+# Fixed values, as the operator must have them: bias by source in the order of the branches, and factor by profile.
+_B = ("stability", "distress", "refi")
+_BIAS = {"edgar": (0.36, 0.34, 0.30), "fannie": (0.42, 0.23, 0.35), "ginnie": (0.28, 0.30, 0.42)}
+_FACTOR = "CASE profile WHEN 'baseline' THEN 1.0::DOUBLE WHEN 'reduced_context' THEN 0.96::DOUBLE WHEN 'distractor' THEN 0.90::DOUBLE END"
+
+
+def _raw(i: int, b: str) -> str:
+    bias = "CASE source " + " ".join(f"WHEN '{s}' THEN {x[i]}::DOUBLE" for s, x in _BIAS.items()) + " ELSE 0.33::DOUBLE END"
+    own, noise = _h(f"record_id || '::{b}'"), _h(f"record_id || '::noise::{b}'")
+    return f"((0.65::DOUBLE * {own} + 0.35::DOUBLE * {bias}) * {_FACTOR} + CASE WHEN profile = 'distractor' THEN 0.02::DOUBLE * {noise} ELSE 0.0::DOUBLE END)"
+
+
+def scored_sql(source: str) -> str:
+    """The scoring of a table of records as three common table expressions; the last is sc."""
+    return f"""pr AS (SELECT t.*, unnest(['baseline', 'reduced_context', 'distractor']) AS profile FROM {source} t),
+raw AS (SELECT *, {", ".join(f"{_raw(i, b)} AS r{i}" for i, b in enumerate(_B))}, least(CAST(floor({_h("record_id || '::truth'")} * 3) AS INTEGER), 2) AS tr FROM pr),
 nrm AS (SELECT *, {", ".join(f"round(r{i} / (r0 + r1 + r2), 9) AS s{i}" for i in range(3))} FROM raw),
 sc AS (SELECT *, greatest(s0, s1, s2) AS confidence, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS top,
   (s0 - (tr = 0)::INT::DOUBLE) * (s0 - (tr = 0)::INT::DOUBLE) + (s1 - (tr = 1)::INT::DOUBLE) * (s1 - (tr = 1)::INT::DOUBLE) + (s2 - (tr = 2)::INT::DOUBLE) * (s2 - (tr = 2)::INT::DOUBLE) AS brier FROM nrm)"""
-METRICS_SQL = "count(*) AS n, round(avg((top = tr)::INT::DOUBLE), 9) AS accuracy, round(avg(confidence), 7) AS mean_confidence, round(avg(brier), 7) AS mean_brier, CAST(sum((top = 0)::INT) AS BIGINT) AS n_continue, CAST(sum((top = 1)::INT) AS BIGINT) AS n_revise, CAST(sum((top = 2)::INT) AS BIGINT) AS n_escalate"
+
+
+S_SQL = C_SQL + ", " + scored_sql("sp")
+METRICS_SQL = "count(*) AS n, round(avg((top = tr)::INT::DOUBLE), 9) AS accuracy, round(avg(confidence), 7) AS mean_confidence, round(avg(brier), 7) AS mean_brier, CAST(sum((top = 0)::INT) AS BIGINT) AS n_stability, CAST(sum((top = 1)::INT) AS BIGINT) AS n_distress, CAST(sum((top = 2)::INT) AS BIGINT) AS n_refi"

@@ -22,7 +22,7 @@ def test_normalize_texts_takes_whole_texts(spark, tmp_path):
     assert got == {1: "customer000000001"} | {-1 - i: t and norm(t) for i, t in enumerate(texts)}
 
 
-def test_as_of_join_keyless_all_probes_every_event(spark, tmp_path):
+def test_as_of_join_keyless_probes_every_event(spark, tmp_path):
     rng = random.Random(3)
     kinds = ["purchase", "error", "click", "view", "signup"]
     start = dt.datetime(2024, 1, 1)
@@ -36,5 +36,5 @@ def test_as_of_join_keyless_all_probes_every_event(spark, tmp_path):
     for i, _, _, now, _ in data:
         if hits := [seq for seq, a, b in live if a <= now < b]:
             want[i] = (len(hits), min(hits))
-    got = {r["probe"]: (r["n"], r["first_seq"]) for r in catalog.QUERIES["as_of_join_keyless_all"](spark, str(tmp_path)).collect()}
+    got = {r["probe"]: (r["n"], r["first_seq"]) for r in catalog.QUERIES["as_of_join_keyless"](spark, str(tmp_path)).collect()}
     assert got == want and len(want) > 100
