@@ -33,11 +33,15 @@ def supersede(facts: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataF
     return out.withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
 
 
-def facts_of(facts: DataFrame, entity: str | int | None = None, key: str | None = None, active_only: bool = True) -> DataFrame:
-    for name, value in (("entity_id", entity), ("fact_key", key)):
+def facts_of(facts: DataFrame, entity: str | int | None = None, key: str | None = None, active_only: bool = True, tenant: str | None = None, newest_first: bool = False) -> DataFrame:
+    for name, value in (("tenant_id", tenant), ("entity_id", entity), ("fact_key", key)):
         facts = facts.where(F.col(name) == value) if value is not None else facts
-    return facts.where(F.col("status") == "active") if active_only else facts
+    facts = facts.where(F.col("status") == "active") if active_only else facts
+    return facts.orderBy(F.desc("valid_from"), "seq") if newest_first else facts
 
 
-def active_commitments(commitments: DataFrame) -> DataFrame:
-    return commitments.where(F.col("status") == "active")
+def active_commitments(commitments: DataFrame, tenant: str | None = None, entity: str | int | None = None, newest_first: bool = False) -> DataFrame:
+    for name, value in (("tenant_id", tenant), ("entity_id", entity)):
+        commitments = commitments.where(F.col(name) == value) if value is not None else commitments
+    commitments = commitments.where(F.col("status") == "active")
+    return commitments.orderBy(F.desc("created_at"), "id") if newest_first else commitments

@@ -1,4 +1,4 @@
-"""Messages: dedup, extraction output to rows, the ingest pipeline, snapshots, prompts."""
+"""Messages: dedup, runs, context, extraction output to rows, the ingest pipeline, snapshots."""
 
 from __future__ import annotations
 
@@ -27,6 +27,60 @@ def first_arrivals(messages: DataFrame, processed: DataFrame | None = None) -> D
     return first if processed is None else first.join(processed.select("message_id"), "message_id", "left_anti")
 
 
+#: The context of a message: days back, entities, facts of each, edges, characters of evidence.
+LOOKBACK_DAYS, CONTEXT_ENTITIES, CONTEXT_FACTS, CONTEXT_EDGES, EVIDENCE_CHARS = 7, 20, 5, 20, 100
+
+
+def runs(messages: DataFrame) -> DataFrame:
+    """A run per message: completed, or failed with a text if the output of a stage isn't JSON.  prompt_id and the model's settings are carried if messages have them."""
+    bad = [F.when(F.col(f"{k}_json").isNotNull() & F.try_parse_json(f"{k}_json").isNull(), F.lit(f"{k}: not JSON")) for k in SCHEMAS if f"{k}_json" in messages.columns]
+    error = F.nullif(F.concat_ws("; ", *bad), F.lit(""))
+    carried = [c for c in ("prompt_id", "prompt_sha256", "provider", "model", "temperature") if c in messages.columns]
+    rows = messages.select("message_id", "tenant_id", "conversation_id", *carried, error.alias("error_text"))
+    return rows.withColumn("status", F.when(F.col("error_text").isNull(), "completed").otherwise("failed"))
+
+
+def rollback(processed: DataFrame, finished: DataFrame) -> DataFrame:
+    """Ids that count as processed: those of failed runs don't, so their messages may come again."""
+    return processed.join(finished.where(F.col("status") == "failed").select("message_id"), "message_id", "left_anti")
+
+
+def context(messages: DataFrame, entities: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """Per message what is known before it: entities (name, type, known_facts) and relationships (source, target, type, evidence).
+
+    The tables hold the state that the messages of a batch find.  A conversation's
+    entities are those last mentioned, 20 at most and none older than seven days;
+    each has its first five active facts; its edges are the first 20 distinct
+    active ones.  The lists are cut before messages join them, so a message costs
+    no more rows than its context has.
+    """
+    top = F.row_number().over(W.partitionBy("tenant_id", "conversation_id").orderBy(F.desc("last_mentioned"), "id"))
+    recent = entities.withColumn("rank", top).where(F.col("rank") <= CONTEXT_ENTITIES).select("tenant_id", "conversation_id", "id", "rank", "canonical_name", "entity_type", "last_mentioned")
+    nth = F.row_number().over(W.partitionBy("entity_id").orderBy("seq"))
+    held = facts.where(F.col("status") == "active").withColumn("_k", nth).where(F.col("_k") <= CONTEXT_FACTS)
+    held = held.groupBy(F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("_k", "fact_key", "fact_text", "confidence"))).alias("f"))
+    known = F.transform("f", lambda x: F.struct(x["fact_key"].alias("key"), x["fact_text"].alias("text"), x["confidence"].alias("confidence")))
+    rows = messages.select("message_id", "tenant_id", "conversation_id", "timestamp").join(recent, ["tenant_id", "conversation_id"], "left").where(F.col("id").isNull() | (F.col("last_mentioned") >= F.timestamp_add("DAY", F.lit(-LOOKBACK_DAYS), F.col("timestamp"))))
+    rows = rows.where(F.col("id").isNotNull())
+    named = rows.join(held, "id", "left").select("message_id", "rank", F.struct("rank", F.col("canonical_name").alias("name"), F.col("entity_type").alias("type"), known.alias("known_facts")).alias("e"))
+    listed = named.groupBy("message_id").agg(F.array_sort(F.collect_list("e")).alias("entities"))
+    live = R.distinct_triples(edges.where(R.is_active())).select(F.col("source_id").alias("id"), "seq", "source_id", "target_id", "rel_type", F.coalesce(F.substring("evidence", 1, EVIDENCE_CHARS), F.lit("")).alias("evidence"))
+    first = F.row_number().over(W.partitionBy("id").orderBy("seq"))
+    live = live.withColumn("nth", first).where(F.col("nth") <= CONTEXT_EDGES)
+    place = F.row_number().over(W.partitionBy("message_id").orderBy("rank", "nth"))
+    linked = rows.select("message_id", "id", "rank").join(live, "id").withColumn("nth", place).where(F.col("nth") <= CONTEXT_EDGES)
+    edge = F.struct("nth", S.short_name(F.col("source_id")).alias("source"), S.short_name(F.col("target_id")).alias("target"), F.col("rel_type").alias("type"), "evidence")
+    linked = linked.groupBy("message_id").agg(F.array_sort(F.collect_list(edge)).alias("relationships"))
+    return messages.select("message_id").join(listed, "message_id", "left").join(linked, "message_id", "left").select("message_id", F.coalesce("entities", F.array()).alias("entities"), F.coalesce("relationships", F.array()).alias("relationships"))
+
+
+def existing_edges(mentioned: DataFrame, edges: DataFrame) -> DataFrame:
+    """mentioned (message_id, id): the distinct active edges that go out of a message's entities, with their confidence."""
+    live = edges.where(R.is_active()).withColumnRenamed("message_id", "_said_in") if "message_id" in edges.columns else edges.where(R.is_active())
+    found = mentioned.select("message_id", F.col("id").alias("source_id")).distinct().join(live, "source_id")
+    return R.distinct_triples(found, "message_id").select("message_id", S.short_name(F.col("source_id")).alias("source"), S.short_name(F.col("target_id")).alias("target"), F.col("rel_type").alias("type"), "confidence")
+
+
 def _unpack(messages: DataFrame, stage: str) -> DataFrame:
     parsed = messages.withColumn("_p", F.from_json(f"{stage}_json", SCHEMAS[stage]))
     return parsed.select("message_id", "seq", "tenant_id", "group_id", "conversation_id", "timestamp", F.posexplode(f"_p.{stage}").alias("i", "x"))
@@ -47,13 +101,13 @@ def extract(messages: DataFrame) -> dict[str, DataFrame]:
     )
     live = m.join(arrivals.select("message_id").distinct(), "message_id", "left_semi")
     pool = arrivals.select("message_id", "id", "canonical_name", "aliases", F.col("i").alias("pos"))
-    # Edges may also name entities that the conversation knew before.
-    earlier = arrivals.alias("a").join(live.select("message_id", "conversation_id", "tenant_id", F.col("seq").alias("_now")).alias("m"), ["tenant_id", "conversation_id"]).where(F.col("a.seq") < F.col("_now") * 1000)
-    earlier = earlier.select(F.col("m.message_id").alias("message_id"), "id", "canonical_name", "aliases", (F.col("a.seq") + 1000).alias("pos"))
-    wide = pool.unionByName(earlier)
+    # Edges may also name entities that the conversation knew before: its first arrivals, one row an entity, looked up as of the message.
+    keys = ["tenant_id", "conversation_id"]
+    earlier = arrivals.groupBy(*keys, "id").agg(F.min("seq").alias("since"), F.min_by("canonical_name", "seq").alias("canonical_name"), F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("aliases"))
     rel = _unpack(live, "relationships").withColumn("mention_id", F.col("i"))
-    src = E.resolve_mentions(rel.select("message_id", "mention_id", F.col("x.source_mention").alias("mention")), wide, ["message_id"]).select("message_id", "mention_id", F.col("entity_id").alias("source_id"))
-    dst = E.resolve_mentions(rel.select("message_id", "mention_id", F.col("x.target_mention").alias("mention")), wide, ["message_id"]).select("message_id", "mention_id", F.col("entity_id").alias("target_id"))
+    at = ["message_id", "mention_id", *keys, (F.col("seq") * 1000).alias("now")]
+    src = _known(rel.select(*at, F.col("x.source_mention").alias("mention")), pool, earlier, keys).withColumnRenamed("entity_id", "source_id")
+    dst = _known(rel.select(*at, F.col("x.target_mention").alias("mention")), pool, earlier, keys).withColumnRenamed("entity_id", "target_id")
     edges = rel.join(src, ["message_id", "mention_id"]).join(dst, ["message_id", "mention_id"]).select(
         (F.col("seq") * 1000 + F.col("i")).alias("seq"), "tenant_id", "group_id", "conversation_id", "message_id", "source_id", "target_id", S.relationship_type(F.col("x.type")).alias("rel_type"),
         F.when(~F.col("x.type").isin(*S.RELATIONSHIP_TYPES), F.col("x.type")).alias("original_type"), S.snap_confidence(F.col("x.confidence")).alias("confidence"), F.col("x.evidence").alias("evidence"),
@@ -78,6 +132,20 @@ def extract(messages: DataFrame) -> dict[str, DataFrame]:
     return {"arrivals": arrivals, "entities": E.upsert(arrivals), "edges": R.resolve(edges), "facts": FA.supersede(fact_rows, ("tenant_id", "entity_id")), "commitments": com, "summaries": summaries}
 
 
+def _known(mentions: DataFrame, pool: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
+    """message_id, mention_id, entity_id: an entity of the message itself, else the first of its conversation that arrived before it.
+
+    Of the earlier ones each normal form keeps its first arrival, so a mention
+    meets one row and a long conversation costs no pairs.
+    """
+    own = E.resolve_mentions(mentions.select("message_id", "mention_id", "mention"), pool, ["message_id"]).select("message_id", "mention_id", F.col("entity_id").alias("own"))
+    name = lambda c, p: earlier.select(*keys, "id", "since", F.lit(p).alias("pass"), S.normalize_name(c).alias("norm"))
+    named = name(F.col("canonical_name"), 1).unionByName(earlier.withColumn("a", F.explode("aliases")).select(*keys, "id", "since", F.lit(2).alias("pass"), S.normalize_name(F.col("a")).alias("norm")))
+    best = named.groupBy(*keys, "norm").agg(F.min(F.struct("since", "pass", "id")).alias("m"))
+    asked = mentions.withColumn("norm", S.normalize_name(F.col("mention"))).join(best, [*keys, "norm"], "left").join(own, ["message_id", "mention_id"], "left")
+    return asked.withColumn("entity_id", F.coalesce("own", F.when(F.col("m.since") < F.col("now"), F.col("m.id")))).where(F.col("entity_id").isNotNull()).select("message_id", "mention_id", "entity_id")
+
+
 def ingest_response(messages: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """Per message: how many entities, edges and conflicts came of it."""
     n = parts["arrivals"].groupBy("message_id").agg(F.count(F.lit(1)).alias("entities"))
@@ -85,18 +153,29 @@ def ingest_response(messages: DataFrame, parts: dict[str, DataFrame]) -> DataFra
     return messages.select("message_id").join(n, "message_id", "left").join(e, "message_id", "left").na.fill(0)
 
 
-def snapshot(entities: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """Per tenant and conversation: counts of entities, distinct active triples and active facts."""
-    mine = entities.select("tenant_id", "conversation_id", F.col("id").alias("source_id"))
+def snapshot(entities: DataFrame, edges: DataFrame, facts: DataFrame, limit: int = 500) -> DataFrame:
+    """Per tenant and conversation: counts of entities, distinct active triples and active facts, and the entities' names.
+
+    The newest ``limit`` entities of a conversation are its entities, as in its listing.
+    """
+    newest = F.row_number().over(W.partitionBy("tenant_id", "conversation_id").orderBy(F.desc("created_at"), "id"))
+    listed = entities.withColumn("_k", newest).where(F.col("_k") <= limit)
+    mine = listed.select("tenant_id", "conversation_id", F.col("id").alias("source_id"))
     triples = edges.where(R.is_active()).select("source_id", "target_id", "rel_type").distinct().join(mine, "source_id").groupBy("tenant_id", "conversation_id").agg(F.count(F.lit(1)).alias("relationship_count"))
     held = facts.where(F.col("status") == "active").select(F.col("entity_id").alias("source_id")).join(mine, "source_id").groupBy("tenant_id", "conversation_id").agg(F.count(F.lit(1)).alias("fact_count"))
-    base = entities.groupBy("tenant_id", "conversation_id").agg(F.count(F.lit(1)).alias("entity_count"))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_k", "canonical_name"))), lambda r: r["canonical_name"])
+    base = listed.groupBy("tenant_id", "conversation_id").agg(F.count(F.lit(1)).alias("entity_count"), names.alias("entity_names"))
     return base.join(triples, ["tenant_id", "conversation_id"], "left").join(held, ["tenant_id", "conversation_id"], "left").na.fill(0, ["relationship_count", "fact_count"])
 
 
 def deltas(entities: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """A row per change: conversation, kind order, change, text."""
-    e = entities.select("conversation_id", F.lit(1).alias("kind"), F.lit("added").alias("change"), F.concat(F.lit("Entity "), "canonical_name", F.lit(" ("), "entity_type", F.lit(")")).alias("text"))
-    r = edges.select("conversation_id", F.lit(2).alias("kind"), F.lit("added").alias("change"), F.concat(S.short_name(F.col("source_id")), F.lit(" "), "rel_type", F.lit(" "), S.short_name(F.col("target_id"))).alias("text"))
-    f = facts.select(F.col("conversation_id") if "conversation_id" in facts.columns else F.lit(None).cast("string").alias("conversation_id"), F.lit(3).alias("kind"), F.when(F.col("supersedes_seq").isNotNull(), "superseded").otherwise("added").alias("change"), F.concat("fact_key", F.lit(": "), "fact_text").alias("text"))
+    """A row per change, in the order of position (entities, relationships, facts): change_type, artifact_type, artifact_id, summary."""
+    row = lambda df, k, kind, change, ident, text: df.select(
+        F.col("conversation_id") if "conversation_id" in df.columns else F.lit(None).cast("string").alias("conversation_id"), F.lit(k).alias("position"), change.alias("change_type"), F.lit(kind).alias("artifact_type"), ident.cast("string").alias("artifact_id"), text.alias("summary")
+    )
+    added, side = F.lit("added"), lambda c: S.short_name(F.col(c))
+    fact_id = F.col("id") if "id" in facts.columns else F.col("seq")
+    e = row(entities, 1, "entity", added, F.col("id"), F.concat(F.lit("New entity: "), "canonical_name", F.lit(" ("), "entity_type", F.lit(")")))
+    r = row(edges, 2, "relationship", added, F.concat("source_id", F.lit("->"), "target_id"), F.concat(side("source_id"), F.lit(" "), "rel_type", F.lit(" "), side("target_id")))
+    f = row(facts, 3, "fact", F.when(F.col("supersedes_seq").isNotNull(), "superseded").otherwise("added"), fact_id, F.concat("fact_key", F.lit(": "), "fact_text"))
     return e.unionByName(r).unionByName(f)

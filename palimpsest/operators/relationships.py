@@ -67,24 +67,67 @@ def active_with_decay(edges: DataFrame, now: Column, preset: str = "normal") ->
     return edges.where(is_active()).withColumn("decayed", F.round(S.decayed_confidence(F.col("confidence"), F.col("rel_type"), F.col("valid_from"), now, preset), 9))
 
 
+def current_state(edges: DataFrame, source_id: str, now: Column, preset: str = "normal", limit: int = 20) -> DataFrame:
+    """A source's active edges, the surest after decay first."""
+    return active_with_decay(active(edges, source_id), now, preset).orderBy(F.desc("decayed"), "seq").limit(limit)
+
+
+def distinct_triples(edges: DataFrame, *by: str) -> DataFrame:
+    """The first edge of each (source, type, target), within ``by``."""
+    first = F.row_number().over(W.partitionBy(*by, "source_id", "rel_type", "target_id").orderBy("seq"))
+    return edges.withColumn("_k", first).where(F.col("_k") == 1).drop("_k")
+
+
+def redirected_count(moved: DataFrame) -> DataFrame:
+    """How many edges a merge has redirected."""
+    return moved.agg(F.coalesce(F.sum(F.col("redirected").cast("long")), F.lit(0)).alias("redirected"))
+
+
+def endpoint_stubs(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Ids that edges name and entities lack."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+    return ends.join(entities.select("id"), "id", "left_anti")
+
+
 def version_max(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source_id", "rel_type").agg(F.coalesce(F.max("version"), F.lit(0)).cast("long").alias("max_version"))
 
 
-#: Signs of a correction in a message.
-CORRECTION = r"(?i)\b(actually|correction|i was wrong|i meant|not anymore|that's wrong)\b"
+# Signs of a correction in a message in small letters.
+CORRECTION_SIGNS = (r"^actually,?\s", r"\bi meant\b", r"^correction:", r"^no,?\s", r"sorry,?\s.*misspoke", r"let me clarify")
+CORRECTED_CONFIDENCE = 0.95
+
+
+def is_correction(text: Column) -> Column:
+    return F.coalesce(F.lower(text).rlike("|".join(f"(?:{p})" for p in CORRECTION_SIGNS)), F.lit(False))
 
 
-def retract(edges: DataFrame, corrections: DataFrame) -> DataFrame:
-    """corrections: tenant_id, group_id, source_id, rel_type, target_id, at.
+def retract(edges: DataFrame, corrections: DataFrame, *, minutes: int = 10, latest: int = 5) -> DataFrame:
+    """corrections: tenant_id, conversation_id, message_id, at.  Edges with what correcting messages say applied.
 
-    Of the five latest edges recorded within ten minutes before a correction,
-    those of its source and type with another target are disbelieved from then on.
+    For each correction the ``latest`` edges of its tenant and conversation that
+    came before its own, were recorded within so many minutes up to it and are
+    still believed are looked at.  Those with the source and type of one of its
+    own edges, but another target, end: belief at the correction's time, truth at
+    their start, confidence 0; its own such edges get 0.95.  An edge that several
+    corrections end takes the first one's time.  All corrections see the same
+    state, that of ``edges``.  Rows meet by time units, so a conversation with very
+    many edges is not joined with itself.
     """
-    c = corrections.select(*KEYS, F.col("rel_type").alias("_type"), F.col("target_id").alias("_target"), "at")
-    near = edges.join(c, KEYS).where((F.col("recorded_from") <= F.col("at")) & (F.col("recorded_from") >= F.col("at") - F.expr("INTERVAL 10 MINUTES")))
-    last = near.withColumn("_k", F.row_number().over(W.partitionBy(*KEYS, "at").orderBy(F.desc("recorded_from"), F.desc("seq")))).where(F.col("_k") <= 5)
-    gone = last.where((F.col("rel_type") == F.col("_type")) & (F.col("target_id") != F.col("_target"))).groupBy("seq").agg(F.min("at").alias("_at"))
-    out = edges.join(gone, "seq", "left")
+    unit = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
+    own = edges.join(corrections.select("message_id", "at"), "message_id").select("message_id", "at", "tenant_id", "conversation_id", F.col("seq").alias("_own"), F.col("source_id").alias("_source"), F.col("rel_type").alias("_type"), F.col("target_id").alias("_target"))
+    asked = own.groupBy("tenant_id", "conversation_id", F.col("message_id").alias("_by"), "at").agg(F.min("_own").alias("_before"))
+    asked = asked.withColumn("_unit", F.explode(F.array(unit(F.col("at")), unit(F.col("at")) - 1)))
+    believed = edges.where(F.col("recorded_to").isNull()).withColumn("_unit", unit(F.col("recorded_from"))).select("tenant_id", "conversation_id", "_unit", "seq", "source_id", "rel_type", "target_id", "recorded_from")
+    recent = (F.col("recorded_from") <= F.col("at")) & (F.col("recorded_from") >= F.col("at") - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col("seq") < F.col("_before"))
+    near = asked.join(believed, ["tenant_id", "conversation_id", "_unit"]).where(recent)
+    rank = F.row_number().over(W.partitionBy("_by").orderBy(F.desc("recorded_from"), F.desc("seq")))
+    seen = near.withColumn("_k", rank).where(F.col("_k") <= latest).select("_by", "at", "seq", "source_id", "rel_type", "target_id")
+    mine = own.select(F.col("message_id").alias("_by"), "_own", "_source", "_type", "_target")
+    match = seen.join(mine, (seen["_by"] == mine["_by"]) & (F.col("source_id") == F.col("_source")) & (F.col("rel_type") == F.col("_type")) & (F.col("target_id") != F.col("_target"))).drop(mine["_by"])
+    ended = match.groupBy("seq").agg(F.min("at").alias("_at"))
+    sure = match.select(F.col("_own").alias("seq"), F.lit(True).alias("_sure")).distinct()
+    out = edges.join(ended, "seq", "left").join(sure, "seq", "left")
     hit = F.col("_at").isNotNull()
-    return out.withColumn("recorded_to", F.when(hit, F.col("_at")).otherwise(F.col("recorded_to"))).withColumn("valid_to", F.when(hit, F.col("valid_from")).otherwise(F.col("valid_to"))).withColumn("confidence", F.when(hit, 0.0).otherwise(F.col("confidence"))).drop("_at")
+    confidence = F.when(hit, F.lit(0.0)).when(F.col("_sure"), F.lit(CORRECTED_CONFIDENCE)).otherwise(F.col("confidence"))
+    return out.withColumns({"recorded_to": F.when(hit, F.col("_at")).otherwise(F.col("recorded_to")), "valid_to": F.when(hit, F.col("valid_from")).otherwise(F.col("valid_to")), "confidence": confidence}).drop("_at", "_sure")

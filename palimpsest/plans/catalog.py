@@ -11,6 +11,7 @@ from ..operators import messages as M
 from ..operators import relationships as R
 from ..operators import research as X
 from ..operators import temporal as T
+from ..operators import views as V
 from ..sources import files as SRC
 from . import fixtures as FX
 from .fixtures import A_SQL, C_SQL, F_SQL, METRICS_SQL, N_SQL, R_SQL, S_SQL, scored_sql, table
@@ -124,11 +125,18 @@ def _snapshot(s, d):
     return M.snapshot(people(s, d), edges(s, d), f)
 
 
-query("conversation_snapshot", f"""WITH {R_SQL}, {N_SQL[len(A_SQL) + 2:]}, {F_SQL.replace(' AS seq, o_custkey', ' AS seq, o_custkey').replace('p AS (', 'pp AS (').replace('FROM p)', 'FROM pp)').replace('m AS (', 'mm AS (').replace('JOIN m a', 'JOIN mm a').replace('JOIN m b', 'JOIN mm b')},
-tr AS (SELECT e.tenant_id, e.conversation_id, count(*) AS relationship_count FROM (SELECT DISTINCT source_id, target_id, rel_type FROM r WHERE valid_to IS NULL AND recorded_to IS NULL) x JOIN ent e ON e.id = x.source_id GROUP BY ALL),
-fc AS (SELECT e.tenant_id, e.conversation_id, count(*) AS fact_count FROM fs JOIN ent e ON e.id = 't' || (fs.entity_id % 3) || ':g' || (fs.entity_id % 7) || ':PERSON:user-' || fs.entity_id WHERE fs.status = 'active' GROUP BY ALL)
-SELECT tenant_id, conversation_id, count(*) AS entity_count, coalesce(any_value(relationship_count), 0) AS relationship_count, coalesce(any_value(fact_count), 0) AS fact_count FROM ent LEFT JOIN tr USING (tenant_id, conversation_id) LEFT JOIN fc USING (tenant_id, conversation_id) GROUP BY tenant_id, conversation_id""")(_snapshot)
-query("snapshot_deltas")(lambda s, d: M.deltas(people(s, d), edges(s, d), FA.supersede(FX.facts(s, d)).withColumn("fact_text", F.col("status"))))
+_F2 = F_SQL.replace("p AS (", "pp AS (").replace("FROM p)", "FROM pp)").replace("m AS (", "mm AS (").replace("JOIN m a", "JOIN mm a").replace("JOIN m b", "JOIN mm b")
+query("conversation_snapshot", f"""WITH {R_SQL}, {N_SQL[len(A_SQL) + 2:]}, {_F2},
+li AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, conversation_id ORDER BY created_at DESC, id) AS k FROM ent) WHERE k <= 500),
+tr AS (SELECT e.tenant_id, e.conversation_id, count(*) AS relationship_count FROM (SELECT DISTINCT source_id, target_id, rel_type FROM r WHERE valid_to IS NULL AND recorded_to IS NULL) x JOIN li e ON e.id = x.source_id GROUP BY ALL),
+fc AS (SELECT e.tenant_id, e.conversation_id, count(*) AS fact_count FROM fs JOIN li e ON e.id = 't' || (fs.entity_id % 3) || ':g' || (fs.entity_id % 7) || ':PERSON:user-' || fs.entity_id WHERE fs.status = 'active' GROUP BY ALL)
+SELECT tenant_id, conversation_id, count(*) AS entity_count, string_agg(canonical_name, '|' ORDER BY k) AS entity_names, coalesce(any_value(relationship_count), 0) AS relationship_count, coalesce(any_value(fact_count), 0) AS fact_count
+FROM li LEFT JOIN tr USING (tenant_id, conversation_id) LEFT JOIN fc USING (tenant_id, conversation_id) GROUP BY tenant_id, conversation_id""")(lambda s, d: _snapshot(s, d).withColumn("entity_names", F.array_join("entity_names", "|")))
+_deltas = lambda s, d: M.deltas(people(s, d), edges(s, d), FA.supersede(FX.facts(s, d)).withColumn("fact_text", F.col("status")))
+query("snapshot_deltas", f"""WITH {R_SQL}, {N_SQL[len(A_SQL) + 2:]}, {_F2}
+SELECT conversation_id, 1 AS position, 'added' AS change_type, 'entity' AS artifact_type, id AS artifact_id, 'New entity: ' || canonical_name || ' (' || entity_type || ')' AS summary FROM ent
+UNION ALL SELECT conversation_id, 2, 'added', 'relationship', source_id || '->' || target_id, split_part(source_id, ':', 4) || ' ' || rel_type || ' ' || split_part(target_id, ':', 4) FROM r
+UNION ALL SELECT NULL, 3, CASE WHEN supersedes_seq IS NULL THEN 'added' ELSE 'superseded' END, 'fact', CAST(seq AS VARCHAR), fact_key || ': ' || status FROM fs""")(_deltas)
 
 
 def _similar(s, d):
@@ -167,7 +175,29 @@ def _terminate(s, d):
 
 
 query("terminate_count", f"WITH {R_SQL} SELECT count(*) AS terminated FROM r WHERE tenant_id = 't1' AND rel_type = 'prefers' AND valid_to IS NULL AND recorded_to IS NULL")(_terminate)
-query("correction_retract")(lambda s, d: R.retract(edges(s, d), edges(s, d).where((F.col("rel_type") == "avoids") & (F.col("seq") % 10 == 0)).select("tenant_id", "group_id", "source_id", F.lit("prefers").alias("rel_type"), "target_id", F.col("recorded_from").alias("at"))).select(*EDGE))
+def _corrections(s, d):
+    """Every event is a message; the first word of every third makes it a correction."""
+    e = edges(s, d).withColumn("recorded_from", F.col("valid_from"))
+    said = e.select("tenant_id", "conversation_id", "message_id", F.col("valid_from").alias("at"), F.concat(F.when(F.col("seq") % 3 == 0, "Actually, ").otherwise("Well, "), "rel_type").alias("text"))
+    return R.retract(e, said.where(R.is_correction(F.col("text"))), minutes=600).select(*EDGE)
+
+
+_OLD = "o.tenant_id = n.tenant_id AND o.conversation_id = n.conversation_id AND o.recorded_to IS NULL AND o.valid_from <= n.valid_from AND o.valid_from >= n.valid_from - INTERVAL 600 MINUTE AND o.seq < n.seq"
+query("correction_retract", f"""WITH {R_SQL}, seen AS (SELECT n.seq AS own, n.valid_from AS tm, n.source_id AS s, n.rel_type AS t, n.target_id AS g, o.seq, o.source_id, o.rel_type, o.target_id,
+  row_number() OVER (PARTITION BY n.seq ORDER BY o.valid_from DESC, o.seq DESC) AS k FROM r n JOIN r o ON n.seq % 3 = 0 AND {_OLD}),
+hit AS (SELECT * FROM seen WHERE k <= 5 AND source_id = s AND rel_type = t AND target_id <> g), gone AS (SELECT seq, min(tm) AS tm FROM hit GROUP BY seq)
+SELECT r.seq, tenant_id, group_id, r.source_id, r.target_id, r.rel_type, CASE WHEN gone.tm IS NOT NULL THEN 0.0 WHEN r.seq IN (SELECT own FROM hit) THEN 0.95 ELSE confidence END::DOUBLE AS confidence, version, valid_from,
+  CASE WHEN gone.tm IS NOT NULL THEN valid_from ELSE valid_to END AS valid_to, valid_from AS recorded_from, coalesce(gone.tm, recorded_to) AS recorded_to, conflicts FROM r LEFT JOIN gone USING (seq)""")(_corrections)
+query("is_correction", r"SELECT doc_id AS id, regexp_matches(lower(text), '(^actually,?\s)|(\bi meant\b)|(^correction:)|(^no,?\s)|(sorry,?\s.*misspoke)|(let me clarify)') AS correction FROM documents")(lambda s, d: table(s, d, "documents").select(F.col("doc_id").alias("id"), R.is_correction(F.col("text")).alias("correction")))
+query("current_state", f"WITH {R_SQL} SELECT seq, target_id, rel_type, round({_DEC.format(1.0)}, 9) AS decayed FROM r WHERE valid_to IS NULL AND recorded_to IS NULL AND source_id = 't1:g1:PERSON:user-1' ORDER BY decayed DESC, seq LIMIT 20")(
+    lambda s, d: R.current_state(edges(s, d), "t1:g1:PERSON:user-1", ntz(NOW)).select("seq", "target_id", "rel_type", "decayed"))
+query("world_state_of_name", f"WITH {R_SQL}, {N_SQL[len(A_SQL) + 2:]} SELECT {E_COLS} FROM r WHERE {_V.format(AT)} AND source_id IN (SELECT id FROM ent WHERE tenant_id = 't1' AND canonical_name = 'user-1')")(
+    lambda s, d: T.world_state(T.of_source(edges(s, d), people(s, d), "t1", "User 1"), ntz(AT)).select(*EDGE))
+query("endpoint_stubs", f"WITH {A_SQL} SELECT DISTINCT target_id AS id FROM a")(lambda s, d: R.endpoint_stubs(edges(s, d), people(s, d).where(F.col("entity_type") == "PERSON")))
+query("edge_view", f"WITH {R_SQL} SELECT source_id, target_id, rel_type, confidence, strftime(valid_from, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(valid_from) % 1000000 = 0 THEN '' ELSE strftime(valid_from, '.%f') END || '+00:00' AS valid_from, version FROM r WHERE tenant_id = 't1' AND valid_to IS NULL AND recorded_to IS NULL")(
+    lambda s, d: V.view(R.active(edges(s, d), tenant="t1"), V.EDGE).select("source_id", "target_id", "rel_type", "confidence", "valid_from", "version"))
+query("existing_edges", f"WITH {R_SQL}, live AS (SELECT source_id, target_id, rel_type, arg_min(confidence, seq) AS confidence FROM r WHERE valid_to IS NULL AND recorded_to IS NULL GROUP BY ALL) SELECT a.message_id, split_part(a.source_id, ':', 4) AS source, split_part(live.target_id, ':', 4) AS target, live.rel_type AS type, live.confidence FROM a JOIN live USING (source_id)")(
+    lambda s, d: M.existing_edges(FX.assertions(s, d).select("message_id", F.col("source_id").alias("id")), edges(s, d)))
 
 
 def _manifest(s, d):

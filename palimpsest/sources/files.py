@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
@@ -12,6 +13,12 @@ from pyspark.sql import Window as W
 from ..functions import scalars as S
 
 MESSAGE = "text string, speaker string, timestamp string, conversation_id string, tenant_id string, group_id string, message_id string, metadata map<string,string>"
+# The data set of each source, the filing forms, and when a request is tried again.
+DATASETS = {"fannie": "fhfa_enterprise_pudb", "ginnie": "disclosure_data_bulk", "edgar": "cmbs_abs_ee"}
+FORMS = ("ABS-EE", "ABS-EE/A")
+EXHIBIT = r"(?i)^.*102.*\.xml$"
+RETRY_CODES = (429, 500, 502, 503, 504)
+TRIES, SPACING = 5, 0.12
 RECORD = "source string, dataset string, record_id string, event_date string, file_path string, metadata map<string,string>"
 
 
@@ -46,9 +53,12 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_report(df: DataFrame, path: str) -> None:
-    """A one-row result as indented JSON."""
-    Path(path).write_text(json.dumps(json.loads(df.limit(1).toJSON().first() or "{}"), indent=2))
+def write_report(parts: DataFrame | dict[str, DataFrame], path: str) -> None:
+    """A report as indented JSON, written by Spark, so the path may be on any file system: a one-row result, or lists of rows by name.  Reports are small by nature: totals, metrics, bins."""
+    rows = lambda df: [json.loads(r) for r in df.toJSON().collect()]
+    report = {k: rows(df) for k, df in parts.items()} if isinstance(parts, dict) else (rows(parts.limit(1)) or [{}])[0]
+    spark = (next(iter(parts.values())) if isinstance(parts, dict) else parts).sparkSession
+    spark.createDataFrame([(json.dumps(report, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def export(tables: dict[str, DataFrame], tenant: str, path: str) -> None:
@@ -62,14 +72,52 @@ def write_graph(edges: DataFrame, path: str) -> None:
     edges.withColumn("current", current).repartition("tenant_id", "source_id").sortWithinPartitions("source_id", "valid_from").write.mode("overwrite").partitionBy("tenant_id", "current").parquet(path)
 
 
+def read_graph(spark: SparkSession, path: str, tenant: str | None = None, current: bool | None = None) -> DataFrame:
+    """The edges that write_graph wrote; tenant and current choose folders, so nothing else is read."""
+    rows = spark.read.parquet(path)
+    rows = rows.where(F.col("tenant_id") == tenant) if tenant is not None else rows
+    return rows.where(F.col("current") == current) if current is not None else rows
+
+
+EVIDENCE = "array<struct<message_id string, text string, context string, observed_at string>>"
+
+
+def decode_edges(rows: DataFrame) -> DataFrame:
+    """Edges as a store keeps them (JSON strings and ISO times) to typed rows; what can't be read becomes null, evidence an empty list."""
+    times = {c: S.parse_time(F.col(c)) for c in ("valid_from", "valid_to", "recorded_from", "recorded_to") if dict(rows.dtypes).get(c) == "string"}
+    evidence = {"structured_evidence": F.coalesce(F.from_json("structured_evidence", EVIDENCE), F.array().cast(EVIDENCE))} if "structured_evidence" in rows.columns else {}
+    return rows.withColumns(times | evidence | {"version": F.coalesce(F.col("version").cast("long"), F.lit(1)), "confidence": F.col("confidence").cast("double")})
+
+
+def decode_entities(rows: DataFrame) -> DataFrame:
+    """Entities as a store keeps them; missing lists are empty, metadata is a map of strings."""
+    times = {c: S.parse_time(F.col(c)) for c in ("created_at", "last_mentioned") if dict(rows.dtypes).get(c) == "string"}
+    lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("aliases", "source_messages")}
+    return rows.withColumns(times | lists | {"metadata": F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))})
+
+
+def decode_facts(rows: DataFrame) -> DataFrame:
+    """Facts as a store keeps them to typed rows with their status."""
+    times = {c: S.parse_time(F.col(c)) for c in ("valid_from", "valid_to") if dict(rows.dtypes).get(c) == "string"}
+    return rows.withColumns(times | {"confidence": F.col("confidence").cast("double")}).withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
+
+
+def meta_dates(spark: SparkSession, path: str) -> DataFrame:
+    """file_path and filing date of each *.meta.json; null where the file is no JSON or the date no text."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(path, wholetext=True)
+    date = F.try_variant_get(F.try_parse_json("value"), "$.filing_date", "variant")
+    return raw.select(F.col("_metadata.file_path").alias("file_path"), F.when(F.schema_of_variant(date) == "STRING", F.try_variant_get(date, "$", "string")).alias("filing_date"))
+
+
 def sidecars(spark: SparkSession, path: str) -> DataFrame:
     """Filing records of *.meta.json files; malformed ones and those without text accession and date are left out."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").text(path, wholetext=True)
     j = F.try_parse_json("value")
     s = lambda k: F.try_variant_get(j, f"$.{k}", "string")
     typed = (F.schema_of_variant(F.try_variant_get(j, "$.accession", "variant")) == "STRING") & (F.schema_of_variant(F.try_variant_get(j, "$.filing_date", "variant")) == "STRING")
-    rows = raw.where(typed).select(s("accession").alias("record_id"), s("filing_date").alias("event_date"), s("cik").alias("cik"), F.col("_metadata.file_path").alias("file_path"))
-    return rows.select(F.lit("edgar").alias("source"), F.lit("cmbs").alias("dataset"), "record_id", "event_date", "file_path", F.create_map(F.lit("cik"), "cik").alias("metadata"))
+    rows = raw.where(typed).select(s("accession").alias("record_id"), s("filing_date").alias("event_date"), s("cik").alias("cik"), s("entity_name").alias("entity_name"), s("source_url").alias("source_url"), F.col("_metadata.file_path").alias("file_path"))
+    meta = F.create_map(*[x for k in ("cik", "entity_name", "source_url") for x in (F.lit(k), F.col(k))])
+    return rows.select(F.lit("edgar").alias("source"), F.lit(DATASETS["edgar"]).alias("dataset"), "record_id", "event_date", "file_path", meta.alias("metadata"))
 
 
 def archives(spark: SparkSession, path: str, source: str, recursive: bool) -> DataFrame:
@@ -126,6 +174,33 @@ def cik_names(hits: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("p.ciks").alias("cik")).agg(F.max_by("p.names", F.struct("seq", "i")).alias("name"))
 
 
+def filings(submissions: DataFrame, start_date: str | None = None) -> DataFrame:
+    """(cik, forms, accessions, dates) to a row per filing of the wanted forms, from a date on."""
+    rows = submissions.select("cik", F.posexplode(F.arrays_zip("forms", "accessions", "dates")).alias("position", "f"))
+    rows = rows.where(F.col("f.forms").isin(*FORMS)).select("cik", "position", F.col("f.accessions").alias("accession"), F.col("f.dates").alias("date"))
+    return rows.where(F.col("date") >= start_date) if start_date else rows
+
+
+def exhibit_name(names: Column) -> Column:
+    """The first file name of a filing's index that is the exhibit; null if there is none."""
+    return F.get(F.filter(names, lambda n: n.rlike(EXHIBIT)), F.lit(0))
+
+
+def retry_delay(attempt: int, retry_after: str | None = None) -> float:
+    """Seconds before a request is tried again: what the header asks for if it is a number above 0, else doubling from half a second."""
+    try:
+        asked = float(retry_after or 0)
+    except ValueError:
+        asked = 0.0
+    return asked if asked > 0 else 0.5 * 2**attempt
+
+
+def template_sha256(path: str) -> str:
+    """Hex digest of a prompt template on the driver; empty if there is no such file."""
+    file = Path(path)
+    return hashlib.sha256(file.read_bytes()).hexdigest() if file.is_file() else ""
+
+
 def safe_file_name(title: Column) -> Column:
     return F.substring(F.regexp_replace(title, r"[^A-Za-z0-9._-]+", "_"), 1, 100)
 
