@@ -47,6 +47,8 @@ GROUP = 48
 SPREAD = 8
 #: Hash bins in which the elements of a set are counted for the overlap bound.
 BINS = 256
+#: Elements of several prefixes that are sent to the workers (8 bytes each); more take a shuffled join.
+SHARED_LIST = 4_000_000
 #: Groups are sent to the texts by broadcast for up to this many documents (16 bytes each); more take a shuffled join.
 BROADCAST_MEMBERS = 2_000_000
 
@@ -182,6 +184,35 @@ def _allowed(pairs: DataFrame, bins: DataFrame) -> DataFrame:
     return joined.select("g1", "g2", "overlap", "b1", "b2").mapInArrow(run, "g1 long, g2 long")
 
 
+def _listed(reps: DataFrame, t: Fraction) -> DataFrame:
+    """A row per prefix element that several representatives have: id, n, sketch, e, what its place leaves, and the element before it.
+
+    Most elements are one representative's own.  A list of the others that is
+    not too long goes to the workers, so the rest are never shuffled; a longer
+    one is joined.
+    """
+    shared = Scratch(reps.sparkSession).write(reps.select(F.explode("prefix").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("e"), "shared")
+    if not small_enough(shared, SHARED_LIST):
+        rows = reps.select("id", "n", "sketch", "prefix", F.posexplode("prefix").alias("pos", "e"))
+        return rows.select("id", "n", "sketch", "e", _rest(F.col("n"), F.col("pos"), t).alias("rest"), F.get("prefix", F.col("pos") - 1).alias("pred")).join(shared, "e").select("id", "n", "sketch", "e", "rest", "pred")
+    sent = reps.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column("e").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            prefixes = b.column(3)
+            size = prefixes.value_lengths().to_numpy().astype(np.int64)
+            e = prefixes.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+            keep = np.flatnonzero(_is_in(e, sent.value))
+            n = b.column(1).to_numpy()[row[keep]]
+            before = pa.array(np.where(pos[keep] > 0, e[keep - 1], 0), mask=pos[keep] == 0)
+            cols = [b.column(0).take(pa.array(row[keep])), pa.array(n), b.column(2).take(pa.array(row[keep])), pa.array(e[keep]), pa.array(n * t.denominator - pos[keep] * (t.numerator + t.denominator)), before]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "sketch", "e", "rest", "pred"])
+
+    return reps.select("id", "n", "sketch", "prefix").mapInArrow(run, "id long, n long, sketch long, e long, rest long, pred long")
+
+
 def _packs(docs: DataFrame, members: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """A row per group: ids and sets of its members."""
 
@@ -308,10 +339,7 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     known = scratch.write(sig.select("id", "n", "d1", "d2").join(sets, ["d1", "d2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")), "known")
     scratch.drop("sets")
     reps = filled.join(known.where(F.col("id") == F.col("rep")).select("id").distinct(), "id", "left_semi")
-    listed = reps.select("id", "n", "sketch", "prefix", F.posexplode("prefix").alias("pos", "e"))
-    listed = listed.select("id", "n", "sketch", "e", _rest(F.col("n"), F.col("pos"), t).alias("rest"), F.get("prefix", F.col("pos") - 1).alias("pred"))
-    shared = listed.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("e")
-    listed = scratch.write(listed.join(shared, "e"), "listed")
+    listed = scratch.write(_listed(reps, t), "listed")
 
     # Groups: representatives with the same sketch, cut to bounded size by a hash of the id.
     nodes = listed.select("id", "sketch").distinct()

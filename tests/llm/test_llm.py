@@ -691,7 +691,8 @@ def test_jaccard_with_common_passages(spark, monkeypatch):
         for _ in range(rng.randint(0, 12)):
             w.insert(rng.choice([0, len(w), rng.randint(0, len(w))]), f"own{rng.randint(0, 60)}")
         pairs.append((i, " ".join(w)))
-    for n, threshold, num in ((5, "0.8", 80), (3, "0.9", 90)):
+    for n, threshold, num, listed in ((5, "0.8", 80, 10**6), (3, "0.9", 90, 0)):
+        monkeypatch.setattr(ngramjoin, "SHARED_LIST", listed)
         got = {i: (s, c) for i, s, c in rows(ngramjoin.near_duplicate_classes(docs_of(spark, pairs), n=n, threshold=threshold), "doc_id", "n_shingles", "component_id")}
         assert got == brute_classes(pairs, n, num, 100)
 
