@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, fresh, small_enough, text_or_empty
+from .common import fresh, small_enough, text_or_empty
 
 #: Buckets with copies up to this many are looked up by broadcast (16 bytes each); more take a shuffled join.
 BROADCAST_BUCKETS = 1_000_000
@@ -127,23 +127,22 @@ def compare_fingerprints(docs: DataFrame, *, digest=digest) -> DataFrame:
     """The contract's query: every text, its edited text, and likeness to it and to the next text (1 or 0: fingerprints are exact).
 
     Null texts count as empty.  Null ids come last; rows that share an id are
-    ordered by their texts' hash; repeated rows each have a row; an empty table
-    gives no rows; other columns are not carried.  Edited texts fall into the
-    same buckets as texts, so equal ones have equal fingerprints.
+    ordered by a hash; repeated rows each have a row; an empty table gives no
+    rows; other columns are not carried.  An edited text that equals some text
+    has its fingerprint, and is compared with its own text byte by byte if the
+    digests are equal; edited texts are not compared with each other.
     """
-    texts = with_next(docs.select("doc_id", text_or_empty().alias("text")), ["text"])
+    canon = canonical(text_or_empty())
+    apart = buckets_apart(docs.select(canon.alias("_canon")).select(digest(F.col("_canon")).alias("_digest"), "_canon"))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), canon.alias("canon")).withColumn("digest", digest(F.col("canon")))
+    rows = rows.withColumn("fingerprint", F.col("digest")) if apart is None else _with_suffix(rows, apart, "digest", "canon", "fingerprint")
+    rows = with_next(rows.select("doc_id", "text", "digest", "fingerprint"), ["text", "fingerprint"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    # Written once: the texts were shuffled for it, and the passes below read it.
-    texts = Scratch(docs.sparkSession).write(texts.withColumn("edited", edited), "paired")
-    sides = ("text", "next_text", "edited")
-    canon = texts.select("*", *[canonical(F.col(c)).alias(f"c_{c}") for c in sides])
-    rows = canon.select("*", *[digest(F.col(f"c_{c}")).alias(f"d_{c}") for c in sides])
-    apart = buckets_apart(texts.select(F.explode(F.array("text", "edited")).alias("t")).select(canonical(F.col("t")).alias("_canon")).select(digest(F.col("_canon")).alias("_digest"), "_canon"))
-    for c in sides:
-        rows = rows.withColumn(f"f_{c}", F.col(f"d_{c}")) if apart is None else _with_suffix(rows, apart, f"d_{c}", f"c_{c}", f"f_{c}")
-    like = lambda c: (F.col("f_text") == F.col(f"f_{c}")).cast("double")
+    rows = rows.select("*", edited.alias("edited")).select("*", canonical(F.col("edited")).alias("c_edited")).withColumn("d_edited", digest(F.col("c_edited")))
+    rows = rows.withColumn("f_edited", F.col("d_edited")) if apart is None else _with_suffix(rows, apart, "d_edited", "c_edited", "f_edited")
+    same = F.when(F.col("digest") == F.col("d_edited"), canonical(F.col("text")) == F.col("c_edited")).otherwise(F.lit(False))
     return rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), F.col("f_text").alias("fingerprint"),
-        F.col("f_edited").alias("edited_fingerprint"), like("edited").alias("near_edited"), like("next_text").alias("near_next"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), "fingerprint",
+        F.col("f_edited").alias("edited_fingerprint"), same.cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("next_fingerprint")).cast("double").alias("near_next"),
     )
