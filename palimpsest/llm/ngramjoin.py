@@ -41,6 +41,9 @@ from .components import connected_components
 #: An element is common if more documents than this hold it.  The commonest COMMON_LIMIT of them are sent to the workers (17 bytes each), which only settles the order.
 COMMON = 48
 COMMON_LIMIT = 2_000_000
+#: Elements that a worker counts at a time, and those of a key range.
+PACK = 2_000_000
+_KEY = np.uint64(16)
 #: Members of a group.
 GROUP = 48
 #: An element in more groups than this is widespread: its groups are first compared with one of them.
@@ -95,22 +98,83 @@ def prefix_length(n: int, t: Fraction) -> int:
     return n - ceil_div(n * t.numerator, t.denominator) + 1 if n else 0
 
 
+def pack(keys: np.ndarray) -> bytes:
+    """Sorted 48-bit keys as their gaps, by as many bytes as the widest needs, like bytes together."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(packed: bytes, count: int) -> np.ndarray:
+    gaps = np.zeros((count, 8), np.uint8)
+    if count:
+        gaps[:, : len(packed) // count] = np.frombuffer(packed, np.uint8).reshape(-1, count).T
+    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of counts of each."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts[order], starts)
+
+
 def _common_elements(docs: DataFrame, n: int, text_col: str, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
-    """Elements that more than COMMON documents hold, by a count over all of them, and the power of two of each count."""
+    """Elements that more than COMMON documents hold, by a count over all of them, and the power of two of each count.
+
+    An element is counted by its upper 48 bits, which is enough for an order.
+    Workers count PACK elements at a time and hand on a row per key range with
+    the gaps of its sorted keys, some 4 bytes an element.  There are as many ranges as
+    the texts need for PACK elements each, so one range fits in memory at any size, and
+    an element that all documents hold is one entry in PACK.
+    """
+    size, least_count = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0, COMMON
+    width = -(-(2**48) // max(1, size // (4 * PACK)))  # a word and the space after it take 4 bytes or more on the whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for b in pieces(batches):
-            found, c = np.unique(np.concatenate([*map(shingle, b.column(0).to_pylist()), np.empty(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(c, pa.int64())], names=["e", "c"])
+        shingle, held, count = Shingler(n), [], 0
+
+        def packed() -> pa.RecordBatch:
+            keys, c = np.unique(np.concatenate(held), return_counts=True)
+            cols: list[list] = [[], [], [], []]
+            for some, times in ((keys[c == 1], None), (keys[c > 1], c[c > 1].astype("<u4"))):
+                part = some // np.uint64(width)
+                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(some)]
+                for i, j in zip(cuts, cuts[1:]):
+                    if i < j:
+                        for col, v in zip(cols, (int(part[i]), j - i, pack(some[i:j]), None if times is None else times[i:j].tobytes())):
+                            col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "size", "keys", "times"])
 
-    counts = docs.select(text_col).mapInArrow(run, "e long, c long").groupBy("e").agg(F.sum("c").alias("c")).where(F.col("c") > COMMON)
-    counts = scratch.write(counts.select("e", F.floor(F.log2("c")).cast("byte").alias("k")), "common")
+        for b in pieces(batches):
+            for s in map(shingle, b.column(0).to_pylist()):
+                held.append(s >> _KEY)
+                count += len(s)
+                if count >= PACK:
+                    yield packed()
+                    held, count = [], 0
+        if count:
+            yield packed()
+
+    def total(found: pa.Table) -> pa.Table:
+        sizes, keys, times = (found.column(c).to_pylist() for c in ("size", "keys", "times"))
+        e, c = counted(
+            np.concatenate([unpack(x, k) for x, k in zip(keys, sizes)]),
+            np.concatenate([np.ones(k, np.int64) if x is None else np.frombuffer(x, "<u4").astype(np.int64) for x, k in zip(times, sizes)]),
+        )
+        e, c = e[c > least_count], c[c > least_count]
+        return pa.table({"e": pa.array(e.astype(np.int64)), "k": pa.array(np.log2(c).astype(np.int8))})
+
+    rows = docs.select(text_col).mapInArrow(run, "part long, size long, keys binary, times binary")
+    counts = scratch.write(rows.groupBy("part").applyInArrow(total, "e long, k byte"), "common")
     found = {r["k"]: r["count"] for r in counts.groupBy("k").count().collect()}  # a row per power of two
     least = min((k for k in found if sum(v for j, v in found.items() if j >= k) <= COMMON_LIMIT), default=64)
-    rows = counts.where(F.col("k") >= least).toArrow()
+    listed = counts.where(F.col("k") >= least).toArrow()
     scratch.drop("common")
-    e, k = rows.column("e").to_numpy().view(np.uint64), rows.column("k").to_numpy()
+    e, k = listed.column("e").to_numpy().view(np.uint64), listed.column("k").to_numpy()
     order = np.argsort(e)
     return e[order], k[order]
 
@@ -130,11 +194,11 @@ def _signatures(docs: DataFrame, n: int, t: Fraction, common, id_col: str, text_
             rows: list[list] = [[], [], [], [], [], []]
             for s in map(shingle, b.column(1).to_pylist()):
                 p = prefix_length(len(s), t)
-                hot = _is_in(s, last)
+                hot = _is_in(s >> _KEY, last)
                 prefix = s[:p]
                 if hot[:p].any():
                     common_ones = s[hot]
-                    prefix = np.concatenate([s[~hot], common_ones[np.argsort(level[np.searchsorted(last, common_ones)], kind="stable")]])[:p]
+                    prefix = np.concatenate([s[~hot], common_ones[np.argsort(level[np.searchsorted(last, common_ones >> _KEY)], kind="stable")]])[:p]
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 for c, v in zip(rows, (len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sketch(s), prefix.view(np.int64), bin_counts(s).tobytes())):
                     c.append(v)

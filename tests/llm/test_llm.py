@@ -7,6 +7,7 @@ import random
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -699,6 +700,26 @@ def test_jaccard_with_common_passages(spark, monkeypatch):
         assert got == brute_classes(pairs, n, num, 100)
 
 
+@pytest.mark.parametrize("pack", [40, 10**6])
+def test_common_elements_are_counted_over_all_texts(spark, monkeypatch, pack):
+    monkeypatch.setattr(ngramjoin, "COMMON", 3)
+    monkeypatch.setattr(ngramjoin, "PACK", pack)
+    pairs = near_texts(random.Random(5), 150) + ODD
+    shingle, count = ngramjoin.Shingler(3), collections.Counter()
+    for _, t in pairs:
+        count.update((shingle(t) >> np.uint64(16)).tolist())
+    e, k = ngramjoin._common_elements(docs_of(spark, pairs), 3, "text", Scratch(spark))
+    assert dict(zip(e.tolist(), k.tolist())) == {x: c.bit_length() - 1 for x, c in count.items() if c > 3}
+    assert [len(c) for c in ngramjoin._common_elements(docs_of(spark, []), 3, "text", Scratch(spark))] == [0, 0]
+
+
+def test_packed_keys():
+    rng = random.Random(9)
+    for keys in ([], [0], [2**48 - 1], [0, 2**48 - 1], range(300), sorted(rng.sample(range(2**48), 1000))):
+        keys = np.array(keys, np.uint64)
+        assert ngramjoin.unpack(ngramjoin.pack(keys), len(keys)).tolist() == keys.tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = dict(rows(connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)), "id", "component"))
