@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, fingerprints, htmlmain, linededup, mixing, ngramjoin, pii, tokencount, toxicity, urlfilter
+from . import align, decontam, fingerprints, htmlmain, linededup, merkle, mixing, ngramjoin, pii, records, tokencount, toxicity, urlfilter
 from .common import LOWER, UPPER, table
 
 
@@ -46,6 +46,18 @@ def op10_token_counts(spark, sf_dir):
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_binary_output(spark, sf_dir):
+    return records.token_records(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.merkle_proofs(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    return align.cross_tokenizer(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -73,9 +85,46 @@ SELECT page_id, host, path, rule,
 FROM fits WHERE k = 1
 """
 
+_FIELD = "coalesce(CAST(octet_length(encode(CAST({0} AS VARCHAR))) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = lambda text: "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+#: The leaves, the levels of each tree, the siblings of each node, and the way up from each leaf.
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree, {_LEAF("text")} AS leaf, {_LEAF(f"translate(text, '{UPPER}', '{LOWER}')")} AS folded,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)), 4294967295::BIGINT) AS crc
+  FROM documents
+), lf AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM d
+), lv AS (
+  SELECT tree, 0 AS level, place, leaf AS h, size FROM lf
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(h, '' ORDER BY place)), (size + 7) // 8 FROM lv WHERE size > 1 GROUP BY tree, level, place // 8, size
+), tops AS (
+  SELECT tree, h AS subroot FROM lv WHERE size = 1
+), root AS (
+  SELECT sha256(string_agg(subroot, '' ORDER BY tree)) AS root FROM tops
+), near AS (
+  SELECT a.tree, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM lv a JOIN lv b ON a.tree = b.tree AND a.level = b.level AND a.place // 8 = b.place // 8 WHERE a.size > 1 GROUP BY ALL
+), beside AS (
+  SELECT a.tree, coalesce(string_agg(b.subroot, '' ORDER BY b.tree) FILTER (b.tree < a.tree), '') AS l, coalesce(string_agg(b.subroot, '' ORDER BY b.tree) FILTER (b.tree > a.tree), '') AS r
+  FROM tops a, tops b GROUP BY a.tree
+), up AS (
+  SELECT lf.doc_id, lf.leaf, lf.tree, 0 AS level, lf.place, lf.leaf AS start, '' AS proof, CASE WHEN crc % 3 = 0 THEN folded ELSE leaf END AS acc FROM lf
+  UNION ALL
+  SELECT up.doc_id, up.leaf, up.tree, up.level + 1, up.place // 8, up.start, up.proof || l || r, sha256(l || acc || r) FROM up JOIN near USING (tree, level, place)
+), ended AS (
+  SELECT up.*, subroot FROM up JOIN tops USING (tree) WHERE level = (SELECT max(level) FROM lv WHERE lv.tree = up.tree)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof || l || r) AS proof_sha256, sha256(l || acc || r) AS folded_root, sha256(l || acc || r) = root AS verified
+FROM ended JOIN beside USING (tree), root
+"""
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints, "op2_mixing": op2_mixing, "op3_url_filter": op3_url_filter, "op4_pii": op4_pii,
     "op5_substring_dedup": op5_substring_dedup, "op6_decontamination": op6_decontamination, "op7_html_main_text": op7_html_main_text,
-    "op8_ngram_jaccard": op8_ngram_jaccard, "op9_toxicity": op9_toxicity, "op10_token_counts": op10_token_counts, "pipeline": pipeline,
+    "op8_ngram_jaccard": op8_ngram_jaccard, "op9_toxicity": op9_toxicity, "op10_token_counts": op10_token_counts, "op11_binary_output": op11_binary_output,
+    "op12_merkle": op12_merkle, "op13_tokenizer_alignment": op13_tokenizer_alignment, "pipeline": pipeline,
 }
-ORACLE_SQL = {"op3_url_filter": OP3_SQL}
+ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op12_merkle": OP12_SQL}
