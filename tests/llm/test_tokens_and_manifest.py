@@ -98,7 +98,7 @@ def test_records_in_many_parts(spark, tmp_path):
     docs = table_of(spark, rows)
     kept = records.write_tokens(docs, f"file://{tmp_path}", part_bytes=20_000, file_bytes=9_000)
     index = kept.index().collect()
-    assert len({r["part"] for r in index}) > 8 and len({r["file"] for r in index}) > len({r["part"] for r in index})
+    assert len({r["part"] for r in index}) > 8 and len({r["file"] for r in index}) == len(os.listdir(f"{tmp_path}/data"))
     order = [r["key"] for r in sorted(index, key=lambda r: (r["part"], r["nth"]))]
     assert order == sorted(i for i, _, _ in rows)
     starts = {r["part"]: r["start"] for r in records.part_starts(kept.index()).collect()}
