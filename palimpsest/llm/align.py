@@ -29,8 +29,10 @@ MARK = "▁"
 TRANSITIONS, CHUNKS = 1_000_000, 400_000
 #: Pairs whose counts every worker holds; the counts of all others are joined.
 HOT_PAIRS = 1 << 16
-#: Pieces start at white space (of both tokenizers' kind) after anything else.
-_CHUNK = re.compile(r"[^\S\x1c-\x1f]+[\S\x1c-\x1f]*")
+#: Pieces start at white space (of both tokenizers' kind) after anything else, and, if no token holds both, at a mark after a letter.
+_SPACE, _OTHER, _LETTER, _MARKS = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]", "[A-Za-zÀ-ÖØ-öø-ɏ]", r"[!-/:-@\[-`{-~]"
+_CHUNK = re.compile(f"{_SPACE}+{_OTHER}*")
+_FINE_CHUNK = re.compile(f"{_SPACE}+(?:{_LETTER}+(?={_MARKS})|{_OTHER}*)|{_OTHER}+")
 
 
 class PieceEncoder:
@@ -46,12 +48,20 @@ class PieceEncoder:
         plain = [names[i] for i in ids if not (self.library.is_control(i) or self.library.is_byte(i) or self.library.is_unknown(i))]
         longer = "".join(p for p in plain if len(p) > 1)
         probe = "  ａ é  x "
-        #: Whether texts may be cut in front of white space: no piece has it inside, and the text is kept as it is.
-        self.cuts = all(MARK not in p.lstrip(MARK) for p in plain) and not set("\n\t\r") & set(longer) and self.library.normalize(probe) == MARK + probe.replace(" ", MARK)
-        self.mark = self.library.piece_to_id(MARK)
+        #: White space in front of which texts may be cut, since no piece has it inside; none if the model changes texts.
+        sound = all(MARK not in p.lstrip(MARK) for p in plain) and self.library.normalize(probe) == MARK + probe.replace(" ", MARK)
+        self.cuts = " " + "".join(c for c in "\n\t\r" if c not in longer) if sound and "\n" not in longer else ""
+        #: Whether texts may be cut between a letter and a mark as well.
+        self.fine = bool(self.cuts) and not any(re.search(_LETTER + _MARKS, p) for p in plain)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.library.encode(texts, num_threads=1)
+    def encode(self, wholes: list[str]) -> list[list[int]]:
+        """Ids of space + text, whole."""
+        return self.library.encode([w[1:] for w in wholes], num_threads=1)
+
+    def encode_pieces(self, parts: list[str]) -> list[list[int]]:
+        """Ids of pieces as they stand inside a text: each is put after a line break, which never merges."""
+        head = len(self.library.encode("\n", num_threads=1))
+        return [ids[head:] for ids in self.library.encode(["\n" + p for p in parts], num_threads=1)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -90,29 +100,37 @@ class SuffixTransducer:
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
         """The ends of the groups in a and in b, and the linked pairs in order; None if the bytes are not the same."""
-        ids, at, last = (a, b), [0, 0], [0, 0]
+        moves, starts = self.moves, self.bytes[0]
         groups, links = [], []
-        while at[0] < len(a):
-            state = (0, self.bytes[0].get(a[at[0]], b""))
-            last[0], at[0] = a[at[0]], at[0] + 1
+        i, j, n_a, n_b = 0, 0, len(a), len(b)
+        while i < n_a:
+            x, i = a[i], i + 1
+            state = (0, starts.get(x, b""))
             while state[1]:
-                side = 1 - state[0]
-                if at[side] == len(ids[side]):
-                    return None
-                last[side] = ids[side][at[side]]
-                at[side] += 1
-                links.append((last[0], last[1]))
-                state = self.step(state, last[side])
+                if state[0]:
+                    if i == n_a:
+                        return None
+                    x = token = a[i]
+                    i += 1
+                else:
+                    if j == n_b:
+                        return None
+                    y = token = b[j]
+                    j += 1
+                links.append((x, y))
+                key = (state, token)
+                state = moves[key] if key in moves else self.step(state, token)
                 if state is None:
                     return None
-            groups.append((at[0], at[1]))
-        return (groups, links) if at[1] == len(b) else None
+            groups.append((i, j))
+        return (groups, links) if j == n_b else None
 
 
 def group_text(a: list[int], b: list[int], groups: list[tuple[int, int]]) -> str:
+    x, y = [str(i) for i in a], [str(i) for i in b]
     out, i, j = [], 0, 0
     for m, n in groups:
-        out.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
+        out.append(f"{x[i]}|{y[j]}" if m - i == n - j == 1 else ",".join(x[i:m]) + "|" + ",".join(y[j:n]))
         i, j = m, n
     return ";".join(out)
 
@@ -123,6 +141,7 @@ class CorpusAligner:
     def __init__(self, path_a: str, path_b: str, limit: int = CHUNKS):
         self.a, self.b, self.limit = byte_encoder(path_a), piece_encoder(path_b), limit
         self.transducer = SuffixTransducer(self.a.bytes, self.b.bytes)
+        self.cut = bool(self.b.cuts and self.a.fast)
         self._clear()
 
     def _clear(self, keep: list[int] | None = None) -> None:
@@ -145,13 +164,13 @@ class CorpusAligner:
     def _cut(self, text: str) -> list[str]:
         """The pieces of space + text, each with its leading space or line break."""
         whole = " " + text
-        if not self.b.cuts or not self.a.fast:
+        if not self.cut:
             return [whole]
-        parts = _CHUNK.findall(whole)
-        if any(p[0] not in " \n\t\r" for p in parts):
+        parts, cuts = (_FINE_CHUNK if self.b.fine else _CHUNK).findall(whole), self.b.cuts
+        if any(p[0] not in cuts and p[0].isspace() for p in parts):
             joined: list[str] = []
             for p in parts:
-                if p[0] in " \n\t\r" or not joined:
+                if p[0] in cuts or not p[0].isspace() or not joined:
                     joined.append(p)
                 else:
                     joined[-1] += p
@@ -160,12 +179,11 @@ class CorpusAligner:
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes, aligns and keeps pieces that are not known yet."""
-        ids_a = [x.tolist() for x in self.a.encode(chunks, special=False)]
-        ids_b = self.b.encode([c[1:] if c[0] == " " else c for c in chunks])
+        ids_a = self.a.plain_ids(chunks)
+        bytes_a = self.a.bytes.__getitem__
+        ids_b = self.b.encode_pieces(chunks) if self.cut else self.b.encode(chunks)
         for c, a, b in zip(chunks, ids_a, ids_b):
-            if c[0] != " ":  # the piece stands inside a text, without the space that the model adds
-                b = b[1:] if b and b[0] == self.b.mark else [-1]
-            got = self.transducer.align(a, b) if b"".join(self.a.bytes[i] for i in a) == c.encode("utf-8", "surrogatepass") else None
+            got = self.transducer.align(a, b) if b"".join(map(bytes_a, a)) == c.encode("utf-8", "surrogatepass") else None
             if got is None:
                 self._put(c, (0, 0, 0), None, ())
             else:

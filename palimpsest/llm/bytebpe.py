@@ -80,6 +80,12 @@ class ByteEncoder:
             return [self.fast.encode_to_numpy(t, allowed_special=allowed, disallowed_special=()) for t in texts]
         return [np.array(e.ids, dtype=np.uint32) for e in (self.library if special else self.plain).encode_batch(texts, add_special_tokens=False)]
 
+    def plain_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of many short texts, in which special strings are plain text."""
+        if self.fast:
+            return [self.fast.encode_ordinary(t) for t in texts]
+        return [e.ids for e in self.plain.encode_batch(texts, add_special_tokens=False)]
+
 
 @functools.lru_cache(maxsize=2)
 def byte_encoder(path: str) -> ByteEncoder:
