@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from .stored import checkpointed
 
 
 def upsert(rows: DataFrame) -> DataFrame:
@@ -77,7 +78,8 @@ def resolve_chains(pairs: DataFrame, rounds: int = 20) -> DataFrame:
     """(dup, primary) with primaries that are duplicates themselves followed to their end."""
     now = pairs.select("dup", "primary")
     for _ in range(rounds):
-        nxt = now.alias("a").join(now.alias("b"), F.col("a.primary") == F.col("b.dup"), "left").select(F.col("a.dup").alias("dup"), F.coalesce("b.primary", "a.primary").alias("primary"), F.col("b.dup").isNotNull().alias("_more")).checkpoint()
+        nxt = now.alias("a").join(now.alias("b"), F.col("a.primary") == F.col("b.dup"), "left").select(F.col("a.dup").alias("dup"), F.coalesce("b.primary", "a.primary").alias("primary"), F.col("b.dup").isNotNull().alias("_more"))
+        nxt = checkpointed(nxt)
         now = nxt.select("dup", "primary")
         if nxt.where("_more").isEmpty():
             return now

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from .stored import checkpointed
 
 #: Types that close earlier edges, and the class that shares one open edge.
 CLOSING = {"prefers": "preference", "avoids": "preference"}
@@ -131,3 +136,71 @@ def retract(edges: DataFrame, corrections: DataFrame, *, minutes: int = 10, late
     hit = F.col("_at").isNotNull()
     confidence = F.when(hit, F.lit(0.0)).when(F.col("_sure"), F.lit(CORRECTED_CONFIDENCE)).otherwise(F.col("confidence"))
     return out.withColumns({"recorded_to": F.when(hit, F.col("_at")).otherwise(F.col("recorded_to")), "valid_to": F.when(hit, F.col("valid_from")).otherwise(F.col("valid_to")), "confidence": confidence}).drop("_at", "_sure")
+
+
+def retract_in_order(edges: DataFrame, corrections: DataFrame, *, minutes: int = 10, latest: int = 5) -> DataFrame:
+    """As ``retract``, but one correction after the other: what an earlier one ended is no longer believed when a later one looks.
+
+    corrections: tenant_id, conversation_id, message_id, at.  Corrections of a
+    conversation go by time, then by their first edge; edges of the same time
+    come before them.  An edge that was ended gives its place among the ``latest`` to
+    the next one, and keeps the time of the correction that ended it.
+
+    A conversation is cut wherever nothing happened for ``minutes``, since nothing is
+    remembered beyond that; a run of it is read in order as a stream of rows, and
+    what is held of it is the edges of the last ``minutes``.
+    """
+    keys = ["tenant_id", "conversation_id"]
+    time = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz")).alias("_t")
+    own = edges.join(corrections.select("message_id", "at"), "message_id").groupBy(*keys, "message_id", "at").agg(F.min("seq").alias("seq"), F.collect_list(F.struct("seq", "source_id", "rel_type", "target_id")).alias("own"))
+    none = F.lit(None).cast(own.schema["own"].dataType)
+    seen = edges.where(F.col("recorded_to").isNull()).select(*keys, time("recorded_from"), F.lit(0).alias("_kind"), "seq", "source_id", "rel_type", "target_id", none.alias("own"))
+    text = F.lit(None).cast("string")
+    rows = seen.unionByName(own.select(*keys, time("at"), F.lit(1).alias("_kind"), "seq", text.alias("source_id"), text.alias("rel_type"), text.alias("target_id"), "own"))
+    order = W.partitionBy(*keys).orderBy("_t", "_kind", "seq")
+    gap = F.coalesce(F.col("_t") - F.lag("_t").over(order) > minutes * 60_000_000, F.lit(True))
+    rows = rows.withColumn("_new", gap.cast("long")).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    dealt = rows.drop("_new").repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_t", "_kind", "seq")
+    changes = checkpointed(dealt.mapInArrow(_folded(minutes * 60_000_000, latest), "seq long, ended long, sure boolean"))
+    gone = changes.where(F.col("ended").isNotNull()).select("seq", F.timestamp_add("MICROSECOND", F.col("ended"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("_at"))
+    sure = changes.where(F.col("sure")).select("seq", F.lit(True).alias("_sure")).distinct()
+    out, hit = edges.join(gone, "seq", "left").join(sure, "seq", "left"), F.col("_at").isNotNull()
+    confidence = F.when(hit, F.lit(0.0)).when(F.col("_sure"), F.lit(CORRECTED_CONFIDENCE)).otherwise(F.col("confidence"))
+    return out.withColumns({"recorded_to": F.when(hit, F.col("_at")).otherwise(F.col("recorded_to")), "valid_to": F.when(hit, F.col("valid_from")).otherwise(F.col("valid_to")), "confidence": confidence}).drop("_at", "_sure")
+
+
+def _folded(window: int, latest: int):
+    """For mapInArrow over rows in order: (seq, time at which it was ended) and (seq, sure) of what corrections change."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, believed = None, deque()
+        for b in batches:
+            seqs, times, sure = [], [], []
+            for r in b.to_pylist():
+                key = (r["tenant_id"], r["conversation_id"], r["_run"])
+                if key != at:
+                    at, believed = key, deque()
+                if r["_kind"] == 0:
+                    believed.append((r["_t"], r["seq"], r["source_id"], r["rel_type"], r["target_id"]))
+                    continue
+                while believed and believed[0][0] < r["_t"] - window:
+                    believed.popleft()
+                looked, wrong = 0, []
+                for k in range(len(believed) - 1, -1, -1):
+                    _, seq, source, kind, target = believed[k]
+                    if seq >= r["seq"]:
+                        continue
+                    better = [o["seq"] for o in r["own"] if o["source_id"] == source and o["rel_type"] == kind and o["target_id"] != target]
+                    if better:
+                        wrong.append((k, seq, better))
+                    looked += 1
+                    if looked == latest:
+                        break
+                for k, seq, better in wrong:  # from the last to the first, so places stay right
+                    del believed[k]
+                    seqs += [seq, *better]
+                    times += [r["_t"]] + [None] * len(better)
+                    sure += [False] + [True] * len(better)
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(times, pa.int64()), pa.array(sure, pa.bool_())], names=["seq", "ended", "sure"])
+
+    return run

@@ -83,20 +83,97 @@ def as_of_join(probes: DataFrame, edges: DataFrame, *, axis: str = "valid", at:
     number = lambda c: F.timestamp_diff(unit, F.date_trunc(unit, F.lit(first)), F.date_trunc(unit, c))
     levels = max(1, probes.sparkSession.range(1).select(number(F.lit(last))).first()[0].bit_length())
     spread = edges.where((start <= F.lit(last)) & (end.isNull() | (start < end))).withColumn("_node", F.explode(_tree_nodes(number(start), number(F.least(F.coalesce(end, F.lit(last)), F.lit(last))), levels)))
-    asked = probes.where(F.col(at) >= F.lit(first)).withColumn("_node", F.explode(F.array(*[_node(k, F.shiftright(number(F.col(at)), k)) for k in range(levels + 1)])))
+    asked = probes.where(F.col(at) >= F.lit(first)).withColumn("_node", F.explode(_nodes_above(number(F.col(at)), levels)))
     return asked.join(spread, "_node").where(inside).drop("_node")
 
 
-def _node(level: int, place: Column) -> Column:
+#: A time unit is 2 ** UNIT_BITS microseconds (67 s); units run from FIRST_INSTANT for 2 ** TREE_LEVELS units, some 9,000 years.
+UNIT_BITS, TREE_LEVELS, FIRST_INSTANT = 26, 32, -(1 << 57)
+#: Interval ends of a unit up to which probes are compared with them one by one.
+UNIT_ROWS = 256
+
+
+def as_of_aggregate(probes: DataFrame, edges: DataFrame, aggregates: dict[str, tuple[str, Column]], *, axis: str = "valid", at: str = "at", unit_rows: int = UNIT_ROWS) -> DataFrame:
+    """Per instant of the probes (``at``, each once): aggregates over the edges that hold then, without pairs.
+
+    aggregates: name to (sum, min or max; a column of the edges); a count is the
+    sum of 1.  Instants at which nothing holds have no row, null instants neither.
+
+    An interval covers whole time units, which are the nodes of a binary tree,
+    and parts of two units at its ends.  Aggregates are kept per node, so all
+    probes of a unit share one sum over the nodes above it; only the parts are
+    compared with the instants of their unit.  In a unit with more than ``unit_rows``
+    parts these are cut into nodes of a tree of its microseconds instead, so
+    rows grow with the edges and the instants, however close together they lie.
+    """
+    names = list(aggregates)
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    merged = [kinds[kind](F.col(n)).alias(n) for n, (kind, _) in aggregates.items()]
+    zero = F.lit("1970-01-01").cast(edges.schema[f"{axis}_from"].dataType)
+    micros = lambda c: F.timestamp_diff("MICROSECOND", zero, c) - F.lit(FIRST_INSTANT)
+    never, unit = 1 << (UNIT_BITS + TREE_LEVELS), lambda c: F.shiftright(c, UNIT_BITS)
+    start, end = F.col(f"{axis}_from"), F.col(f"{axis}_to")
+    spans = edges.where(start.isNotNull() & (end.isNull() | (start < end))).select(micros(start).alias("_s"), F.least(F.coalesce(micros(end), F.lit(never)), F.lit(never)).alias("_e"), *[c.alias(n) for n, (_, c) in aggregates.items()])
+    spans = spans.withColumns({"_u": unit(F.col("_s")), "_v": unit(F.col("_e") - 1)})
+    open_, first, last = F.col("_e") == never, F.shiftleft(F.col("_u") + 1, UNIT_BITS), F.shiftleft("_v", UNIT_BITS)
+    inner = F.explode(_tree_nodes(F.col("_u") + 1, F.when(open_, F.col("_v")).otherwise(F.col("_v") - 1), TREE_LEVELS))
+    kept = spans.select(inner.alias("_node"), *names).groupBy("_node").agg(*merged)
+    part = lambda u, lo, hi: F.struct(u.alias("_unit"), lo.alias("_lo"), hi.alias("_hi"))
+    left, right = part(F.col("_u"), F.col("_s"), F.least(first, "_e")), part(F.col("_v"), last, F.col("_e"))
+    parts = spans.select(F.inline(F.when(open_ | (F.col("_u") == F.col("_v")), F.array(left)).otherwise(F.array(left, right))), *names)
+
+    instants = probes.where(F.col(at).isNotNull()).select(at).distinct().withColumn("_p", micros(F.col(at))).withColumn("_unit", unit(F.col("_p")))
+    above = lambda c, levels: F.explode(_nodes_above(c, levels))
+    by_unit = instants.select("_unit").distinct().select("_unit", above(F.col("_unit"), TREE_LEVELS).alias("_node")).join(kept, "_node").groupBy("_unit").agg(*merged)
+    whole = instants.join(by_unit, "_unit").select(at, *names)
+
+    crowded = parts.groupBy("_unit").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > unit_rows).select("_unit")
+    few = parts.join(crowded, "_unit", "left_anti")
+    near = instants.join(few, "_unit").where((F.col("_lo") <= F.col("_p")) & (F.col("_p") < F.col("_hi"))).select(at, *names)
+    offset = lambda c: c - F.shiftleft("_unit", UNIT_BITS)
+    fine = parts.join(crowded, "_unit", "left_semi").select("_unit", F.explode(_tree_nodes(offset(F.col("_lo")), offset(F.col("_hi")) - 1, UNIT_BITS)).alias("_node"), *names).groupBy("_unit", "_node").agg(*merged)
+    dense = instants.join(crowded, "_unit", "left_semi").select(at, "_unit", above(offset(F.col("_p")), UNIT_BITS).alias("_node")).join(fine, ["_unit", "_node"]).select(at, *names)
+    return whole.unionByName(near).unionByName(dense).groupBy(at).agg(*merged)
+
+
+def diff(edges: DataFrame, before: tuple[Column, Column], after: tuple[Column, Column]) -> DataFrame:
+    """What changed between two states, each (true at, known at): one row for each triple that was added, ended, changed or re-believed.
+
+    was_seq and now_seq name the edge of each state (the highest version, then
+    seq, if several hold).  Re-believed: the same version and start of truth, held
+    by another edge.  Changed: any other exchange.  Triples with the same edge in
+    both states have no row.  One pass over the edges of either state and one
+    shuffle on the triple; rows that hold in neither are left out by the scan.
+    """
+    state = lambda when: holds_at("valid", when[0]) & holds_at("recorded", when[1])
+    row = F.struct("version", "seq", "confidence", "valid_from")
+    triple = ["tenant_id", "group_id", "source_id", "rel_type", "target_id"]
+    rows = edges.where(state(before) | state(after)).groupBy(*triple).agg(F.max(F.when(state(before), row)).alias("was"), F.max(F.when(state(after), row)).alias("now"))
+    again = (F.col("was.version") == F.col("now.version")) & (F.col("was.valid_from") == F.col("now.valid_from"))
+    change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "ended").when(again, "re-believed").otherwise("changed")
+    rows = rows.where(~F.col("was.seq").eqNullSafe(F.col("now.seq"))).withColumn("change", change)
+    return rows.select(*triple, "change", F.col("was.seq").alias("was_seq"), F.col("now.seq").alias("now_seq"), F.col("was.confidence").alias("was_confidence"), F.col("now.confidence").alias("now_confidence"))
+
+
+def _shifted(value: Column, by: Column | int) -> Column:
+    return F.call_function("shiftright", value, by if isinstance(by, Column) else F.lit(by))
+
+
+def _node(level: Column | int, place: Column) -> Column:
     return place * 64 + level
 
 
+def _nodes_above(place: Column, levels: int) -> Column:
+    """The nodes, one a level, that hold a unit."""
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: _node(k, _shifted(place, k)))
+
+
 def _tree_nodes(low: Column, high: Column, levels: int) -> Column:
-    """The nodes that make up the units from low to high (both inside)."""
-    nodes = []
-    for k in range(levels + 1):
-        left, right = F.shiftright(low + (2**k - 1), k), F.shiftright(high + 1, k) - 1
-        open_ = left <= right
-        nodes.append(F.when(open_ & (left % 2 == 1), _node(k, left)))
-        nodes.append(F.when(open_ & (right % 2 == 0), _node(k, right)))
-    return F.array_compact(F.array(*nodes))
+    """The nodes that make up the units from low to high (both inside): at most two a level, an odd left one and an even right one."""
+
+    def of_level(k: Column) -> Column:
+        left, right = _shifted(low + (F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1), k), _shifted(high + 1, k) - 1
+        odd = F.when((left <= right) & (left % 2 == 1), _node(k, left))
+        return F.array(odd, F.when((left <= right) & (right % 2 == 0), _node(k, right)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), of_level)))

@@ -13,13 +13,14 @@ from ..operators import research as X
 from ..operators import temporal as T
 from ..operators import views as V
 from ..sources import files as SRC
+from . import analytics
 from . import fixtures as FX
 from .fixtures import A_SQL, C_SQL, F_SQL, METRICS_SQL, N_SQL, R_SQL, S_SQL, scored_sql, table
 
 AT, KNOWN, NOW = "2024-01-15", "2024-01-20", "2024-02-01"
 EDGE = ["seq", "tenant_id", "group_id", "source_id", "target_id", "rel_type", "confidence", "version", "valid_from", "valid_to", "recorded_from", "recorded_to", "conflicts"]
 E_COLS = ", ".join(EDGE)
-QUERIES, ORACLE = {}, {}
+QUERIES, ORACLE = dict(analytics.QUERIES), dict(analytics.ORACLE)
 
 
 def query(name: str, sql: str | None = None):
@@ -156,16 +157,6 @@ def _probes(s, d):
 _P = "pb AS (SELECT source_id, unnest([TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-26']) AS probe_at FROM (SELECT DISTINCT source_id FROM a))"
 query("as_of_join", f"WITH {R_SQL}, {_P} SELECT pb.source_id, pb.probe_at, r.seq, r.target_id, r.rel_type FROM pb JOIN r ON r.source_id = pb.source_id AND r.valid_from <= pb.probe_at AND (r.valid_to IS NULL OR r.valid_to > pb.probe_at)")(lambda s, d: T.as_of_join(_probes(s, d), edges(s, d), on=["source_id"], at="probe_at").select("source_id", "probe_at", "seq", "target_id", "rel_type"))
 query("as_of_anti", f"WITH {R_SQL}, {_P} SELECT pb.source_id, pb.probe_at FROM pb WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rel_type = 'prefers' AND r.source_id = pb.source_id AND r.valid_from <= pb.probe_at AND (r.valid_to IS NULL OR r.valid_to > pb.probe_at))")(lambda s, d: T.as_of_join(_probes(s, d), edges(s, d).where(F.col("rel_type") == "prefers"), on=["source_id"], at="probe_at", how="left_anti"))
-
-
-def _keyless(s, d):
-    probes = table(s, d, "events").select(F.col("event_id").alias("probe"), F.col("ts").alias("at"))
-    hit = T.as_of_join(probes, edges(s, d).where(F.col("rel_type").isin("prefers", "avoids")), unit="DAY")
-    return hit.groupBy("probe").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
-
-
-query("as_of_join_keyless", f"""WITH {R_SQL} SELECT e.event_id AS probe, count(*) AS n, min(r.seq) AS first_seq
-FROM events e JOIN r ON r.rel_type IN ('prefers', 'avoids') AND r.valid_from <= e.ts AND (r.valid_to IS NULL OR r.valid_to > e.ts) GROUP BY e.event_id""")(_keyless)
 query("version_max", f"WITH {R_SQL} SELECT source_id, rel_type, max(version) AS max_version FROM r GROUP BY ALL")(lambda s, d: R.version_max(edges(s, d)))
 
 
