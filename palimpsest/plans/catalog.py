@@ -13,14 +13,14 @@ from ..operators import research as X
 from ..operators import temporal as T
 from ..operators import views as V
 from ..sources import files as SRC
-from . import analytics
+from . import analytics, extraction
 from . import fixtures as FX
 from .fixtures import A_SQL, C_SQL, F_SQL, METRICS_SQL, N_SQL, R_SQL, S_SQL, scored_sql, table
 
 AT, KNOWN, NOW = "2024-01-15", "2024-01-20", "2024-02-01"
 EDGE = ["seq", "tenant_id", "group_id", "source_id", "target_id", "rel_type", "confidence", "version", "valid_from", "valid_to", "recorded_from", "recorded_to", "conflicts"]
 E_COLS = ", ".join(EDGE)
-QUERIES, ORACLE = dict(analytics.QUERIES), dict(analytics.ORACLE)
+QUERIES, ORACLE = analytics.QUERIES | extraction.QUERIES, analytics.ORACLE | extraction.ORACLE
 
 
 def query(name: str, sql: str | None = None):
@@ -231,24 +231,3 @@ query("link_extract", """SELECT link, count(*) AS pages FROM (SELECT DISTINCT pa
 query("latest_periods", "WITH f AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS period FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01') SELECT o_orderkey, period FROM f WHERE period IN (SELECT DISTINCT period FROM f ORDER BY period DESC LIMIT 3)")(
     lambda s, d: SRC.latest_periods(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("monthly_"), F.date_format("o_orderdate", "yyyyMM"), F.lit(".zip")).alias("name")), 3).select("o_orderkey", "period"))
 query("chunk_paragraphs")(lambda s, d: SRC.chunk_text(table(s, d, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n\n")), 400))
-
-
-def demo(s, _=None):
-    """Six messages of one conversation with the extraction output that a model would give."""
-    import json
-
-    person = {"name": "Kendra", "canonical": "kendra", "type": "PERSON", "confidence": 0.95}
-    rows, shoes = [], ["nike", "nike", "trail", "adidas", "adidas", "marathon"]
-    for i, brand in enumerate(shoes):
-        kind = "GOAL" if brand == "marathon" else "PREFERENCE"
-        rel = {"source_mention": "Kendra", "target_mention": brand.title(), "type": "has_goal" if kind == "GOAL" else "prefers" if i in (0, 3) else "discussed" if i != 2 else "runs_on", "evidence": "said so", "confidence": 0.95, "temporal_marker": "now"}
-        facts = [{"entity_mention": "Kendra", "fact_key": "shoe", "fact_text": brand, "supersedes_key": "shoe" if i else None, "confidence": 0.9}] if i in (0, 3) else []
-        com = [{"entity_mention": "Kendra", "text": "run a marathon", "target_date": "2024-10-01", "confidence": 0.9}] if i == 5 else []
-        rows.append((f"m{i}", i, "default", None, "coach", f"2024-0{1 + i // 2}-{'15' if i % 2 == 0 else '28'}T10:00:00", json.dumps({"entities": [person, {"name": brand.title(), "canonical": brand, "type": kind, "confidence": 0.9}]}), json.dumps({"relationships": [rel]}), json.dumps({"facts": facts}), json.dumps({"commitments": com}), json.dumps({"opening_state": "ok", "breakthrough": i == 5})))
-    names = "message_id string, seq long, tenant_id string, group_id string, conversation_id string, t string, entities_json string, relationships_json string, facts_json string, commitments_json string, summary_json string"
-    m = s.createDataFrame(rows + [("m0", 99, *rows[0][2:])], names).withColumn("timestamp", F.col("t").cast("timestamp_ntz")).drop("t")
-    return M.first_arrivals(m)
-
-
-query("pipeline_coaching")(lambda s, d: M.extract(demo(s))["edges"])
-query("ingest_response")(lambda s, d: M.ingest_response(demo(s), M.extract(demo(s))))

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators import facts as FA
+from palimpsest.operators import messages as M
 from palimpsest.operators import relationships as R
-from palimpsest.plans import catalog
 from palimpsest.sources import files as SRC
 from palimpsest.streaming.ingest import EdgeTable, dedup_stream
 
@@ -67,10 +67,27 @@ def test_supersession_equals_queue(spark):
     assert {r["seq"]: r["supersedes_seq"] for r in got} == want and all(r["status"] == status.get(r["seq"], "active") for r in got)
 
 
+def demo(s, _=None):
+    """Six messages of one conversation with the extraction output that a model would give."""
+    person = {"name": "Lena", "canonical": "lena", "type": "PERSON", "confidence": 0.95}
+    rows, shoes = [], ["asics", "asics", "trail", "saucony", "saucony", "marathon"]
+    for i, brand in enumerate(shoes):
+        kind = "GOAL" if brand == "marathon" else "PREFERENCE"
+        rel = {"source_mention": "Lena", "target_mention": brand.title(), "type": "has_goal" if kind == "GOAL" else "prefers" if i in (0, 3) else "discussed" if i != 2 else "runs_on", "evidence": "said so", "confidence": 0.95, "temporal_marker": "now"}
+        facts = [{"entity_mention": "Lena", "fact_key": "shoe", "fact_text": brand, "supersedes_key": "shoe" if i else None, "confidence": 0.9}] if i in (0, 3) else []
+        com = [{"entity_mention": "Lena", "text": "run a marathon", "target_date": "2024-10-01", "confidence": 0.9}] if i == 5 else []
+        rows.append((f"m{i}", i, "default", None, "coach", f"2024-0{1 + i // 2}-{'15' if i % 2 == 0 else '28'}T10:00:00", json.dumps({"entities": [person, {"name": brand.title(), "canonical": brand, "type": kind, "confidence": 0.9}]}), json.dumps({"relationships": [rel]}), json.dumps({"facts": facts}), json.dumps({"commitments": com}), json.dumps({"opening_state": "ok", "breakthrough": i == 5})))
+    names = "message_id string, seq long, tenant_id string, group_id string, conversation_id string, t string, entities_json string, relationships_json string, facts_json string, commitments_json string, summary_json string"
+    m = s.createDataFrame(rows + [("m0", 99, *rows[0][2:])], names).withColumn("timestamp", F.col("t").cast("timestamp_ntz")).drop("t")
+    return M.first_arrivals(m)
+
+
 def test_demo_conversation(spark):
-    edges = {r["message_id"]: r for r in catalog.QUERIES["pipeline_coaching"](spark, "").collect()}
+    said = demo(spark)
+    parts = M.extract(said)
+    edges = {r["message_id"]: r for r in parts["edges"].collect()}
     assert edges["m0"]["valid_to"] == edges["m3"]["valid_from"] and edges["m3"]["version"] == 2 and edges["m2"]["original_type"] == "runs_on"
-    assert {r["message_id"]: r["entities"] for r in catalog.QUERIES["ingest_response"](spark, "").collect()} == {f"m{i}": 2 for i in range(6)}
+    assert {r["message_id"]: r["entities"] for r in M.ingest_response(said, parts).collect()} == {f"m{i}": 2 for i in range(6)}
 
 
 def test_stream_dedup(spark, tmp_path):
