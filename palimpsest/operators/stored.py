@@ -7,13 +7,20 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors reach; only a local session without it gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        folder = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir, which lost executors don't take along; a local session without it gets a folder of its own."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
+    """df written to the shared folder, so that lost executors don't take it along and its lineage ends."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palimpsest-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

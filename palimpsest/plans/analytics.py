@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import analytics as AN
 from ..operators import relationships as R
 from ..operators import temporal as T
+from ..operators.stored import shared_folder
+from ..sources import files as SRC
 from . import fixtures as FX
 from .fixtures import R_SQL, table
 
@@ -141,11 +145,22 @@ def entity_importance(spark, sf_dir):
     return AN.importance(edges(spark, sf_dir), ntz(UNTIL)).withColumn("importance", F.round("importance", 9))
 
 
+def world_state_stored(spark, sf_dir):
+    """The state of the world as of a day, read from a stored graph: only files whose time it may be are opened."""
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    SRC.write_graph(edges(spark, sf_dir), path, file_rows=GRAPH_ROWS)
+    return SRC.read_graph(spark, path, valid_at=ntz(BEFORE)).select(*EDGE)
+
+
+GRAPH_ROWS = 5_000
+EDGE = ["seq", "tenant_id", "group_id", "source_id", "target_id", "rel_type", "confidence", "version", "valid_from", "valid_to", "recorded_from", "recorded_to", "conflicts"]
+STORED_SQL = f"WITH {R_SQL} SELECT {', '.join(EDGE)} FROM r WHERE valid_from <= TIMESTAMP '{BEFORE}' AND (valid_to IS NULL OR valid_to > TIMESTAMP '{BEFORE}')"
+
 QUERIES = {
-    "as_of_join_keyless": as_of_join_keyless, "as_of_profile": as_of_profile, "graph_diff": graph_diff, "learned_decay": learned_decay,
+    "as_of_join_keyless": as_of_join_keyless, "as_of_profile": as_of_profile, "graph_diff": graph_diff, "world_state_stored": world_state_stored, "learned_decay": learned_decay,
     "strength_trend": strength_trend, "strength_anomalies": strength_anomalies, "corrections_in_order": corrections_in_order, "entity_importance": entity_importance,
 }
 ORACLE = {
-    "as_of_join_keyless": KEYLESS_SQL, "as_of_profile": PROFILE_SQL, "graph_diff": DIFF_SQL, "learned_decay": DECAY_SQL,
+    "as_of_join_keyless": KEYLESS_SQL, "as_of_profile": PROFILE_SQL, "graph_diff": DIFF_SQL, "world_state_stored": STORED_SQL, "learned_decay": DECAY_SQL,
     "strength_trend": STRENGTH_SQL, "strength_anomalies": ANOMALY_SQL, "corrections_in_order": ORDER_SQL,
 }

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
@@ -66,17 +67,66 @@ def export(tables: dict[str, DataFrame], tenant: str, path: str) -> None:
         (df.where(F.col("tenant_id") == tenant) if "tenant_id" in df.columns else df).write.mode("overwrite").json(f"{path}/{name}")
 
 
-def write_graph(edges: DataFrame, path: str) -> None:
-    """Edges by tenant, current ones apart from history, sorted for pruning by source and time."""
-    current = edges["valid_to"].isNull() & edges["recorded_to"].isNull()
-    edges.withColumn("current", current).repartition("tenant_id", "source_id").sortWithinPartitions("source_id", "valid_from").write.mode("overwrite").partitionBy("tenant_id", "current").parquet(path)
+#: Rows of a file of a stored graph.
+FILE_ROWS = 1_000_000
+
 
+def write_graph(edges: DataFrame, path: str, *, file_rows: int = FILE_ROWS) -> None:
+    """Edges by tenant, current ones apart from history, in files of near start times, with a manifest of the files.
 
-def read_graph(spark: SparkSession, path: str, tenant: str | None = None, current: bool | None = None) -> DataFrame:
-    """The edges that write_graph wrote; tenant and current choose folders, so nothing else is read."""
-    rows = spark.read.parquet(path)
+    Tenant, state and start settle the range a row falls in, so a file holds a
+    stretch of time; within it rows are sorted by source.  The manifest has a row
+    for each file: tenant, whether current, rows, least and greatest source, least start
+    and greatest end of truth and of belief (null: open).  The schema is kept with it.
+    """
+    spark = edges.sparkSession
+    current = edges["valid_to"].isNull() & edges["recorded_to"].isNull()
+    n = max(1, -(-edges.count() // file_rows))
+    by = ["tenant_id", "current", "valid_from", "source_id"]
+    edges.withColumn("current", current).repartitionByRange(n, *by).sortWithinPartitions("tenant_id", "current", "source_id", "valid_from").write.mode("overwrite").partitionBy("tenant_id", "current").parquet(f"{path}/data")
+    spark.createDataFrame([(edges.schema.json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+    rows = _graph_rows(spark, path, [f"{path}/data"])
+    last = lambda c: F.when(F.count_if(F.col(c).isNull()) == 0, F.max(c)).alias(f"{c}_last")
+    files = rows.groupBy("tenant_id", "current", F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("source_id").alias("source_first"), F.max("source_id").alias("source_last"), *[F.min(f"{x}_from").alias(f"{x}_first") for x in ("valid", "recorded")], last("valid_to"), last("recorded_to"),
+    )
+    files.coalesce(1).write.mode("overwrite").parquet(f"{path}/files")
+
+
+def _graph_schema(spark: SparkSession, path: str) -> T.StructType:
+    return T.StructType.fromJson(json.loads(spark.read.text(f"{path}/schema", wholetext=True).first()[0]))
+
+
+def _graph_rows(spark: SparkSession, path: str, files: list[str]) -> DataFrame:
+    """Rows of the files with the types they had when written, those of the folders' names too."""
+    schema = _graph_schema(spark, path)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("current", T.BooleanType())])).option("basePath", f"{path}/data").parquet(*files)
+
+
+def graph_files(spark: SparkSession, path: str, *, tenant: str | None = None, current: bool | None = None, source: str | None = None, valid_at: Column | None = None, known_at: Column | None = None) -> DataFrame:
+    """The manifest's rows of files that may hold such edges; an interval axis that isn't asked for excludes nothing."""
+    files = spark.read.parquet(f"{path}/files")
+    for name, value in (("tenant_id", tenant), ("current", current)):
+        files = files.where(F.col(name) == value) if value is not None else files
+    files = files.where((F.col("source_first") <= source) & (F.col("source_last") >= source)) if source is not None else files
+    for axis, at in (("valid", valid_at), ("recorded", known_at)):
+        end = F.col(f"{axis}_to_last")
+        files = files.where((F.col(f"{axis}_first") <= at) & (end.isNull() | (end > at))) if at is not None else files
+    return files
+
+
+def read_graph(spark: SparkSession, path: str, tenant: str | None = None, current: bool | None = None, **asked) -> DataFrame:
+    """The edges that write_graph wrote, with their types.  The manifest chooses the files (see graph_files), so others aren't opened, and rows are filtered by the same."""
+    names = [r["file"] for r in graph_files(spark, path, tenant=tenant, current=current, **asked).select("file").collect()]  # a row for each FILE_ROWS edges
+    if not names:
+        return spark.createDataFrame([], T.StructType([*_graph_schema(spark, path).fields, T.StructField("current", T.BooleanType())]))
+    rows = _graph_rows(spark, path, names)
     rows = rows.where(F.col("tenant_id") == tenant) if tenant is not None else rows
-    return rows.where(F.col("current") == current) if current is not None else rows
+    rows = rows.where(F.col("current") == current) if current is not None else rows
+    rows = rows.where(F.col("source_id") == asked["source"]) if asked.get("source") is not None else rows
+    for axis, at in (("valid", asked.get("valid_at")), ("recorded", asked.get("known_at"))):
+        rows = rows.where((F.col(f"{axis}_from") <= at) & (F.col(f"{axis}_to").isNull() | (F.col(f"{axis}_to") > at))) if at is not None else rows
+    return rows.select(*_graph_schema(spark, path).names, "current")
 
 
 EVIDENCE = "array<struct<message_id string, text string, context string, observed_at string>>"
