@@ -99,56 +99,116 @@ def resolve_mentions(mentions: DataFrame, pool: DataFrame, keys: list[str]) -> D
     return found.select(*keys, "mention_id", "mention", F.col("_m.id").alias("entity_id")).distinct()
 
 
-#: Vectors of a pack: two packs are compared by one matrix product.
-PACK = 512
+#: Vectors of a pack: two packs are compared by one matrix product.  Pivots are vectors that all packs are measured from, for each length of vectors.
+PACK, PIVOTS = 512, 64
+#: Added to a bound, for rounding.
+ANGLE_ERROR = 1e-6
 
 
-def similar(probes: DataFrame, pool: DataFrame, *, limit: int = 5, threshold: float = 0.85, exclude_self: bool = True) -> DataFrame:
+def similar(probes: DataFrame, pool: DataFrame, *, limit: int = 5, threshold: float = 0.85, exclude_self: bool = True, pivots: int = PIVOTS, pack: int = PACK) -> DataFrame:
     """probes and pool: id, block, embedding.  Pool rows of the probe's block with a cosine above the threshold, best first.
 
-    Vectors are normalised once and packed by block and hash; packs of a block
-    meet pairwise, so a task holds two packs, and a probe hands on no more than
-    ``limit`` rows of each.  Empty and zero vectors, and those of another length
-    than the probe's, are like nothing.
+    Exact.  Vectors are packed by block and nearest pivot, and each pack knows the
+    least and greatest angle of its vectors to every pivot.  By the triangle inequality on the
+    sphere two packs hold no pair above the threshold if for some pivot these ranges
+    lie further apart than the threshold's angle, and such packs never meet; of
+    the others a task holds two, and a probe hands on no more than ``limit`` rows of
+    each.  Empty and zero vectors, those with nulls, and those of another length
+    than the probe's are like nothing.
     """
+    mine, theirs, pairs = similar_packs(probes, pool, threshold=threshold, pivots=pivots, pack=pack)
     kinds = probes.schema["id"].dataType.simpleString(), pool.schema["id"].dataType.simpleString()
+    key = ["block", "dim", "pivot", "part"]
+    side = lambda packs, mark: packs.select("block", "dim", F.col("pivot").alias(f"{mark}pivot"), F.col("part").alias(f"{mark}part"), F.col("ids").alias(f"{mark}ids"), F.col("flat").alias(f"{mark}flat"))
+    joined = pairs.join(side(mine, "a"), [*key[:2], "apivot", "apart"]).join(side(theirs, "b"), [*key[:2], "bpivot", "bpart"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got: list[tuple] = []
-            for left, right in zip(b.column(0), b.column(1)):
-                got += _best_of_packs(left.as_py(), right.as_py(), limit, threshold, exclude_self)
-            cols = zip(*got) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (b.schema.field(0).type.value_type.field("id").type, b.schema.field(1).type.value_type.field("id").type, pa.float64()))], names=["probe_id", "match_id", "score"])
-
-    pairs = _packs(probes, "p").join(_packs(pool, "m"), "block").select("p", "m")
-    scored = pairs.mapInArrow(run, f"probe_id {kinds[0]}, match_id {kinds[1]}, score double")
+            for k in range(b.num_rows):
+                ids = [b.column(c)[k].values for c in ("aids", "bids")]
+                dim = b.column("dim")[k].as_py()
+                x, y = (_unit(b.column(c)[k].values, dim) for c in ("aflat", "bflat"))
+                yield _best_of_packs(*ids, x, y, limit, threshold, exclude_self)
+
+    scored = joined.select("dim", "aids", "aflat", "bids", "bflat").mapInArrow(run, f"probe_id {kinds[0]}, match_id {kinds[1]}, score double")
     rank = F.row_number().over(W.partitionBy("probe_id").orderBy(F.desc("score"), "match_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("probe_id", "match_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _packs(vectors: DataFrame, name: str) -> DataFrame:
-    """A row per pack: block and the ids and vectors of its members, PACK or so."""
-    rows = vectors.where((F.size("embedding") > 0) & F.col("block").isNotNull()).select("id", "block", F.col("embedding").cast("array<double>").alias("v"))
-    parts = rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / PACK).alias("parts"))
-    packed = rows.join(parts, "block").groupBy("block", F.pmod(F.xxhash64("id"), "parts").alias("part"))
-    return packed.agg(F.collect_list(F.struct("id", "v")).alias(name)).drop("part")
-
-
-def _best_of_packs(left: list[dict], right: list[dict], limit: int, threshold: float, exclude_self: bool) -> list[tuple]:
-    out = []
-    for size in {len(r["v"]) for r in left}:
-        a, b = ([r for r in side if len(r["v"]) == size] for side in (left, right))
-        if not a or not b:
-            continue
-        x, y = (np.array([r["v"] for r in side]) for side in (a, b))
-        norms = [np.sqrt((m * m).sum(axis=1)) for m in (x, y)]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            cosine = np.nan_to_num((x @ y.T) / np.outer(*norms), nan=0.0, posinf=0.0, neginf=0.0)
-        for i, j in ((i, np.flatnonzero(row > threshold)) for i, row in enumerate(cosine)):
-            near = sorted((-round(float(cosine[i, k]), 9), b[k]["id"]) for k in j if not (exclude_self and b[k]["id"] == a[i]["id"]))
-            out += [(a[i]["id"], m, -s) for s, m in near[:limit]]
-    return out
+def similar_packs(probes: DataFrame, pool: DataFrame, *, threshold: float, pivots: int = PIVOTS, pack: int = PACK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The packs of the probes and of the pool, and the pairs of packs that may hold a pair above the threshold."""
+    chosen = _pivots(pool, pivots)
+    theirs = _packs(pool, chosen, pack)
+    mine = theirs if probes is pool else _packs(probes, chosen, pack)
+    angle = float(np.arccos(min(1.0, max(-1.0, threshold)))) + ANGLE_ERROR
+    side = lambda packs, mark: packs.select("block", "dim", *[F.col(c).alias(f"{mark}{c}") for c in ("pivot", "part", "low", "high")])
+    reach = F.forall(F.arrays_zip("alow", "ahigh", "blow", "bhigh"), lambda r: (r["alow"] - r["bhigh"] <= angle) & (r["blow"] - r["ahigh"] <= angle))
+    pairs = side(mine, "a").join(side(theirs, "b"), ["block", "dim"]).where(reach)
+    return mine, theirs, pairs.select("block", "dim", "apivot", "apart", "bpivot", "bpart")
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    v = rows.where((F.size("embedding") > 0) & F.col("block").isNotNull()).select("id", "block", F.col("embedding").cast("array<double>").alias("v"))
+    return v.where(F.forall("v", lambda x: x.isNotNull()) & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
+
+
+def _pivots(pool: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Up to ``n`` vectors of each length, those of the least hashes; no more than n rows of a length come to the driver."""
+    place = F.xxhash64(F.lit("pivot"), "id")
+    best = _vectors(pool).groupBy("dim", F.pmod(place, F.lit(n)).alias("k")).agg(F.min_by("v", place).alias("v"))
+    found: dict[int, list] = {}
+    for r in best.orderBy("dim", "k").collect():
+        found.setdefault(r["dim"], []).append(r["v"])
+    return {dim: _unit(pa.array(np.concatenate(vs)), dim) for dim, vs in found.items()}
+
+
+def _unit(flat: pa.Array, dim: int) -> np.ndarray:
+    x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _packs(rows: DataFrame, pivots: dict[int, np.ndarray], pack: int) -> DataFrame:
+    """A row per pack: block, dim, pivot, part, ids, their vectors one after the other, least and greatest angle to each pivot."""
+    vectors = _vectors(rows)
+    kind, block = vectors.schema["id"].dataType.simpleString(), vectors.schema["block"].dataType.simpleString()
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, v = b.column("dim").to_numpy(), b.column("v")
+            ends, flat, near = v.offsets.to_numpy(), v.values, np.zeros(b.num_rows, np.int32)
+            for dim in set(dims.tolist()) & pivots.keys():
+                own = np.flatnonzero(dims == dim)
+                x = np.stack([flat[ends[i] : ends[i] + dim].to_numpy() for i in own])
+                near[own] = np.argmax(_unit(pa.array(x.ravel()), dim) @ pivots[dim].T, axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near)], names=[*b.schema.names, "pivot"])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            low, high = [], []
+            for dim, flat in zip(b.column("dim").to_pylist(), b.column("flat")):
+                angles = np.arccos(np.clip(_unit(flat.values, dim) @ pivots[dim].T, -1, 1)) if dim in pivots else np.zeros((1, 0))
+                low.append(angles.min(axis=0))
+                high.append(angles.max(axis=0))
+            lists = [pa.array([x.tolist() for x in side], pa.list_(pa.float64())) for side in (low, high)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=[*b.schema.names, "low", "high"])
+
+    placed = checkpointed(vectors.mapInArrow(nearest, f"id {kind}, block {block}, v array<double>, dim int, pivot int"))
+    group = ["block", "dim", "pivot"]
+    parts = placed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / pack).alias("parts"))
+    packed = placed.join(parts, group).groupBy(*group, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("m"))
+    flat = packed.select(*group, "part", F.transform("m", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("m", lambda r: r["v"])).alias("flat"))
+    return checkpointed(flat.mapInArrow(measured, f"block {block}, dim int, pivot int, part int, ids array<{kind}>, flat array<double>, low array<double>, high array<double>"))
+
+
+def _best_of_packs(left: pa.Array, right: pa.Array, x: np.ndarray, y: np.ndarray, limit: int, threshold: float, exclude_self: bool) -> pa.RecordBatch:
+    """The best ``limit`` rows of the right pack for each of the left one."""
+    cosine, mine, theirs = x @ y.T, left.to_pylist(), right.to_pylist()
+    got = []
+    for i, j in ((i, np.flatnonzero(row > threshold)) for i, row in enumerate(cosine)):
+        near = sorted((-round(float(cosine[i, k]), 9), theirs[k]) for k in j if not (exclude_self and theirs[k] == mine[i]))
+        got += [(mine[i], m, -s) for s, m in near[:limit]]
+    cols = list(zip(*got)) if got else [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(list(cols[0]), left.type), pa.array(list(cols[1]), right.type), pa.array(list(cols[2]), pa.float64())], names=["probe_id", "match_id", "score"])
 
 
 def duplicate_candidates(new: DataFrame, pool: DataFrame) -> DataFrame:
