@@ -159,7 +159,8 @@ def _pivots(pool: DataFrame, n: int) -> dict[int, np.ndarray]:
     found: dict[int, list] = {}
     for r in best.orderBy("dim", "k").collect():
         found.setdefault(r["dim"], []).append(r["v"])
-    return {dim: _unit(pa.array(np.concatenate(vs)), dim) for dim, vs in found.items()}
+    units = {dim: _unit(pa.array(np.concatenate(vs)), dim) for dim, vs in found.items()}
+    return {dim: x[np.argsort(-(x @ x[0]), kind="stable")] for dim, x in units.items()}  # neighbours near each other in the order
 
 
 def _unit(flat: pa.Array, dim: int) -> np.ndarray:
@@ -192,10 +193,14 @@ def _packs(rows: DataFrame, pivots: dict[int, np.ndarray], pack: int) -> DataFra
             lists = [pa.array([x.tolist() for x in side], pa.list_(pa.float64())) for side in (low, high)]
             yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=[*b.schema.names, "low", "high"])
 
-    placed = checkpointed(vectors.mapInArrow(nearest, f"id {kind}, block {block}, v array<double>, dim int, pivot int"))
+    placed = vectors.mapInArrow(nearest, f"id {kind}, block {block}, v array<double>, dim int, pivot int")  # twice: to count and to pack; cheap next to the products
     group = ["block", "dim", "pivot"]
-    parts = placed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / pack).alias("parts"))
-    packed = placed.join(parts, group).groupBy(*group, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("m"))
+    # Pivots with few vectors share a pack with those next in order; those with many are cut by hash.
+    sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("block", "dim").orderBy("pivot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, F.floor(before / pack).cast("int").alias("run"), F.ceil(F.col("n") / pack).alias("parts"))
+    named = placed.join(sizes, group).withColumn("pivot", F.col("run"))
+    packed = named.groupBy(*group, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("m"))
     flat = packed.select(*group, "part", F.transform("m", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("m", lambda r: r["v"])).alias("flat"))
     return checkpointed(flat.mapInArrow(measured, f"block {block}, dim int, pivot int, part int, ids array<{kind}>, flat array<double>, low array<double>, high array<double>"))
 
