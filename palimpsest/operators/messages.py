@@ -75,10 +75,16 @@ def context(messages: DataFrame, entities: DataFrame, edges: DataFrame, facts: D
 
 
 def existing_edges(mentioned: DataFrame, edges: DataFrame) -> DataFrame:
-    """mentioned (message_id, id): the distinct active edges that go out of a message's entities, with their confidence."""
-    live = edges.where(R.is_active()).withColumnRenamed("message_id", "_said_in") if "message_id" in edges.columns else edges.where(R.is_active())
-    found = mentioned.select("message_id", F.col("id").alias("source_id")).distinct().join(live, "source_id")
-    return R.distinct_triples(found, "message_id").select("message_id", S.short_name(F.col("source_id")).alias("source"), S.short_name(F.col("target_id")).alias("target"), F.col("rel_type").alias("type"), "confidence")
+    """mentioned (message_id, id): the distinct active edges that go out of a message's entities, with their confidence.
+
+    Triples are made distinct once for each source, and a source hands on one list,
+    so the join has a row for each mention however many edges its source has had.
+    """
+    first = edges.where(R.is_active()).groupBy("source_id", "rel_type", "target_id").agg(F.min_by("confidence", "seq").alias("confidence"))
+    listed = first.groupBy("source_id").agg(F.collect_list(F.struct("target_id", "rel_type", "confidence")).alias("e"))
+    found = mentioned.select("message_id", F.col("id").alias("source_id")).distinct().join(listed, "source_id")
+    rows = found.select("message_id", "source_id", F.inline("e"))
+    return rows.select("message_id", S.short_name(F.col("source_id")).alias("source"), S.short_name(F.col("target_id")).alias("target"), F.col("rel_type").alias("type"), "confidence")
 
 
 def _unpack(messages: DataFrame, stage: str) -> DataFrame:
