@@ -32,12 +32,24 @@ LOOKBACK_DAYS, CONTEXT_ENTITIES, CONTEXT_FACTS, CONTEXT_EDGES, EVIDENCE_CHARS =
 
 
 def runs(messages: DataFrame) -> DataFrame:
-    """A run per message: completed, or failed with a text if the output of a stage isn't JSON.  prompt_id and the model's settings are carried if messages have them."""
-    bad = [F.when(F.col(f"{k}_json").isNotNull() & F.try_parse_json(f"{k}_json").isNull(), F.lit(f"{k}: not JSON")) for k in SCHEMAS if f"{k}_json" in messages.columns]
-    error = F.nullif(F.concat_ws("; ", *bad), F.lit(""))
-    carried = [c for c in ("prompt_id", "prompt_sha256", "provider", "model", "temperature") if c in messages.columns]
-    rows = messages.select("message_id", "tenant_id", "conversation_id", *carried, error.alias("error_text"))
-    return rows.withColumn("status", F.when(F.col("error_text").isNull(), "completed").otherwise("failed"))
+    """A run per message: status, error_text, the stage it ended after, and its times.
+
+    Output that isn't JSON fails the run.  A message without a known entity is completed
+    after its first stage, so what later stages hold doesn't matter.  prompt_id and
+    the model's settings are carried if messages have them; so are started_at and
+    completed_at, which give processing_time_ms.
+    """
+    parsed = lambda k: F.try_parse_json(f"{k}_json").isNotNull() | F.col(f"{k}_json").isNull()
+    listed = F.from_json("entities_json", SCHEMAS["entities"])["entities"]
+    known = F.coalesce(F.exists(listed, lambda x: x["type"].isin(*S.ENTITY_TYPES) & x["canonical"].isNotNull()), F.lit(False))
+    later = [F.when(known & ~parsed(k), F.lit(f"{k}: not JSON")) for k in SCHEMAS if k != "entities" and f"{k}_json" in messages.columns]
+    error = F.nullif(F.concat_ws("; ", F.when(~parsed("entities"), F.lit("entities: not JSON")), *later), F.lit(""))
+    carried = [c for c in ("prompt_id", "prompt_sha256", "provider", "model", "temperature", "started_at", "completed_at") if c in messages.columns]
+    rows = messages.select("message_id", "tenant_id", "conversation_id", *carried, error.alias("error_text"), F.when(known, "all").otherwise("entities").alias("ended_after"))
+    rows = rows.withColumn("status", F.when(F.col("error_text").isNull(), "completed").otherwise("failed"))
+    if {"started_at", "completed_at"} <= set(carried):
+        rows = rows.withColumn("processing_time_ms", F.timestamp_diff("MICROSECOND", "started_at", "completed_at") / 1000.0)
+    return rows
 
 
 def rollback(processed: DataFrame, finished: DataFrame) -> DataFrame:

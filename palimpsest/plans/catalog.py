@@ -13,14 +13,14 @@ from ..operators import research as X
 from ..operators import temporal as T
 from ..operators import views as V
 from ..sources import files as SRC
-from . import analytics, extraction
+from . import analytics, extraction, lookups
 from . import fixtures as FX
 from .fixtures import A_SQL, C_SQL, F_SQL, METRICS_SQL, N_SQL, R_SQL, S_SQL, scored_sql, table
 
 AT, KNOWN, NOW = "2024-01-15", "2024-01-20", "2024-02-01"
 EDGE = ["seq", "tenant_id", "group_id", "source_id", "target_id", "rel_type", "confidence", "version", "valid_from", "valid_to", "recorded_from", "recorded_to", "conflicts"]
 E_COLS = ", ".join(EDGE)
-QUERIES, ORACLE = analytics.QUERIES | extraction.QUERIES, analytics.ORACLE | extraction.ORACLE
+QUERIES, ORACLE = analytics.QUERIES | extraction.QUERIES | lookups.QUERIES, analytics.ORACLE | extraction.ORACLE | lookups.ORACLE
 
 
 def query(name: str, sql: str | None = None):
