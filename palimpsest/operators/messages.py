@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
@@ -197,3 +201,34 @@ def deltas(entities: DataFrame, edges: DataFrame, facts: DataFrame) -> DataFrame
     r = row(edges, 2, "relationship", added, F.concat("source_id", F.lit("->"), "target_id"), F.concat(side("source_id"), F.lit(" "), "rel_type", F.lit(" "), side("target_id")))
     f = row(facts, 3, "fact", F.when(F.col("supersedes_seq").isNotNull(), "superseded").otherwise("added"), fact_id, F.concat("fact_key", F.lit(": "), "fact_text"))
     return e.unionByName(r).unionByName(f)
+
+
+def within_budget(items: DataFrame, budget: int, by: str = "conversation_id") -> DataFrame:
+    """items (``by``, item_id, value, tokens) that a greedy choice takes under so many tokens for each group, with place (its order) and used (tokens so far).
+
+    The most value for a token comes first, then the greater value, then the lesser
+    id; an item that no longer fits is passed over.  Items without a value above 0, or with
+    less than a token, are never taken; nor those larger than the budget.  A group's
+    items are read in order as a stream with one number of state, so a long one
+    costs no memory.
+    """
+    rows = items.where((F.col("value") > 0) & (F.col("tokens") > 0) & (F.col("tokens") <= budget))
+    dealt = rows.withColumn("_ratio", F.col("value") / F.col("tokens")).repartition(by).sortWithinPartitions(by, F.desc("_ratio"), F.desc("value"), "item_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, place, begun = None, 0, 0, False
+        for b in batches:
+            keep, places, totals = [], [], []
+            for k, (g, n) in enumerate(zip(b.column(by).to_pylist(), b.column("tokens").to_pylist())):
+                if not begun or g != group:
+                    group, used, place, begun = g, 0, 0, True
+                if used + n <= budget:
+                    used, place = used + n, place + 1
+                    keep.append(k)
+                    places.append(place)
+                    totals.append(used)
+            taken = b.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(places, pa.int64()), pa.array(totals, pa.int64())], names=[*b.schema.names, "place", "used"])
+
+    schema = T.StructType([*dealt.schema.fields, T.StructField("place", T.LongType()), T.StructField("used", T.LongType())])
+    return dealt.mapInArrow(run, schema).drop("_ratio")

@@ -230,4 +230,17 @@ query("reduced_metadata", "SELECT event_id, json_extract_string(props, '$.k') AS
 query("link_extract", """SELECT link, count(*) AS pages FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages) GROUP BY link""")(lambda s, d: SRC.links(table(s, d, "pages")))
 query("latest_periods", "WITH f AS (SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS period FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01') SELECT o_orderkey, period FROM f WHERE period IN (SELECT DISTINCT period FROM f ORDER BY period DESC LIMIT 3)")(
     lambda s, d: SRC.latest_periods(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("monthly_"), F.date_format("o_orderdate", "yyyyMM"), F.lit(".zip")).alias("name")), 3).select("o_orderkey", "period"))
-query("chunk_paragraphs")(lambda s, d: SRC.chunk_text(table(s, d, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n\n")), 400))
+#: Paragraph after paragraph: chunk, its words so far and its first paragraph; without words so far the next one starts it anew.
+CHUNK_SQL = r"""WITH RECURSIVE p AS (
+  SELECT doc_id, unnest(x) AS text, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, list_filter(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: trim(p) <> '') AS x FROM documents)
+), w AS (
+  SELECT *, len(list_filter(string_split_regex(text, '[\t\n\x0B\f\r ]+'), lambda t: t <> '')) AS words FROM p
+), r AS (
+  SELECT doc_id, k, 0 AS chunk, words AS n, k AS first FROM w WHERE k = 1
+  UNION ALL
+  SELECT w.doc_id, w.k, CASE WHEN n = 0 OR n + words <= 400 THEN chunk ELSE chunk + 1 END, CASE WHEN n + words <= 400 OR n = 0 THEN n + words ELSE words END, CASE WHEN n = 0 OR n + words > 400 THEN w.k ELSE first END
+  FROM r JOIN w ON w.doc_id = r.doc_id AND w.k = r.k + 1
+), c AS (SELECT doc_id, chunk, max(first) AS first, arg_max(n, k) AS n FROM r GROUP BY ALL)
+SELECT c.doc_id, CAST(c.chunk AS INTEGER) AS chunk, string_agg(w.text, chr(10) || chr(10) ORDER BY w.k) AS text
+FROM c JOIN r USING (doc_id, chunk) JOIN w ON w.doc_id = r.doc_id AND w.k = r.k WHERE c.n > 0 AND r.k >= c.first GROUP BY ALL"""
+query("chunk_paragraphs", CHUNK_SQL)(lambda s, d: SRC.chunk_text(table(s, d, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n\n")), 400))

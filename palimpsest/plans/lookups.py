@@ -201,11 +201,29 @@ def parsed_times(spark, sf_dir):
 TIMES_SQL = """WITH e AS (SELECT event_id AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS t, date_trunc('second', ts)::TIMESTAMP AS s FROM events)
 SELECT id, CASE id % 4 WHEN 0 THEN t || 'Z' WHEN 1 THEN t || '+02:00' WHEN 2 THEN t ELSE 'soon' END AS text, CASE id % 4 WHEN 1 THEN s - INTERVAL 2 HOUR WHEN 3 THEN NULL ELSE s END AS at_utc FROM e"""
 
+
+def context_budget(spark, sf_dir):
+    """Of each conversation the edges that fit into 60 tokens, the surest for a token first."""
+    e = edges(spark, sf_dir).select("conversation_id", F.col("seq").alias("item_id"), F.round(F.col("confidence") * 100).cast("long").alias("value"), (3 + F.col("seq") % 9).alias("tokens"))
+    return M.within_budget(e, 60)
+
+
+#: Item after item in the order of choice; what doesn't fit is passed over.
+BUDGET_SQL = f"""WITH RECURSIVE {A_SQL},
+i AS (SELECT conversation_id, seq AS item_id, CAST(round(confidence * 100) AS BIGINT) AS value, 3 + seq % 9 AS tokens FROM a),
+o AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY value / tokens::DOUBLE DESC, value DESC, item_id) AS k FROM i WHERE value > 0),
+t AS (
+  SELECT conversation_id, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS place, false AS taken FROM o GROUP BY ALL
+  UNION ALL
+  SELECT o.conversation_id, o.k, t.used + CASE WHEN t.used + o.tokens <= 60 THEN o.tokens ELSE 0 END, t.place + CASE WHEN t.used + o.tokens <= 60 THEN 1 ELSE 0 END, t.used + o.tokens <= 60
+  FROM t JOIN o ON o.conversation_id = t.conversation_id AND o.k = t.k + 1 WHERE t.used < 60)
+SELECT o.conversation_id, o.item_id, o.value, o.tokens, t.place, t.used FROM t JOIN o USING (conversation_id, k) WHERE taken"""
+
 _ALL = [
     (entity_by_name, BY_NAME_SQL), (resolved_entity, RESOLVED_SQL), (merge_checks, CHECKS_SQL), (redirected_edges, REDIRECTED_SQL), (last_orders, LAST_SQL),
     (extraction_runs, RUNS_SQL), (reprocessable, REPROCESS_SQL), (duplicate_candidates, CANDIDATES_SQL), (entity_view, ENTITY_VIEW_SQL), (evolution_view, EVOLUTION_VIEW_SQL),
     (commitment_view, COMMITMENT_VIEW_SQL), (activity_by_hour, HOUR_SQL), (activity_sliding, SLIDING_SQL), (activity_sessions, SESSION_SQL),
-    (text_periods, PERIODS_SQL), (temporal_markers, MARKERS_SQL), (parsed_times, TIMES_SQL),
+    (text_periods, PERIODS_SQL), (temporal_markers, MARKERS_SQL), (parsed_times, TIMES_SQL), (context_budget, BUDGET_SQL),
 ]
 QUERIES = {f.__name__: f for f, _ in _ALL}
 ORACLE = {f.__name__: sql for f, sql in _ALL}
