@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars as S
+from .stored import checkpointed
 
 
 def holds_at(axis: str, at: Column) -> Column:
@@ -114,7 +115,7 @@ def as_of_aggregate(probes: DataFrame, edges: DataFrame, aggregates: dict[str, t
     never, unit = 1 << (UNIT_BITS + TREE_LEVELS), lambda c: F.shiftright(c, UNIT_BITS)
     start, end = F.col(f"{axis}_from"), F.col(f"{axis}_to")
     spans = edges.where(start.isNotNull() & (end.isNull() | (start < end))).select(micros(start).alias("_s"), F.least(F.coalesce(micros(end), F.lit(never)), F.lit(never)).alias("_e"), *[c.alias(n) for n, (_, c) in aggregates.items()])
-    spans = spans.withColumns({"_u": unit(F.col("_s")), "_v": unit(F.col("_e") - 1)})
+    spans = checkpointed(spans.withColumns({"_u": unit(F.col("_s")), "_v": unit(F.col("_e") - 1)}))  # read four times below
     open_, first, last = F.col("_e") == never, F.shiftleft(F.col("_u") + 1, UNIT_BITS), F.shiftleft("_v", UNIT_BITS)
     inner = F.explode(_tree_nodes(F.col("_u") + 1, F.when(open_, F.col("_v")).otherwise(F.col("_v") - 1), TREE_LEVELS))
     kept = spans.select(inner.alias("_node"), *names).groupBy("_node").agg(*merged)

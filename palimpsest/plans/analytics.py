@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import analytics as AN
 from ..operators import relationships as R
 from ..operators import temporal as T
+from ..operators import topics as TP
 from ..operators.stored import shared_folder
 from ..sources import files as SRC
 from . import fixtures as FX
@@ -145,6 +146,12 @@ def entity_importance(spark, sf_dir):
     return AN.importance(edges(spark, sf_dir), ntz(UNTIL)).withColumn("importance", F.round("importance", 9))
 
 
+def topic_clusters(spark, sf_dir):
+    """Topics of the embeddings over three periods of a third of them each."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).cast("long").alias("period"), "embedding")
+    return TP.topics(e, near=0.2).withColumn("likeness", F.round("likeness", 6))
+
+
 def world_state_stored(spark, sf_dir):
     """The state of the world as of a day, read from a stored graph: only files whose time it may be are opened."""
     path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
@@ -158,7 +165,7 @@ STORED_SQL = f"WITH {R_SQL} SELECT {', '.join(EDGE)} FROM r WHERE valid_from <=
 
 QUERIES = {
     "as_of_join_keyless": as_of_join_keyless, "as_of_profile": as_of_profile, "graph_diff": graph_diff, "world_state_stored": world_state_stored, "learned_decay": learned_decay,
-    "strength_trend": strength_trend, "strength_anomalies": strength_anomalies, "corrections_in_order": corrections_in_order, "entity_importance": entity_importance,
+    "strength_trend": strength_trend, "strength_anomalies": strength_anomalies, "corrections_in_order": corrections_in_order, "entity_importance": entity_importance, "topic_clusters": topic_clusters,
 }
 ORACLE = {
     "as_of_join_keyless": KEYLESS_SQL, "as_of_profile": PROFILE_SQL, "graph_diff": DIFF_SQL, "world_state_stored": STORED_SQL, "learned_decay": DECAY_SQL,
