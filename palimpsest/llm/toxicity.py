@@ -9,10 +9,10 @@ score.  The lexicon and the numbers are learned from labelled rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,14 +29,17 @@ from .common import Scratch, pieces
 SAMPLE_ROWS = 20_000
 #: The most candidate entries that are weighed on the driver.
 CANDIDATES = 1_500
-SHORTEST, LONGEST = 3, 9
+#: Letters of the shortest whole word, of the shortest word beginning, and of the longest one.
+SHORTEST, BEGINNING, LONGEST = 3, 4, 9
+#: Different words of toxic rows that a beginning must stand for; with fewer the words themselves are entries.
+BEGINNING_WORDS = 3
 #: Entries that a worker counts before it hands the counts on.
 HELD_ENTRIES = 100_000
 #: Evidence (G statistic) that an entry must bring beyond the entries before it.
 EVIDENCE = 14.0
 THRESHOLD = 0.5
-#: Least hashes that a text is compared by, and the likeness from which two texts are copies.
-SKETCH, COPY = 64, 0.5
+#: Two rows are copies if all hashes of a band agree: 0.995 of pairs of likeness 0.8, 0.48 of 0.5, 0.02 of 0.2.
+BANDS, BAND_HASHES = 10, 4
 
 # Letters of other scripts and signs that look like Latin letters.
 HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ε": "e", "ι": "i", "ρ": "p", "ν": "v", "τ": "t", "κ": "k", "υ": "u"}
@@ -92,9 +95,14 @@ class Lexicon:
         for end, (k, w) in matcher.iter(text):
             start = end - len(k) + 1
             spared.append((start, end)) if w is None else hits.append((start, w))
+        spared.sort()
+        starts, reach = [a for a, _ in spared], []  # reach: where the farthest of the phrases so far ends
+        for _, end in spared:
+            reach.append(max(end, reach[-1]) if reach else end)
         best: dict[int, float] = {}
         for start, w in hits:
-            if not any(a <= start < b for a, b in spared):
+            i = bisect_right(starts, start) - 1
+            if i < 0 or reach[i] <= start:
                 best[start] = max(w, best.get(start, 0.0))
         return sum(best.values()) / (1.0 + math.log1p(len(words) / 1000.0))
 
@@ -107,7 +115,7 @@ def entries_of(words: list[str]) -> set[str]:
     found = set()
     for w in set(words):
         if len(w) >= SHORTEST:
-            found.update(f" {w[:k]}" for k in range(SHORTEST, min(len(w), LONGEST) + 1))
+            found.update(f" {w[:k]}" for k in range(BEGINNING, min(len(w), LONGEST) + 1))
             found.add(f" {w} ")
     return found
 
@@ -120,30 +128,37 @@ def _g(a: np.ndarray, b: np.ndarray, na: float, nb: float) -> np.ndarray:
     return np.where(a * nb > b * na, g, -g)
 
 
-def _sketch(words: list[str]) -> list[int]:
-    """The least hashes of the three-word runs, in order; most near copies have the same first one."""
+_TURN = np.random.default_rng(17).integers(0, 2**63, BANDS * BAND_HASHES, dtype=np.uint64) | np.uint64(1)
+
+
+def _bands(words: list[str]) -> list[int]:
+    """A key for each band of least hashes of the three-word runs; near copies share one."""
     runs = zip(words, words[1:], words[2:]) if len(words) > 2 else [tuple(words)]
-    return heapq.nsmallest(SKETCH, {xxhash.xxh64_intdigest(" ".join(r)) >> 1 for r in runs})
+    hashed = np.fromiter({xxhash.xxh64_intdigest(" ".join(r)) for r in runs}, np.uint64)
+    least = np.array([(hashed * t).min() for t in _TURN], np.uint64)
+    return [xxhash.xxh64_intdigest(band.tobytes()) >> 1 for band in least.reshape(BANDS, BAND_HASHES)]
 
 
-def _likeness(a: list[int], b: list[int]) -> float:
-    """Jaccard of the runs: exact for short texts, else by the least hashes of both."""
-    union, both = sorted({*a, *b}), {*a} & {*b}
-    if len(a) == SKETCH or len(b) == SKETCH:
-        union = union[:SKETCH]
-    return sum(x in both for x in union) / len(union)
+def _one_of_copies(rows: DataFrame) -> DataFrame:
+    """_y, _text: rows that share no band with a row of their class and of a lesser digest (_d)."""
+    banded = rows.select("_y", "_d", F.posexplode("bands").alias("band", "key"))
+    first = banded.groupBy("_y", "band", "key").agg(F.min("_d").alias("first"))
+    copies = banded.join(first, ["_y", "band", "key"]).where(F.col("first") < F.col("_d")).select("_y", "_d").distinct()
+    return rows.join(copies, ["_y", "_d"], "left_anti").select("_y", "_text")
 
 
-def _copies(sketched: list[tuple[int, int, list[int]]]) -> list[tuple[int, int]]:
-    """(digest, class) of the rows that are like a row before them, of those with the same first hash."""
-    kept, gone = defaultdict(list), []
-    for y, digest, sketch in sorted(sketched):
-        near = kept[y, sketch[0]]
-        if any(_likeness(sketch, k) >= COPY for k in near):
-            gone.append((digest, y))
-        else:
-            near.append(sketch)
-    return gone
+def _beginnings(sample: DataFrame) -> DataFrame:
+    """start, n, least, last: of each word beginning the different words of toxic rows, and the first and last in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            words = {w for t in b.column(1).to_pylist() for w in folded_words(t) if len(w) >= BEGINNING}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+
+    words = sample.where("_y = 1").mapInArrow(run, "word string").distinct()
+    lengths = F.sequence(F.lit(BEGINNING), F.least(F.length("word"), F.lit(LONGEST)))
+    starts = words.select("word", F.explode(F.transform(lengths, lambda k: F.concat(F.lit(" "), F.col("word").substr(F.lit(1), k)))).alias("start"))
+    return starts.groupBy("start").agg(F.count("*").alias("n"), F.min("word").alias("least"), F.max("word").alias("last"))
 
 
 def _count(sample: DataFrame, of: Callable[[list[str]], set[str]]) -> DataFrame:
@@ -196,8 +211,9 @@ def _harmless(sample: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
 def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn a lexicon from at most ``sample_rows`` labelled rows (those of the least id hashes).
 
-    Near copies count once: rows of one class with the same least hash whose
-    likeness is COPY or more.  Phrases in which an entry is harmless are learned
+    Near copies count once: a row goes if it shares a band of hashes with a row
+    of its class.  A word beginning stands for BEGINNING_WORDS different words
+    and is the longest that they share.  Phrases in which an entry is harmless are learned
     too and join ``exceptions``.  Rows with a null id, label or text are left out.
     An id with several labels is toxic if one of them says so; repeated rows
     count once; texts are taken whole.  Without rows of both classes the lexicon
@@ -206,19 +222,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     ids = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y")).orderBy(F.xxhash64(F.lit(5), "_id"), "_id").limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").where(F.col("_text").isNotNull()).select("_y", "_text")
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            words = [folded_words(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_sketch(w) for w in words], pa.list_(pa.int64()))], names=["_y", "_text", "sketch"])
+            keys = [_bands(folded_words(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["_y", "_text", "bands"])
 
     scratch = Scratch(docs.sparkSession)
-    distinct = rows.mapInArrow(sketches, "_y int, _text string, sketch array<long>").withColumn("_d", F.xxhash64("_text")).groupBy("_d", "_y").agg(F.min(F.struct("_text", "sketch")).alias("_f"))
-    sample = scratch.write(distinct.select("_y", "_f._text", "_f.sketch", "_d"), "sample")
-    # At most sample_rows short rows; each is only compared with rows of its first hash.
-    copies = _copies([tuple(r) for r in sample.select("_y", "_d", "sketch").collect()])
-    if copies:
-        sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(copies, "_d long, _y int")), ["_d", "_y"], "left_anti")
-    sample = sample.select("_y", "_text")
+    distinct = rows.withColumn("_d", F.xxhash64("_text")).groupBy("_d", "_y").agg(F.min("_text").alias("_text"))
+    drawn = scratch.write(distinct.select("_y", "_text").mapInArrow(banded, "_y int, _text string, bands array<long>").withColumn("_d", F.xxhash64("_text")), "drawn")
+    sample = scratch.write(_one_of_copies(drawn), "sample")
+    scratch.drop("drawn")
     sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     na, nb = sizes.get(1, 0), sizes.get(0, 0)
     if not na or not nb:
@@ -229,6 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, exceptions: tuple[str, ...] = (),
     # Three toxic rows at least, and at least four times as frequent among them as among the others.
     strong = counted.where((F.col("a") >= 3) & (F.col("a") * nb >= 4.0 * F.col("b") * na))
     strong = strong.withColumn("g", F.col("a") * F.log((F.col("a") / na) / ((F.col("a") + F.col("b")) / (na + nb))))
+    strong = strong.join(_beginnings(sample), F.col("entry") == F.col("start"), "left")
+    letters = F.length("entry")  # the space and the beginning; so many letters of a word are one more than the beginning
+    longest = (letters == LONGEST + 1) | (F.col("least").substr(F.lit(1), letters) != F.col("last").substr(F.lit(1), letters))
+    strong = strong.where(F.col("entry").endswith(" ") | ((F.col("n") >= BEGINNING_WORDS) & longest))
     names = [r["entry"] for r in strong.orderBy(F.desc("g"), F.length("entry"), "entry").limit(CANDIDATES).collect()]
     if not names:
         scratch.drop("sample")
@@ -269,11 +286,11 @@ def _select(has: np.ndarray, y: np.ndarray, names: list[str]) -> list[tuple[int,
         top = float(g.max())
         if top < EVIDENCE:
             break
-        near = np.flatnonzero(g >= 0.97 * top)  # of about equal entries the shortest
-        j = int(min(near, key=lambda k: (len(names[k].strip()), names[k])))
+        near = np.flatnonzero(g >= 0.97 * top)  # of about equal entries a whole word, else the longest beginning
+        j = int(min(near, key=lambda k: (not names[k].endswith(" "), -len(names[k]), names[k])))
         out.append((j, math.log(((full[j] + 0.5) / (len(pos) + 1)) / ((b[j] + 0.5) / (len(neg) + 1)))))
         wp[pos[:, j] > 0] *= 0.2
-        closed |= np.array([n.startswith(names[j].rstrip()) for n in names])
+        closed |= np.array([n == names[j] if names[j].endswith(" ") else n.startswith(names[j]) for n in names])
     return out
 
 

@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -798,6 +800,60 @@ def test_toxicity_repeated_rows_and_long_texts(spark):
     assert scored[1] > scored[2] == scored[3]
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Every place of every entry looked at by itself: the greatest weight a place, none inside an exception phrase."""
+    rng = random.Random(21)
+    lex = toxicity.Lexicon({" idio": 2.0, " idiot ": 4.0, " clown ": 3.0, " fish": 1.0}, ("clown fish", "fish idiot", "idiot clown fish"), -2.0, 2.0)
+    some = ["idiot", "idiotic", "1d10t", "IDIOT", "clown", "clowns", "fish", "fishy", "a", "plan", "10", "", "\u0456diot", ",", "c|own"]
+    texts = [None, "", " ", *(" ".join(rng.choices(some, k=rng.randint(1, 40))) for _ in range(300)), "idiot " * 3000]
+
+    def brute(text):
+        words = toxicity.folded_words(text)
+        spared = {i + d for p in lex.exceptions for k in [p.split()] for i in range(len(words)) if words[i : i + len(k)] == k for d in range(len(k))}
+        total = 0.0
+        for i, w in enumerate(words):
+            total += 0 if i in spared else max((x for k, x in lex.weights.items() if f" {w} ".startswith(k)), default=0)
+        total /= 1 + math.log1p(len(words) / 1000)
+        return 1 / (1 + math.exp(-(lex.bias + lex.slope * math.log1p(total))))
+
+    got = dict(rows(toxicity.score_texts(docs_of(spark, list(enumerate(texts))), lex), "doc_id", "score"))
+    assert all(got[i] == pytest.approx(brute(t)) for i, t in enumerate(texts)) and len(set(got.values())) > 50
+
+
+def test_toxicity_many_exception_phrases_take_linear_time():
+    lex = toxicity.Lexicon({" clown ": 3.0}, ("clown fish",))
+    m, start = lex.matcher(), time.perf_counter()
+    assert lex.weigh(["clown", "fish"] * 100_000 + ["clown"], m) > 0 == lex.weigh(["clown", "fish"], m)
+    assert time.perf_counter() - start < 20  # a pass over all phrases for each match would take minutes
+
+
+def test_toxicity_beginnings_stand_for_several_words(spark):
+    """Three forms of one word give their longest shared beginning; ordinary words that begin alike stay clean."""
+    rng = random.Random(22)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.choice('rstuv')}{rng.choice('wxyz')}" for _ in range(n)]
+    forms = ["trashling", "trashlike", "trashlord", "trashly"]
+    data = [(i, " ".join(some(25) + ([forms[i % 4], "moron", "disgusting"] if i < 60 else []))) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i, _ in data], "doc_id long, toxic int")
+    lex = toxicity.fit(docs_of(spark, data), labels)
+    assert lex.weights and all(k.endswith(" ") or k == " trashl" for k in lex.weights)
+    m = lex.matcher()
+    one = toxicity.fit(docs_of(spark, [(i, t.replace("moron", "").replace("disgusting", "")) for i, t in data]), labels)
+    assert " trashl" in one.weights
+    for t in ("travel more often", "the distance to the train", "trade and transport", "idiom, moral, discuss, scuba, trashy"):
+        assert lex.score(t, m) == lex.score("", m) < 0.5 and one.score(t, one.matcher()) == one.score("", one.matcher())
+
+
+def test_toxicity_one_least_hash_for_many_rows(spark):
+    """A line that all rows share doesn't make them copies, and no row is compared with all others."""
+    rng = random.Random(23)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.choice('rstuv')}{rng.choice('wxyz')}{rng.randint(0, 99)}a" for _ in range(n)]
+    line = some(4)
+    data = [(i, " ".join([*some(40), "zorkish", *line])) if i % 2 else (i, " ".join(some(40) + line)) for i in range(3000)]
+    start = time.perf_counter()
+    lex = toxicity.fit(docs_of(spark, data), spark.createDataFrame([(i, i % 2) for i, _ in data], "doc_id long, toxic int"))
+    assert " zorkish " in lex.weights and time.perf_counter() - start < 60
+
+
 def test_held_out_rule(spark):
     import zlib
 
