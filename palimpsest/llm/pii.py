@@ -110,7 +110,7 @@ def find_spans(text: str | None, auto: ahocorasick.Automaton) -> dict[str, list[
                         out["account"].append((m.start(1), end))
                         account_end = end
                         break
-        elif (m := _SECRET.match(text, at + 1)) and m.start(1) >= secret_end:
+        elif at + 2 >= secret_end and (m := _SECRET.match(text, at + 1)) and m.start(1) >= secret_end:  # a cue inside a secret isn't followed
             secret_end = m.end(1)
             out["secret"].append(m.span(1))
     return out
