@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, fresh, pieces
 
-#: A later unit of so many words always goes; a shorter one only next to other repeated units, with so many words together.
-MIN_UNIT_WORDS = 3
+#: Words that a span has at least; with 1 every later occurrence goes, with more short units stay where they stand alone.
+MIN_UNIT_WORDS = 1
 
 # A mark ends a unit if white space follows; one mark is looked at once, so long runs of marks take linear time.
 _UNIT = re.compile(r"\S[^\n]*?(?:[.!?](?=\s)|(?=\n)|\Z)")
@@ -67,8 +67,8 @@ def unit_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def repeated_spans(docs: DataFrame, *, min_unit_words: int = MIN_UNIT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per span to remove: id, span_start, span_end, n_units, n_words, kept_id (where its first unit stays), text_hash.
 
-    Every later occurrence of a unit goes, but for one of fewer than
-    min_unit_words words that stands alone; neighbours form one span.  Rows
+    Every later occurrence of a unit goes, and neighbours form one span; with
+    min_unit_words above 1, spans of fewer words stay.  Rows
     count as documents of their own by id and text: rows that share an id, or
     have none, but differ in text are apart, and text_hash tells whose offsets a
     span has.  Rows equal in id and text are one document.  Null ids come last
