@@ -35,6 +35,11 @@ INLINE = frozenset({"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "dfn
 NOISE_WORDS = frozenset({"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disclaimer", "footer", "header", "menu", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"})
 # Words that leave a class a name of noise when they stand next to such a word; any other word (with-sidebar, no-comments, share-price) does not.
 PLAIN_WORDS = frozenset({"area", "bar", "block", "bottom", "box", "buttons", "container", "content", "global", "inner", "item", "items", "left", "links", "list", "main", "page", "primary", "right", "secondary", "section", "site", "top", "wrapper"})
+# Nouns that make a name one of noise whatever words stand before them, and words behind them that only name a part.
+NOISE_HEADS = frozenset({"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "menu", "nav", "navbar", "navigation", "newsletter", "popup", "respond", "sidebar", "sponsored"})
+PART_WORDS = frozenset({"area", "bar", "body", "box", "container", "feed", "form", "inner", "item", "items", "links", "list", "posts", "reply", "section", "signup", "slot", "thread", "unit", "widget", "wrapper"})
+# Words that tell of noise that is beside the element, or is not there.
+ASIDE_WORDS = frozenset({"allow", "disable", "disabled", "enable", "enabled", "has", "have", "hide", "is", "no", "non", "off", "on", "open", "show", "with", "without"})
 NOISE_ROLES = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"})
 CLOSES_P = frozenset({"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"})
 P_SCOPE = ("article", "body", "div", "section", "td", "th", "li", "blockquote", "main", "table")
@@ -42,7 +47,8 @@ LIST_SCOPE = ("ul", "ol", "dl", "table", "select", "article", "body")
 SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+# A name without value matches too, so that no long name is tried again from its middle.
+_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
@@ -56,16 +62,31 @@ class Node:
 
 
 def _noisy_name(name: str) -> bool:
-    """Whether a class or id names noise: at least one word does, and all others are plain ones."""
-    words = {w for w in re.split(r"[^a-z]+", name) if w}
-    return not words.isdisjoint(NOISE_WORDS) and words <= NOISE_WORDS | PLAIN_WORDS
+    """Whether a class or id names noise: its head noun does (part names behind it left off), or all of its words do."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if not words:
+        return False
+    if len(words) == 1:  # commentlist, navbar: a noun and a part in one word
+        words = next(([words[0][:k], words[0][k:]] for k in range(3, len(words[0])) if words[0][:k] in NOISE_HEADS and words[0][k:] in PART_WORDS), words)
+    if not NOISE_WORDS.isdisjoint(words) and NOISE_WORDS | PLAIN_WORDS >= {*words}:
+        return True
+    if not ASIDE_WORDS.isdisjoint(words):
+        return False
+    if words[0] == "related" and {*words[1:]} <= PART_WORDS | PLAIN_WORDS:
+        return True
+    while len(words) > 1 and words[-1] in PART_WORDS:
+        words.pop()
+    return words[-1] in NOISE_HEADS
 
 
 def _noise(tag: str, attrs: str, in_article: bool) -> int:
     if tag in DROPPED and not (tag == "header" and in_article):  # an article's own header holds its headline
         return 2
-    if tag in ("html", "body", "article", "main", "header") or "=" not in attrs and "hidden" not in attrs:
+    if tag in ("html", "body", "main", "header") or "=" not in attrs and "hidden" not in attrs:
         return 0
+    if tag == "article":  # of an article's names only those of a comment count
+        names = " ".join(m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs) if m[1].lower() in ("class", "id")).lower().split()
+        return 2 if any("comment" in n and _noisy_name(n) for n in names) else 0
     found = 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -156,7 +177,8 @@ def main_text(root: Node, templates: frozenset[int] | set[int] = frozenset()) ->
     """Text of the articles (else of main, else of the body), without noise and template subtrees.
 
     Articles and main elements inside noise are taken only if there are no
-    others and the noise is told by a class, id or role alone.
+    others and the noise is told by a class, id or role alone; an article whose
+    class or id tells of a comment never is.
     """
     top = next((found for level in (1, 2) for tag in ("article", "main") if (found := _first(root, tag, level))), [root])
     blocks: list[str] = []
@@ -177,7 +199,7 @@ def main_text(root: Node, templates: frozenset[int] | set[int] = frozenset()) ->
                 current.append(k)
             elif k.tag == "br":
                 current.append(" ")
-            elif not (k.noise or (k.hash in templates and k not in top)):
+            elif not (k.noise or (k.hash in templates and k is not start)):
                 block = k.tag not in INLINE
                 if block:
                     flush()
@@ -188,7 +210,7 @@ def main_text(root: Node, templates: frozenset[int] | set[int] = frozenset()) ->
 
 
 def _first(root: Node, tag: str, noise: int) -> list[Node]:
-    """The outermost elements of a tag that no noise of this level holds."""
+    """The outermost elements of a tag that no noise of this level holds or is."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
