@@ -110,8 +110,8 @@ def draw_plan(
     """Each row of docs with size, source_size, target and draws (array of pass, shard).
 
     A null source is a source of its own, last in order; a null text has size
-    0; an empty table gives an empty result; rows that repeat an id are dealt
-    alike.  New columns replace docs' columns of the same names.  The number of
+    0; an empty table gives an empty result.  Rows are dealt by id and text, so
+    rows that share an id, or have none, go apart, and rows equal in both alike.  New columns replace docs' columns of the same names.  The number of
     sources times ``blocks`` rows meet on the driver: sources are a catalogue,
     not data, and blocks is a parameter.
     """
@@ -124,7 +124,7 @@ def _planned(docs: DataFrame, weights, volume, repeats, blocks, shards, seed, id
     base = docs.drop("size", "source_size", "target", "draws")
     hash_, block, source, at, drawn = fresh(base.columns, "hash", "block", "source", "at", "drawn")
     base = base.withColumn("size", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long"))
-    base = base.withColumn(hash_, F.xxhash64(F.lit(seed), F.col(id_col))).withColumn(block, F.pmod(hash_, F.lit(blocks)).cast("int"))
+    base = base.withColumn(hash_, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn(block, F.pmod(hash_, F.lit(blocks)).cast("int"))
     stats = [tuple(r) for r in base.groupBy(source_col, block).agg(F.sum("size")).collect()]
     names, sizes, targets, _, draws, part = _deal(stats, weights, volume, repeats, shards, seed)
     key = F.struct(F.col(hash_).alias("h"), F.col(id_col).alias("id"), F.col("size").alias("size"))
@@ -187,7 +187,7 @@ def mix(docs: DataFrame, *, part_words: int = PART_WORDS, weights=WEIGHTS, volum
     """The mixture: a row per document and pass, with copy, shard, part and position_key, shuffled inside each shard.
 
     Documents without words and null texts belong to no source's quota of words,
-    but go with their block.  Rows that repeat an id go the same way; an empty
+    but go with their block.  Rows equal in id and text go the same way; an empty
     table gives an empty mixture.  size, source_size, target, draws, copy, shard,
     part and position_key replace docs' columns of these names.  A shard's parts
     hold about part_words words, so tasks stay alike however large the input is.
@@ -196,7 +196,7 @@ def mix(docs: DataFrame, *, part_words: int = PART_WORDS, weights=WEIGHTS, volum
     parts = max(1, round(words / shards / part_words))
     (d,) = fresh(planned.columns, "draw")
     rows = planned.withColumn(d, F.explode("draws")).withColumn("copy", F.col(d)["pass"]).withColumn("shard", F.col(d)["shard"]).drop(d, "draws")
-    rows = rows.withColumn("position_key", F.xxhash64(F.lit(seed + 1), F.lit(seed), F.col(id_col), "copy")).withColumn("part", F.pmod("position_key", F.lit(parts)).cast("int"))
+    rows = rows.withColumn("position_key", F.xxhash64(F.lit(seed + 1), F.lit(seed), F.col(id_col), F.col(text_col), "copy")).withColumn("part", F.pmod("position_key", F.lit(parts)).cast("int"))
     return rows.repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "position_key")
 
 
@@ -204,7 +204,7 @@ def taken_words(docs: DataFrame) -> DataFrame:
     """The contract's query: doc_id, size, source_size, target, taken, and the shards that drew the document (one for each copy).
 
     Null and empty texts have size and taken 0; a null source is a source of its
-    own; rows that repeat an id are taken alike; an empty table gives no rows;
+    own; rows equal in id and text are taken alike; an empty table gives no rows;
     docs' own columns of the result's names are replaced.
     """
     planned = draw_plan(docs)

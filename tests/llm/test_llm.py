@@ -152,7 +152,7 @@ def test_mixing_by_brute_force(spark, monkeypatch, edge_bits, count, longest):
     rng = random.Random(12)
     pairs = [(i, " ".join(["w"] * rng.randint(0, longest))) for i in range(count)]
     docs = docs_of(spark, pairs, {i: rng.choice(["a", "b", None]) for i in range(count)}, extra=False)
-    plan = mixing.draw_plan(docs, blocks=8, shards=4).withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id")).collect()
+    plan = mixing.draw_plan(docs, blocks=8, shards=4).withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")).collect()
     taken = {r["doc_id"]: len(r["draws"]) for r in plan}
     for s in ("a", "b", None):
         own = [r for r in plan if r["source"] == s]
@@ -206,6 +206,16 @@ def test_mixing_meets_targets_and_repeats_agree(spark):
     assert all(total[r["doc_id"]] * r["size"] == r["taken"] for r in got)
 
 
+def test_mixing_null_and_shared_ids_meet_the_target(spark):
+    """A third of the rows has no id and a third shares one: rows are dealt by id and text, so no key is a block of its own."""
+    pairs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"w{i} " + "w " * (i % 20)) for i in range(900)]
+    got = mixing.taken_words(docs_of(spark, pairs)).collect()
+    assert len(got) == 900 and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 20
+    assert {r["taken"] for r in got if r["doc_id"] is None} != {0} and len({r["shards"] for r in got if r["doc_id"] is None}) > 20
+    same = mixing.taken_words(docs_of(spark, [(None, "a b c"), (None, "a b c")] * 5)).collect()
+    assert len({(r["taken"], r["shards"]) for r in same}) == 1
+
+
 def test_mixing_odd_tables(spark):
     assert mixing.taken_words(docs_of(spark, [])).collect() == []
     assert {r["taken"] for r in mixing.taken_words(docs_of(spark, [(1, None), (2, "")])).collect()} == {0}
@@ -346,6 +356,14 @@ def test_pii_extra_spans_and_masking(spark):
     assert dict((i, t) for i, t, _ in masked) == {1: 'IBAN: [ACCOUNT], token = "[SECRET]" mail [EMAIL]', 2: None}
 
 
+def test_pii_repeated_cues_take_linear_time():
+    auto, began = pii.automaton(), time.perf_counter()
+    assert len(pii.find_spans("token=" * 100_000, auto)["secret"]) == 1
+    assert time.perf_counter() - began < 10  # 100 times what 10,000 cues took with a scan for each
+    text = "token=" + "A" * 16 + "token: " + "B" * 20 + " pwd=" + "c" * 15 + "= " + "token=" + "D" * 16 + "token= " + "E" * 16
+    assert ["".join(sorted(set(text[a:b]))) for a, b in pii.find_spans(text, auto)["secret"]][1] == "B" and len(pii.find_spans(text, auto)["secret"]) >= 4
+
+
 # 5. Substring dedup
 def test_repeated_passages(spark):
     rng = random.Random(5)
@@ -354,6 +372,9 @@ def test_repeated_passages(spark):
     pairs = [(i, f"{words(30)}. {passage if i % 3 == 0 else words(40) + '.'}\n{words(20)}.") for i in range(30)] + [(40, None), (41, ""), (42, "Short line.\nShort line.")]
     spans = linededup.repeated_spans(docs_of(spark, pairs))
     got = rows(spans, "doc_id", "span_start", "span_end", "kept_doc_id")
+    assert (42, 12, 23, 42) in got  # short units go too
+    got.remove((42, 12, 23, 42))
+    assert sorted(rows(linededup.repeated_spans(docs_of(spark, pairs), min_unit_words=3), "doc_id", "span_start", "span_end", "kept_doc_id")) == sorted(got)
     assert sorted(r[0] for r in got) == [i for i in range(3, 30, 3)] and {r[3] for r in got} == {0}
     for i, a, b, _ in got:
         assert dict(pairs)[i][a:b] == passage
@@ -379,7 +400,7 @@ def brute_units(text):
     return out
 
 
-def brute_spans(pairs, least=3):
+def brute_spans(pairs, least=1):
     """Spans to remove by going through the rows in order."""
     import xxhash
 
@@ -417,6 +438,8 @@ def test_substring_dedup_by_brute_force(spark):
     got = {(r["doc_id"], hashes[r["text_hash"]], r["span_start"], r["span_end"], r["n_units"], r["kept_doc_id"]) for r in spans.collect()}
     want = brute_spans(pairs)
     assert got == want and len(want) > 30
+    three = {(r["doc_id"], hashes[r["text_hash"]], r["span_start"], r["span_end"], r["n_units"], r["kept_doc_id"]) for r in linededup.repeated_spans(docs, min_unit_words=3).collect()}
+    assert three == brute_spans(pairs, 3) < want
     docs = docs.withColumnsRenamed({"e": "_id", "g": "_key"})
     cleaned = sorted(map(str, rows(linededup.remove_spans(docs, spans), "doc_id", "text", "_id", "_key")))
     byrow = collections.defaultdict(list)
@@ -448,7 +471,7 @@ def test_every_later_unit_goes(spark):
             if line in seen:
                 run.append((at, at + len(line), len(line.split())))
             else:
-                if sum(n for *_, n in run) >= 3:
+                if run:
                     want.add((i, run[0][0], run[-1][1], len(run)))
                 run = []
             seen.add(line)
@@ -555,6 +578,30 @@ def test_html_keeps_what_only_looks_like_noise():
     assert text('<div hidden><article>x</article></div><p>y</p>') == "y"
 
 
+def test_html_noise_by_head_noun():
+    text = lambda h: htmlmain.main_text(htmlmain.parse(h))
+    gone = ["user-comments", "reader-comments", "comment-thread", "commentlist", "comment-body", "comment-form", "respond", "disqus_thread", "related-posts", "ad-slot", "newsletter-signup", "gdpr-banner", "story-sidebar", "main-nav"]
+    for name in gone:
+        for attr in (f'class="{name}"', f'id="{name}"', f"class='x {name.upper()} y'"):
+            assert text(f"<article><p>Story</p><div {attr}>no</div></article>") == "Story", name
+            assert text(f"<body><p>Story</p><div {attr}><p>no</p></div></body>") == "Story", name
+    for name in ["with-sidebar", "no-comments", "share-price", "has-banner", "content-sidebar-wrap", "related-work-discussion", "article-header", "entry-header", "commentary", "menuiserie", "market-share", "body", "list", "posts"]:
+        assert text(f'<body><div class="{name}"><p>Story</p></div></body>') == "Story", name
+    assert text('<article>Story</article><article class="comment">first!</article><article id="comment-12">me too</article>') == "Story"
+    assert text('<div>Story</div><article class="comment">first!</article>') == "Story"
+    assert text('<article class="post no-comments">Story<article class="reader-comment">x</article></article>') == "Story"
+    assert text('<article class="commentary">Story</article>') == "Story"
+
+
+def test_html_long_names_take_linear_time():
+    import time
+
+    for attrs in ("a" * 200_000 + " b=1", "a " * 100_000 + "class=x", "a= " * 50_000, "a" + " " * 200_000 + "b=1", "=" * 100_000 + "a=1"):
+        began = time.perf_counter()
+        assert htmlmain.main_text(htmlmain.parse(f"<p {attrs}>Story</p>")) == "Story"
+        assert time.perf_counter() - began < 5
+
+
 def test_html_by_brute_force(spark):
     """Pages made of known parts: the expected text is what the parts that stay hold."""
     rng = random.Random(70)
