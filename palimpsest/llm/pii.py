@@ -157,7 +157,11 @@ def detect_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; the other columns, their order and null texts stay."""
+    """docs with every span replaced by its kind in brackets.
+
+    The other columns, their order and null and empty texts stay; repeated rows
+    are masked alike; an empty table stays empty.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +174,6 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def redact_documents(docs: DataFrame, *, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """redact_pii, with the size column, where there is one, set to the new length."""
+    """redact_pii, with the size column, where there is one, set to the new length; a null text's size becomes null."""
     out = redact_pii(docs, text_col)
     return out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)) if size_col in docs.columns else out

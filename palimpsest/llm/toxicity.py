@@ -310,7 +310,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score_texts(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, score.  Null and empty texts get the score of a text without matches; repeated rows score alike."""
+    """Per row: id, score.  Null and empty texts get the score of a text without matches; repeated rows score alike; an empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
