@@ -262,6 +262,15 @@ def test_url_sql_agrees(spark, tmp_path):
     assert sorted(map(tuple, queries.op3_url_filter(spark, str(tmp_path)).collect())) == sorted(want)
 
 
+def test_contract_rules(spark):
+    """The verdicts of the contract's list, written out, by the operator and by the SQL's rules."""
+    want = {"http://a.com/en/1": "block", "http://example.com/en/7": "allow", "http://b.net/de/casino": "allow", "http://example.net/de/8": "block", "http://example.net/de/7": "allow", "http://c.org/es/1": "block"}
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    assert dict(rows(urlfilter.filter_urls(pages), "page_id", "verdict")) == dict(enumerate(want.values()))
+    for rule in ("('block', 'com/en/'", "('allow', 'example.com/en/7'", "('allow', 'net/de/'", "('block', 'example.net/de/8'", "('block', 'org/es/'"):
+        assert rule in queries.ORACLE_SQL["op3_url_filter"]
+
+
 def test_block_list_patterns(spark):
     """Patterns with several tokens, wildcards and anchors, against a plain match of every pattern."""
     lines = ["! a comment", "[Head]", "", "example.com##.ad", "||ads.example.com^", "/banner/*/img^", "@@||ads.example.com/ok/", "|tracker.", "swf|", "ad*server", "||x.io/a*b", "-promo-", "^shop^sale^", "x$third-party"]
