@@ -116,26 +116,78 @@ def retract(edges: DataFrame, corrections: DataFrame, *, minutes: int = 10, late
     own edges, but another target, end: belief at the correction's time, truth at
     their start, confidence 0; its own such edges get 0.95.  An edge that several
     corrections end takes the first one's time.  All corrections see the same
-    state, that of ``edges``.  Rows meet by time units, so a conversation with very
-    many edges is not joined with itself.
+    state, that of ``edges``.
+
+    Edges and corrections meet in time units of ``minutes``: an edge is dealt to its
+    own and the next one, a correction to its own.  A unit of a conversation is read
+    in order of time as a stream, in which a correction looks back over the edges
+    before it, so no pairs are made; what a task holds is two units of a conversation.
     """
-    unit = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(minutes * 60_000_000)).cast("long")
-    own = edges.join(corrections.select("message_id", "at"), "message_id").select("message_id", "at", "tenant_id", "conversation_id", F.col("seq").alias("_own"), F.col("source_id").alias("_source"), F.col("rel_type").alias("_type"), F.col("target_id").alias("_target"))
-    asked = own.groupBy("tenant_id", "conversation_id", F.col("message_id").alias("_by"), "at").agg(F.min("_own").alias("_before"))
-    asked = asked.withColumn("_unit", F.explode(F.array(unit(F.col("at")), unit(F.col("at")) - 1)))
-    believed = edges.where(F.col("recorded_to").isNull()).withColumn("_unit", unit(F.col("recorded_from"))).select("tenant_id", "conversation_id", "_unit", "seq", "source_id", "rel_type", "target_id", "recorded_from")
-    recent = (F.col("recorded_from") <= F.col("at")) & (F.col("recorded_from") >= F.col("at") - F.expr(f"INTERVAL {minutes} MINUTES")) & (F.col("seq") < F.col("_before"))
-    near = asked.join(believed, ["tenant_id", "conversation_id", "_unit"]).where(recent)
-    rank = F.row_number().over(W.partitionBy("_by").orderBy(F.desc("recorded_from"), F.desc("seq")))
-    seen = near.withColumn("_k", rank).where(F.col("_k") <= latest).select("_by", "at", "seq", "source_id", "rel_type", "target_id")
-    mine = own.select(F.col("message_id").alias("_by"), "_own", "_source", "_type", "_target")
-    match = seen.join(mine, (seen["_by"] == mine["_by"]) & (F.col("source_id") == F.col("_source")) & (F.col("rel_type") == F.col("_type")) & (F.col("target_id") != F.col("_target"))).drop(mine["_by"])
-    ended = match.groupBy("seq").agg(F.min("at").alias("_at"))
-    sure = match.select(F.col("_own").alias("seq"), F.lit(True).alias("_sure")).distinct()
-    out = edges.join(ended, "seq", "left").join(sure, "seq", "left")
-    hit = F.col("_at").isNotNull()
+    keys, window = ["tenant_id", "conversation_id"], minutes * 60_000_000
+    time = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+    unit = F.floor(F.col("_t") / F.lit(window)).cast("long")
+    own = edges.join(corrections.select("message_id", "at"), "message_id").groupBy(*keys, "message_id", "at").agg(F.min("seq").alias("seq"), F.collect_list(F.struct("seq", "source_id", "rel_type", "target_id")).alias("own"))
+    none, text = F.lit(None).cast(own.schema["own"].dataType), F.lit(None).cast("string")
+    said = own.select(*keys, time("at").alias("_t"), F.lit(1).alias("_kind"), "seq", text.alias("source_id"), text.alias("rel_type"), text.alias("target_id"), "own").withColumn("_unit", unit)
+    seen = edges.where(F.col("recorded_to").isNull()).select(*keys, time("recorded_from").alias("_t"), F.lit(0).alias("_kind"), "seq", "source_id", "rel_type", "target_id", none.alias("own"))
+    seen = seen.withColumn("_unit", F.explode(F.array(unit, unit + 1)))
+    named = F.col("tenant_id").isNotNull() & F.col("conversation_id").isNotNull() & F.col("_t").isNotNull()
+    dealt = seen.unionByName(said).where(named).repartition(*keys, "_unit").sortWithinPartitions(*keys, "_unit", "_t", "_kind", "seq")
+    changes = dealt.mapInArrow(_looked_back(window, latest), "seq long, ended long, sure boolean")
+    change = changes.groupBy("seq").agg(F.min("ended").alias("_ended"), F.max("sure").alias("_sure"))
+    out, hit = edges.join(change, "seq", "left"), F.col("_ended").isNotNull()
+    at = F.timestamp_add("MICROSECOND", F.col("_ended"), F.lit("1970-01-01").cast("timestamp_ntz"))
     confidence = F.when(hit, F.lit(0.0)).when(F.col("_sure"), F.lit(CORRECTED_CONFIDENCE)).otherwise(F.col("confidence"))
-    return out.withColumns({"recorded_to": F.when(hit, F.col("_at")).otherwise(F.col("recorded_to")), "valid_to": F.when(hit, F.col("valid_from")).otherwise(F.col("valid_to")), "confidence": confidence}).drop("_at", "_sure")
+    return out.withColumns({"recorded_to": F.when(hit, at).otherwise(F.col("recorded_to")), "valid_to": F.when(hit, F.col("valid_from")).otherwise(F.col("valid_to")), "confidence": confidence}).drop("_ended", "_sure")
+
+
+#: Rows of a block whose least seq is kept; a block of blocks has as many blocks.
+BLOCK = 64
+
+
+def _looked_back(window: int, latest: int):
+    """For mapInArrow over rows in order: (seq, time at which it was ended) and (seq, sure) of what corrections change; nothing changes what later ones see."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, times, edges, first = None, [], [], 0
+        least: list[list[int]] = [[], []]  # by block, and by block of blocks
+        same: dict[str, str] = {}
+        for b in batches:
+            seqs, ended, sure = [], [], []
+            columns = (b.column(c).to_pylist() for c in ("tenant_id", "conversation_id", "_unit", "_t", "_kind", "seq", "source_id", "rel_type", "target_id", "own"))
+            for tenant, conversation, unit, t, kind, seq, source, rel, target, own in zip(*columns):
+                if (tenant, conversation, unit) != group:
+                    group, times, edges, first, least, same = (tenant, conversation, unit), [], [], 0, [[], []], {}
+                if kind == 0:
+                    for level, size in enumerate((BLOCK, BLOCK * BLOCK)):
+                        if len(times) % size == 0:
+                            least[level].append(seq)
+                        elif seq < least[level][-1]:
+                            least[level][-1] = seq
+                    times.append(t)
+                    edges.append((seq, same.setdefault(source, source), same.setdefault(rel, rel), same.setdefault(target, target)))
+                    continue
+                while first < len(times) and times[first] < t - window:
+                    first += 1
+                k, looked = len(times) - 1, 0
+                while k >= first and looked < latest:
+                    if least[1][k // (BLOCK * BLOCK)] >= seq:
+                        k = k // (BLOCK * BLOCK) * BLOCK * BLOCK - 1
+                    elif least[0][k // BLOCK] >= seq:
+                        k = k // BLOCK * BLOCK - 1
+                    else:
+                        old, source, rel, target = edges[k]
+                        if old < seq:
+                            looked += 1
+                            better = [o["seq"] for o in own if o["source_id"] == source and o["rel_type"] == rel and o["target_id"] is not None and target is not None and o["target_id"] != target]
+                            if better and source is not None and rel is not None:
+                                seqs += [old, *better]
+                                ended += [t] + [None] * len(better)
+                                sure += [None] + [True] * len(better)
+                        k -= 1
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(ended, pa.int64()), pa.array(sure, pa.bool_())], names=["seq", "ended", "sure"])
+
+    return run
 
 
 def retract_in_order(edges: DataFrame, corrections: DataFrame, *, minutes: int = 10, latest: int = 5) -> DataFrame:

@@ -107,6 +107,32 @@ def test_corrections_in_order(spark, latest):
     assert sum(c == 0.0 for c, _, _ in got.values()) > latest and (latest < 5 or got != all_at_once)
 
 
+def test_corrections_at_once(spark):
+    """Against a plain scan, with arrival out of step with time and blocks that are passed over; and edges aren't joined with corrections by time."""
+    rng, edges, said = random.Random(7), [], []
+    order = rng.sample(range(1, 701), 350) + list(range(9000, 700, -1))[:350]
+    for m, seq in enumerate(order):
+        at = DAY0 + dt.timedelta(seconds=m * rng.choice([1, 7]))
+        edges.append(edge(seq, rng.choice("ab"), rng.choice("xyz"), rng.choice(["prefers", "avoids"]), start=at, known_to=at if rng.random() < 0.1 else None, conversation="hot", message=f"m{m}"))
+        if rng.random() < 0.5:
+            said.append((f"m{m}", at))
+    names = [c.split()[0] for c in EDGE.split(", ")]
+    rows = [dict(zip(names, e)) for e in edges]
+    ended, sure = {}, set()
+    for message, at in said:
+        new = next(r for r in rows if r["message_id"] == message)
+        seen = [r for r in rows if r["recorded_to"] is None and r["seq"] < new["seq"] and at - dt.timedelta(minutes=10) <= r["recorded_from"] <= at]
+        for old in sorted(seen, key=lambda r: (r["recorded_from"], r["seq"]), reverse=True)[:5]:
+            if (old["source_id"], old["rel_type"]) == (new["source_id"], new["rel_type"]) and old["target_id"] != new["target_id"]:
+                ended[old["seq"]] = min(at, ended.get(old["seq"], at))
+                sure.add(new["seq"])
+    out = R.retract(spark.createDataFrame(edges, EDGE).repartition(5), spark.createDataFrame([("t", "hot", m, t) for m, t in said], "tenant_id string, conversation_id string, message_id string, at timestamp_ntz"))
+    got = {r["seq"]: (r["confidence"], r["recorded_to"]) for r in out.collect()}
+    want = {r["seq"]: (0.0 if r["seq"] in ended else 0.95 if r["seq"] in sure else r["confidence"], ended.get(r["seq"], r["recorded_to"])) for r in rows}
+    assert got == want and len(ended) > 20
+    assert "_unit" not in "".join(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
 def test_learned_decay(spark):
     d = lambda n: DAY0 + dt.timedelta(days=n)
     rows = [edge(1, end=d(10)), edge(2, end=d(40)), edge(3), edge(4, start=d(25), end=d(30)), edge(5, kind="knows"), edge(6, kind="knows", start=d(99)), edge(7, kind="likes", start=d(30))]
