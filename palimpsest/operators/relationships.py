@@ -28,23 +28,24 @@ def resolve(assertions: DataFrame, *, mode: str = "code", prior: DataFrame | Non
     A closing type ends the open edge of its class when the next one arrives.
     mode "code" ends belief at the next edge's valid_from; "spec" at its
     recorded_from.  prior: open edges and last versions of earlier batches, as
-    resolved rows; those it closes are returned again.  One shuffle on the
-    source serves both windows.
+    resolved rows; those it closes are returned again.  One shuffle and one sort
+    by source and class serve all columns: versions are counted by type inside the
+    class, and types that close nothing have none but the first.
     """
     never = F.lit(None).cast("timestamp_ntz")
     rows = assertions.withColumn("_v0", F.lit(0).cast("long")).withColumn("_to", never).withColumn("_known", never)
     if prior is not None:  # what ended before keeps its end
         rows = rows.unionByName(prior.select(*assertions.columns, F.col("version").alias("_v0"), F.col("valid_to").alias("_to"), F.col("recorded_to").alias("_known")))
-    rows = rows.withColumn("_class", edge_class(F.col("rel_type"))).repartition(*KEYS)
+    rows = rows.withColumn("_class", edge_class(F.col("rel_type")))
     by_class = W.partitionBy(*KEYS, "_class").orderBy("seq")
-    by_type = W.partitionBy(*KEYS, "rel_type").orderBy("seq")
+    so_far = by_class.rowsBetween(W.unboundedPreceding, 0)
     end = F.lead("valid_from").over(by_class)
     known = F.lead("valid_from" if mode == "code" else "recorded_from").over(by_class)
     closing = F.col("_class").isNotNull()
-    base = F.max("_v0").over(by_type.rowsBetween(W.unboundedPreceding, 0))
-    fresh = F.sum((F.col("_v0") == 0).cast("long")).over(by_type.rowsBetween(W.unboundedPreceding, 0))
+    of_type = lambda kind, value: F.when(F.col("rel_type") == kind, value)
+    number = lambda kind: F.max(of_type(kind, F.col("_v0"))).over(so_far) + F.sum(of_type(kind, (F.col("_v0") == 0).cast("long"))).over(so_far)
     return (
-        rows.withColumn("version", F.when(closing, base + fresh).otherwise(F.lit(1)).cast("long"))
+        rows.withColumn("version", F.coalesce(*[of_type(kind, number(kind)) for kind in CLOSING], F.lit(1)).cast("long"))
         .withColumn("valid_to", F.coalesce("_to", F.when(closing, end))).withColumn("recorded_to", F.coalesce("_known", F.when(closing, known)))
         .withColumn("conflicts", F.when(closing & F.lag("seq").over(by_class).isNotNull(), 1).otherwise(0).cast("long")).drop("_class", "_v0", "_to", "_known")
     )

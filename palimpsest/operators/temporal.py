@@ -40,8 +40,11 @@ def knowledge(edges: DataFrame, at: Column, rel_type: str | None = None) -> Data
 
 
 def bitemporal(edges: DataFrame, at: Column, rel_type: str | None = None) -> DataFrame:
-    """Both lists at one time, tagged by timeline."""
-    return world_state(edges, at, rel_type).withColumn("timeline", F.lit("world_state")).unionByName(knowledge(edges, at, rel_type).withColumn("timeline", F.lit("knowledge")))
+    """Both lists at one time, tagged by timeline, in one pass over the edges."""
+    tag = lambda axis, name: F.when(holds_at(axis, at), F.lit(name))
+    out = edges.where(holds_at("valid", at) | holds_at("recorded", at))
+    out = out.where(F.col("rel_type") == rel_type) if rel_type else out
+    return out.withColumn("timeline", F.explode(F.array_compact(F.array(tag("valid", "world_state"), tag("recorded", "knowledge")))))
 
 
 def intersection(edges: DataFrame, valid_at: Column, known_at: Column) -> DataFrame:
