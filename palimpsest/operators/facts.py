@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -17,19 +20,29 @@ def supersede(facts: DataFrame, keys: tuple[str, ...] = ("entity_id",)) -> DataF
     A fact with a supersedes_key ends the first-inserted active fact of that key,
     if there is one.  As a queue: the j-th pop that finds the queue filled takes
     the j-th push; a running maximum of pops over pushes counts those that don't.
+    A push and the pop that takes it have the same key and number, and both rows of
+    a fact the same seq, so they see each other in windows: one shuffle by ``keys``
+    and no join.
     """
     keys = list(keys)
-    pushes = facts.select(*keys, F.col("fact_key").alias("_key"), "seq", "valid_from", F.lit(1).alias("_push"))
-    pops = facts.where(F.col("supersedes_key").isNotNull()).select(*keys, F.col("supersedes_key").alias("_key"), "seq", "valid_from", F.lit(0).alias("_push"))
-    w = W.partitionBy(*keys, "_key").orderBy("seq", "_push").rowsBetween(W.unboundedPreceding, 0)
-    ops = pushes.unionByName(pops).withColumn("_pu", F.sum("_push").over(w)).withColumn("_po", F.sum(1 - F.col("_push")).over(w))
+    fact = F.struct(*[F.col(c) for c in facts.columns])
+    push = F.struct(F.col("fact_key").alias("_key"), F.lit(1).alias("_push"), fact.alias("_fact"))
+    pop = F.struct(F.col("supersedes_key").alias("_key"), F.lit(0).alias("_push"), F.lit(None).cast(T.StructType(facts.schema.fields)).alias("_fact"))
+    ops = facts.select(*keys, "seq", "valid_from", F.inline(F.when(F.col("supersedes_key").isNotNull(), F.array(push, pop)).otherwise(F.array(push)))).repartition(*keys)
+    order = W.partitionBy(*keys, "_key").orderBy("seq", "_push")
+    w = order.rowsBetween(W.unboundedPreceding, 0)
+    ops = ops.withColumn("_pu", F.sum("_push").over(w)).withColumn("_po", F.sum(1 - F.col("_push")).over(w))
     ops = ops.withColumn("_fail", F.greatest(F.lit(0), F.max(F.col("_po") - F.col("_pu")).over(w)))
-    before = F.coalesce(F.lag("_fail").over(W.partitionBy(*keys, "_key").orderBy("seq", "_push")), F.lit(0))
-    ops = ops.withColumn("_ok", F.col("_fail") == before)
-    taken = ops.where((F.col("_push") == 0) & F.col("_ok")).select(*keys, "_key", (F.col("_po") - F.col("_fail")).alias("_j"), F.col("seq").alias("_by"), F.col("valid_from").alias("_at"))
-    given = ops.where(F.col("_push") == 1).select(*keys, "_key", F.col("_pu").alias("_j"), "seq")
-    pairs = given.join(taken, [*keys, "_key", "_j"]).select("seq", "_by", "_at")
-    out = facts.join(pairs.select("seq", F.col("_at").alias("valid_to")), "seq", "left").join(pairs.select(F.col("_by").alias("seq"), F.col("seq").alias("supersedes_seq")), "seq", "left")
+    ok = F.col("_fail") == F.coalesce(F.lag("_fail").over(order), F.lit(0))
+    whole = functools.reduce(lambda x, c: x & F.col(c).isNotNull(), keys, F.col("_key").isNotNull())
+    number = F.when(F.col("_push") == 1, F.col("_pu")).when(ok, F.col("_po") - F.col("_fail"))
+    ops = ops.withColumn("_j", F.when(whole, number))
+    # Without a number a row has no partner; its own seq keeps such rows from being one group.
+    pair = W.partitionBy(*keys, "_key", "_j", F.when(F.col("_j").isNull(), F.col("seq")))
+    partner = lambda mark, c: F.when(F.col("_j").isNotNull(), F.max(F.when(F.col("_push") == mark, F.col(c))).over(pair))
+    ops = ops.withColumn("_end", partner(0, "valid_from")).withColumn("_old", partner(1, "seq"))
+    took = F.max(F.when(F.col("_push") == 0, F.col("_old"))).over(W.partitionBy(*keys, "seq"))
+    out = ops.withColumn("_took", took).where(F.col("_push") == 1).select("_fact.*", F.col("_end").alias("valid_to"), F.col("_took").alias("supersedes_seq"))
     return out.withColumn("status", F.when(F.col("valid_to").isNull(), "active").otherwise("superseded"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -103,49 +103,57 @@ def existing_edges(mentioned: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("message_id", S.short_name(F.col("source_id")).alias("source"), S.short_name(F.col("target_id")).alias("target"), F.col("rel_type").alias("type"), "confidence")
 
 
-def _unpack(messages: DataFrame, stage: str) -> DataFrame:
+def _unpack(messages: DataFrame, stage: str, *carried: str) -> DataFrame:
     parsed = messages.withColumn("_p", F.from_json(f"{stage}_json", SCHEMAS[stage]))
-    return parsed.select("message_id", "seq", "tenant_id", "group_id", "conversation_id", "timestamp", F.posexplode(f"_p.{stage}").alias("i", "x"))
+    return parsed.select("message_id", "seq", "tenant_id", "group_id", "conversation_id", "timestamp", *carried, F.posexplode(f"_p.{stage}").alias("i", "x"))
 
 
 def extract(messages: DataFrame) -> dict[str, DataFrame]:
     """messages with JSON columns of each stage to entity arrivals, edges (resolved), facts (superseded), commitments, summaries.
 
-    A message without entities goes no further.  Unknown entity types are
-    skipped, unknown relationship types become relates_to, unresolved mentions
-    drop their row; ids keep the raw array's index.
+    A message id stands on one row (see ``first_arrivals``).  A message without
+    entities goes no further.  Unknown entity types are skipped, unknown
+    relationship types become relates_to, unresolved mentions drop their row; ids
+    keep the raw array's index.
+
+    A message's own entities are in its own row, so mentions of them are resolved
+    there without a shuffle.  Only mentions that it doesn't hold look for what the
+    conversation knew before.
     """
     m = messages.withColumn("group_id", S.effective_group(F.col("group_id"), F.col("conversation_id")))
-    raw = _unpack(m, "entities").where(F.col("x.type").isin(*S.ENTITY_TYPES) & F.col("x.canonical").isNotNull())
+    listed = F.transform(F.from_json("entities_json", SCHEMAS["entities"])["entities"], lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    m = _once(m, _e=F.filter(listed, lambda r: r["x"]["type"].isin(*S.ENTITY_TYPES) & r["x"]["canonical"].isNotNull()))
+    live = m.where(F.size("_e") > 0)
+    raw = live.select("message_id", "seq", "tenant_id", "group_id", "conversation_id", "timestamp", F.inline("_e"))
     arrivals = raw.select(
         S.entity_id(F.col("tenant_id"), F.col("group_id"), F.col("x.type"), F.col("x.canonical")).alias("id"), "tenant_id", "group_id", "conversation_id", F.col("x.type").alias("entity_type"), F.col("x.canonical").alias("canonical_name"),
         F.array("x.name").alias("aliases"), F.array("message_id").alias("source_messages"), F.col("timestamp").alias("created_at"), F.col("timestamp").alias("last_mentioned"), (F.col("seq") * 1000 + F.col("i")).alias("seq"), "message_id", "i",
     )
-    live = m.join(arrivals.select("message_id").distinct(), "message_id", "left_semi")
-    pool = arrivals.select("message_id", "id", "canonical_name", "aliases", F.col("i").alias("pos"))
-    # Edges may also name entities that the conversation knew before: its first arrivals, one row an entity, looked up as of the message.
+    named = lambda r: F.struct(S.entity_id(F.col("tenant_id"), F.col("group_id"), r["x"]["type"], r["x"]["canonical"]).alias("id"), S.normalize_name(r["x"]["canonical"]).alias("name"), S.normalize_name(r["x"]["name"]).alias("alias"))
+    live = _once(live, _names=F.transform("_e", named))
+    rel = _once(_unpack(live, "relationships", "_names"), _s=S.normalize_name(F.col("x.source_mention")), _t=S.normalize_name(F.col("x.target_mention")))
+    rel = _once(rel, source_id=_own("_s"), target_id=_own("_t")).drop("_names")
+    here = F.col("source_id").isNotNull() & F.col("target_id").isNotNull()
     keys = ["tenant_id", "conversation_id"]
-    earlier = arrivals.groupBy(*keys, "id").agg(F.min("seq").alias("since"), F.min_by("canonical_name", "seq").alias("canonical_name"), F.array_distinct(F.flatten(F.collect_set("aliases"))).alias("aliases"))
-    rel = _unpack(live, "relationships").withColumn("mention_id", F.col("i"))
-    at = ["message_id", "mention_id", *keys, (F.col("seq") * 1000).alias("now")]
-    src = _known(rel.select(*at, F.col("x.source_mention").alias("mention")), pool, earlier, keys).withColumnRenamed("entity_id", "source_id")
-    dst = _known(rel.select(*at, F.col("x.target_mention").alias("mention")), pool, earlier, keys).withColumnRenamed("entity_id", "target_id")
-    edges = rel.join(src, ["message_id", "mention_id"]).join(dst, ["message_id", "mention_id"]).select(
+    known = _known_before(arrivals, keys)
+    before = lambda c: F.coalesce(F.col(f"{c}_id"), F.when(F.col(f"_{c}.since") < F.col("seq") * 1000, F.col(f"_{c}.id")))
+    asked = rel.where(~here)
+    for c, norm in (("source", "_s"), ("target", "_t")):
+        asked = asked.join(known.select(*keys, F.col("norm").alias(norm), F.col("m").alias(f"_{c}")), [*keys, norm], "left")
+    asked = asked.withColumns({"source_id": before("source"), "target_id": before("target")}).where(here).select(rel.columns)
+    rel = rel.where(here).unionByName(asked)
+    edges = rel.select(
         (F.col("seq") * 1000 + F.col("i")).alias("seq"), "tenant_id", "group_id", "conversation_id", "message_id", "source_id", "target_id", S.relationship_type(F.col("x.type")).alias("rel_type"),
         F.when(~F.col("x.type").isin(*S.RELATIONSHIP_TYPES), F.col("x.type")).alias("original_type"), S.snap_confidence(F.col("x.confidence")).alias("confidence"), F.col("x.evidence").alias("evidence"),
         F.when(F.col("x.structured_evidence").isNotNull(), F.array(F.struct("message_id", F.col("x.structured_evidence.text").alias("text"), F.col("x.structured_evidence.context").alias("context"), F.col("timestamp").alias("observed_at")))).alias("structured_evidence"),
-        F.col("timestamp").alias("valid_from"), (F.col("recorded_at") if "recorded_at" in rel.columns else F.col("timestamp")).alias("recorded_from"),
+        F.col("timestamp").alias("valid_from"), F.col("timestamp").alias("recorded_from"),
     )
-    known = E.resolve_mentions
-    fact_rows = _unpack(live, "facts").withColumn("mention_id", F.col("i"))
-    fe = known(fact_rows.select("message_id", "mention_id", F.col("x.entity_mention").alias("mention")), pool, ["message_id"])
-    fact_rows = fact_rows.join(fe.select("message_id", "mention_id", "entity_id"), ["message_id", "mention_id"]).select(
+    mentioned = lambda stage: _once(_once(_unpack(live, stage, "_names"), _s=S.normalize_name(F.col("x.entity_mention"))), entity_id=_own("_s")).where(F.col("entity_id").isNotNull())
+    fact_rows = mentioned("facts").select(
         F.concat_ws(":", "tenant_id", F.lit("fact"), "message_id", "i").alias("id"), "tenant_id", "entity_id", (F.col("seq") * 1000 + F.col("i")).alias("seq"), F.col("x.fact_key").alias("fact_key"), F.col("x.fact_text").alias("fact_text"),
         F.nullif(F.col("x.supersedes_key"), F.lit("")).alias("supersedes_key"), S.snap_confidence(F.col("x.confidence")).alias("confidence"), F.col("timestamp").alias("valid_from"),
     )
-    com = _unpack(live, "commitments").withColumn("mention_id", F.col("i"))
-    ce = known(com.select("message_id", "mention_id", F.col("x.entity_mention").alias("mention")), pool, ["message_id"])
-    com = com.join(ce.select("message_id", "mention_id", "entity_id"), ["message_id", "mention_id"]).select(
+    com = mentioned("commitments").select(
         F.concat_ws(":", "tenant_id", F.lit("commitment"), "message_id", "i").alias("id"), "tenant_id", "entity_id", F.col("x.text").alias("text"), F.lit("active").alias("status"), F.col("timestamp").alias("created_at"),
         F.try_to_timestamp(F.col("x.target_date")).cast("timestamp_ntz").alias("target_date"), S.snap_confidence(F.col("x.confidence")).alias("confidence"),
     )
@@ -154,25 +162,36 @@ def extract(messages: DataFrame) -> dict[str, DataFrame]:
     return {"arrivals": arrivals, "entities": E.upsert(arrivals), "edges": R.resolve(edges), "facts": FA.supersede(fact_rows, ("tenant_id", "entity_id")), "commitments": com, "summaries": summaries}
 
 
-def _known(mentions: DataFrame, pool: DataFrame, earlier: DataFrame, keys: list[str]) -> DataFrame:
-    """message_id, mention_id, entity_id: an entity of the message itself, else the first of its conversation that arrived before it.
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out once a row: as a generator's, which filters and lambdas above don't repeat."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _own(norm: str) -> Column:
+    """The first entity of the row's ``_names`` whose name, else alias, is the normal form."""
+    first = lambda part: F.get(F.filter("_names", lambda e: e[part] == F.col(norm)), F.lit(0))["id"]
+    return F.coalesce(first("name"), first("alias"))
+
+
+def _known_before(arrivals: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, norm, m: by conversation and normal form the first entity that had it (since, pass, id).
 
-    Of the earlier ones each normal form keeps its first arrival, so a mention
-    meets one row and a long conversation costs no pairs.
+    An entity counts from its first arrival under whatever name.  A mention meets
+    one row, so a long conversation costs no pairs.
     """
-    own = E.resolve_mentions(mentions.select("message_id", "mention_id", "mention"), pool, ["message_id"]).select("message_id", "mention_id", F.col("entity_id").alias("own"))
-    name = lambda c, p: earlier.select(*keys, "id", "since", F.lit(p).alias("pass"), S.normalize_name(c).alias("norm"))
-    named = name(F.col("canonical_name"), 1).unionByName(earlier.withColumn("a", F.explode("aliases")).select(*keys, "id", "since", F.lit(2).alias("pass"), S.normalize_name(F.col("a")).alias("norm")))
-    best = named.groupBy(*keys, "norm").agg(F.min(F.struct("since", "pass", "id")).alias("m"))
-    asked = mentions.withColumn("norm", S.normalize_name(F.col("mention"))).join(best, [*keys, "norm"], "left").join(own, ["message_id", "mention_id"], "left")
-    return asked.withColumn("entity_id", F.coalesce("own", F.when(F.col("m.since") < F.col("now"), F.col("m.id")))).where(F.col("entity_id").isNotNull()).select("message_id", "mention_id", "entity_id")
+    earlier = arrivals.groupBy(*keys, "id").agg(F.min("seq").alias("since"), F.min_by("canonical_name", "seq").alias("name"), F.collect_set(F.col("aliases")[0]).alias("aliases"))
+    form = lambda p, text: F.struct(F.lit(p).alias("pass"), S.normalize_name(text).alias("norm"))
+    forms = earlier.select(*keys, "id", "since", F.inline(F.array_append(F.transform("aliases", lambda a: form(2, a)), form(1, F.col("name")))))
+    return forms.where(F.col("norm").isNotNull()).groupBy(*keys, "norm").agg(F.min(F.struct("since", "pass", "id")).alias("m"))
 
 
 def ingest_response(messages: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-    """Per message: how many entities, edges and conflicts came of it."""
-    n = parts["arrivals"].groupBy("message_id").agg(F.count(F.lit(1)).alias("entities"))
-    e = parts["edges"].groupBy("message_id").agg(F.count(F.lit(1)).alias("relationships"), F.sum("conflicts").alias("conflicts"))
-    return messages.select("message_id").join(n, "message_id", "left").join(e, "message_id", "left").na.fill(0)
+    """Per message: how many entities, edges and conflicts came of it.  All are counted in one shuffle, which the join reads."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    entities = parts["arrivals"].select("message_id", one.alias("entities"), none.alias("relationships"), none.alias("conflicts"))
+    edges = parts["edges"].select("message_id", none.alias("entities"), one.alias("relationships"), "conflicts")
+    counts = entities.unionByName(edges).groupBy("message_id").agg(*[F.sum(c).alias(c) for c in ("entities", "relationships", "conflicts")])
+    return messages.select("message_id").join(counts, "message_id", "left").na.fill(0)
 
 
 def snapshot(entities: DataFrame, edges: DataFrame, facts: DataFrame, limit: int = 500) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import facts as FA
 from palimpsest.operators import messages as M
 from palimpsest.operators import relationships as R
+from palimpsest.operators import temporal as T
 from palimpsest.sources import files as SRC
 from palimpsest.streaming.ingest import EdgeTable, dedup_stream
 
@@ -90,6 +91,19 @@ def test_demo_conversation(spark):
     assert {r["message_id"]: r["entities"] for r in M.ingest_response(said, parts).collect()} == {f"m{i}": 2 for i in range(6)}
 
 
+def test_messages_resolve_own_entities_in_their_row(spark):
+    """Only what the conversation knew before is joined, once a side; facts need no join at all."""
+    parts = M.extract(demo(spark))
+    joins = lambda df: [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins(parts["edges"])) == 2 and not joins(parts["facts"])
+
+
+def test_edges_are_sorted_once(spark):
+    rows = spark.createDataFrame([], "seq long, tenant_id string, group_id string, source_id string, target_id string, rel_type string, confidence double, valid_from timestamp_ntz, recorded_from timestamp_ntz")
+    plan = T.bitemporal(R.resolve(rows), F.lit(DAY).cast("timestamp_ntz"))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("+- Window") == 1 and "Union" not in plan
+
+
 def test_stream_dedup(spark, tmp_path):
     rows = spark.createDataFrame([("a", DAY), ("a", DAY), ("b", DAY)], "message_id string, timestamp timestamp")
     rows.write.parquet(str(tmp_path / "in"))
