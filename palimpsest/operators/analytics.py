@@ -18,6 +18,8 @@ Z, NONE_ENDED = 1.96, -math.log(0.05)
 STRENGTH_DAYS, WEAK = 28, 0.5
 #: Deviations (of the median deviation, scaled to a standard deviation) from which a day is an anomaly.
 ANOMALY, TO_DEVIATION = 3.0, 1.4826
+#: Entities whose values (a number and a double each) are broadcast in a round of importance.
+BROADCAST_NODES = 1_000_000
 
 
 def learn_decay(edges: DataFrame, until: Column) -> DataFrame:
@@ -78,34 +80,40 @@ def anomalies(edges: DataFrame) -> DataFrame:
     return scored.where(F.col("score") >= ANOMALY).select(*SERIES, "day", "mass", F.round("median", 6).alias("median"), "spread", "score")
 
 
-def importance(edges: DataFrame, now: Column, *, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
+def importance(edges: DataFrame, now: Column, *, damping: float = 0.85, tolerance: float = 1e-9, rounds: int = 60, broadcast: int = BROADCAST_NODES) -> DataFrame:
     """id, importance of every entity that an active edge names: the weighted link measure whose values sum to 1.
 
     An edge weighs its confidence decayed to ``now``; edges of one pair add up.
-    An entity without outgoing edges gives its share to all.  The links are
-    written once, and each round joins them with the values of the round before
-    and adds up by target, so a hub's edges combine before the shuffle.  It ends
-    when the values move by less than ``tolerance`` in all, or after ``rounds``.
+    An entity without outgoing edges gives its share to all.  Entities are numbered
+    and the links written once, by numbers.  Each round joins them with the values
+    of the round before and adds up by target, so a hub's edges combine before the
+    shuffle.  Values of up to ``broadcast`` entities are sent to the links, which
+    then stay where they are; more take a shuffled join of numbers.  It ends when
+    the values move by less than ``tolerance`` in all, or after ``rounds``.
     """
     weight = S.decayed_confidence(F.col("confidence"), F.col("rel_type"), F.col("valid_from"), now)
     live = edges.where(F.col("valid_to").isNull() & F.col("recorded_to").isNull())
     pairs = live.groupBy("source_id", "target_id").agg(F.sum(weight).alias("w")).where(F.col("w") > 0)
-    out = pairs.groupBy("source_id").agg(F.sum("w").alias("all"))
-    links = checkpointed(pairs.join(out, "source_id").select("source_id", "target_id", (F.col("w") / F.col("all")).alias("share")))
-    ids = links.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    nodes = checkpointed(ids.join(links.select(F.col("source_id").alias("id")).distinct().withColumn("gives", F.lit(True)), "id", "left"))
+    pairs = checkpointed(pairs.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()))
+    ids = pairs.groupBy(F.col("source_id").alias("id")).agg(F.sum("w").alias("all")).unionByName(pairs.select(F.col("target_id").alias("id"), F.lit(None).cast("double").alias("all")).distinct())
+    nodes = checkpointed(ids.groupBy("id").agg(F.max("all").alias("all")).withColumn("n", F.monotonically_increasing_id()))
+    number = lambda end, c, *more: nodes.select(F.col("id").alias(end), F.col("n").alias(c), *more)
+    links = pairs.join(number("source_id", "s", "all"), "source_id").join(number("target_id", "t"), "target_id")
+    links = checkpointed(links.select("s", "t", (F.col("w") / F.col("all")).alias("share")))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("importance"))
-    value = nodes.withColumn("value", F.lit(1.0 / n))
+    value = nodes.select("n", F.col("all").isNotNull().alias("gives"), F.lit(1.0 / n).alias("value"))
+    held = F.coalesce(F.sum(F.when(~F.col("gives"), F.col("value"))), F.lit(0.0))
+    idle = value.agg(held).first()[0]
     for _ in range(rounds):
-        idle = value.where(F.col("gives").isNull()).agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
-        given = value.join(links, value["id"] == links["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("value") * F.col("share")).alias("got"))
+        sent = value.where("gives").select(F.col("n").alias("s"), "value")
+        given = links.join(F.broadcast(sent) if n <= broadcast else sent, "s").groupBy(F.col("t").alias("n")).agg(F.sum(F.col("value") * F.col("share")).alias("got"))
         base = (1.0 - damping) / n + damping * idle / n
-        step = value.join(given, "id", "left").select("id", "gives", F.col("value").alias("was"), (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("value"))
+        step = value.join(given, "n", "left").select("n", "gives", F.col("value").alias("was"), (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("value"))
         step = checkpointed(step)
-        moved = step.agg(F.sum(F.abs(F.col("value") - F.col("was")))).first()[0]
+        moved, idle = step.agg(F.sum(F.abs(F.col("value") - F.col("was"))), held).first()
         value = step.drop("was")
         if moved < tolerance:
             break
-    return value.select("id", F.col("value").alias("importance"))
+    return nodes.select("id", "n").join(value, "n").select("id", F.col("value").alias("importance"))
