@@ -55,3 +55,29 @@ def test_duplicate_candidates(spark):
     for r in E.duplicate_candidates(table.where("id < 10"), table).orderBy("probe_id", "rank").collect():
         got.setdefault(r["probe_id"], []).append(r["match_id"])
     assert got == {i: n for i, n in brute(rows, 3, 0.85).items() if i < 10}
+
+
+def test_candidates_meet_near_packs_only(spark, monkeypatch):
+    """In three dimensions many pairs of packs are above the threshold; fewer than half of them meet, and all places are right."""
+    rng = np.random.default_rng(5)
+    rows = [(k, "b", v) for k, v in enumerate(rng.normal(size=(3000, 3)).round(2).tolist())]
+    table = spark.createDataFrame(rows, "id long, block string, embedding array<double>").repartition(4)
+    met = spark.sparkContext.accumulator(0)
+    best = E._best_of_packs
+
+    def counted(*args):
+        met.add(1)
+        return best(*args)
+
+    monkeypatch.setattr(E, "_best_of_packs", counted)
+    run = E.similar(table, table, limit=3, threshold=0.85, pivots=300, pack=10)
+    got = {}
+    for r in sorted(run.collect(), key=lambda r: (r["probe_id"], r["rank"])):
+        got.setdefault(r["probe_id"], []).append(r["match_id"])
+    x = np.array([v for _, _, v in rows])
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    for i in range(0, 3000, 10):
+        near = sorted((-round(float(c), 9), j) for j, c in enumerate(x @ x[i]) if j != i and c > 0.85)[:3]
+        assert got.get(i, []) == [j for _, j in near]
+    above = E.similar_packs(table, table, threshold=0.85, pivots=300, pack=10)[2].count()  # all of these met before
+    assert 300 <= met.value < above / 2, (met.value, above)
