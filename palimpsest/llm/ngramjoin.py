@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, pieces, small_enough, without_ids
+from .common import LOWER, UPPER, Scratch, pieces, small_batches, small_enough, without_ids
 from .components import connected_components
 
 #: An element is common if more documents than this hold it.  The commonest COMMON_LIMIT of them are sent to the workers (17 bytes each), which only settles the order.
@@ -43,6 +43,8 @@ COMMON = 48
 COMMON_LIMIT = 2_000_000
 #: Elements that a worker counts at a time, and those of a key range.
 PACK = 2_000_000
+#: Bytes of packed keys that a worker hands on at a time, and keys of all rows of a range that it sums at a time.
+SENT, SUMMED = 1 << 20, 1 << 17
 _KEY = np.uint64(16)
 #: Members of a group.
 GROUP = 48
@@ -77,7 +79,7 @@ class Shingler:
             return np.empty(0, np.uint64)
         if len(words) < self.n:
             return np.array([xxhash.xxh64_intdigest(b"\x1f".join(words), 99 + len(words))], np.uint64)
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 65_536:
             self.seen.clear()
         h = np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
         m = len(words) - self.n + 1
@@ -112,14 +114,46 @@ def unpack(packed: bytes, count: int) -> np.ndarray:
     return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, sorted, and the sum of counts of each."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys)
-    keys = keys[order]
+def packed(keys: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a key range each, for keys once and keys more often; sorts keys where they are, and copies a range at a time."""
+    keys.sort()
+    lows = np.arange(int(keys[0]) // width, int(keys[-1]) // width + 2)
+    cuts = np.searchsorted(keys, lows.astype(np.uint64) * np.uint64(width)).tolist()
+    cols: list[list] = [[], [], [], []]
+    for part, i, j in zip(lows.tolist(), cuts, cuts[1:]):
+        if i < j:
+            e, c = counted(keys[i:j])
+            for some, times in ((e[c == 1], None), (e[c > 1], c[c > 1].astype("<u4").tobytes())):
+                if len(some):
+                    for col, v in zip(cols, (part, len(some), pack(some), times)):
+                        col.append(v)
+        if cols[0] and (j == len(keys) or sum(map(len, cols[2])) >= SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "size", "keys", "times"])
+            cols = [[], [], [], []]
+
+
+def summed(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of the rows of a range and how often they occur; brings together some SUMMED keys at a time, of all rows."""
+    rows = [(unpack(k.as_py(), n.as_py()), t.as_py()) for n, k, t in zip(*(found.column(c) for c in ("size", "keys", "times")))]
+    rows = [(k, None if t is None else np.frombuffer(t, "<u4")) for k, t in rows]
+    low, high = min(int(k[0]) for k, _ in rows), max(int(k[-1]) for k, _ in rows)
+    bounds = np.arange(low, high + 1, ceil_div(high + 1 - low, ceil_div(sum(len(k) for k, _ in rows), SUMMED)), dtype=np.uint64)
+    cuts = [[*np.searchsorted(k, bounds).tolist(), len(k)] for k, _ in rows]
+    out = []
+    for q in range(len(bounds)):
+        some = [(k[x[q] : x[q + 1]], t if t is None else t[x[q] : x[q + 1]]) for (k, t), x in zip(rows, cuts) if x[q] < x[q + 1]]
+        if some:
+            out.append(counted(np.concatenate([k for k, _ in some]), np.concatenate([np.ones(len(k), "<u4") if t is None else t for k, t in some])))
+    return np.concatenate([k for k, _ in out]), np.concatenate([c for _, c in out])
+
+
+def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of counts of each; without counts of keys that are sorted, how often each stands there."""
+    if counts is not None:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(counts[order], starts)
+    return keys[starts], np.diff(starts, append=len(keys)) if counts is None else np.add.reduceat(counts, starts, dtype=np.int64)
 
 
 def _common_elements(docs: DataFrame, n: int, text_col: str, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
@@ -135,36 +169,21 @@ def _common_elements(docs: DataFrame, n: int, text_col: str, scratch: Scratch) -
     width = -(-(2**48) // max(1, size // (4 * PACK)))  # a word and the space after it take 4 bytes or more on the whole
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, held, count = Shingler(n), [], 0
-
-        def packed() -> pa.RecordBatch:
-            keys, c = np.unique(np.concatenate(held), return_counts=True)
-            cols: list[list] = [[], [], [], []]
-            for some, times in ((keys[c == 1], None), (keys[c > 1], c[c > 1].astype("<u4"))):
-                part = some // np.uint64(width)
-                cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(some)]
-                for i, j in zip(cuts, cuts[1:]):
-                    if i < j:
-                        for col, v in zip(cols, (int(part[i]), j - i, pack(some[i:j]), None if times is None else times[i:j].tobytes())):
-                            col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "size", "keys", "times"])
-
+        shingle, held, count = Shingler(n), np.empty(PACK, np.uint64), 0
         for b in pieces(batches):
             for s in map(shingle, b.column(0).to_pylist()):
-                held.append(s >> _KEY)
-                count += len(s)
-                if count >= PACK:
-                    yield packed()
-                    held, count = [], 0
+                while len(s):
+                    some, s = s[: PACK - count], s[PACK - count :]
+                    held[count : count + len(some)] = some >> _KEY
+                    count += len(some)
+                    if count == PACK:
+                        yield from packed(held, width)
+                        count = 0
         if count:
-            yield packed()
+            yield from packed(held[:count], width)
 
     def total(found: pa.Table) -> pa.Table:
-        sizes, keys, times = (found.column(c).to_pylist() for c in ("size", "keys", "times"))
-        e, c = counted(
-            np.concatenate([unpack(x, k) for x, k in zip(keys, sizes)]),
-            np.concatenate([np.ones(k, np.int64) if x is None else np.frombuffer(x, "<u4").astype(np.int64) for x, k in zip(times, sizes)]),
-        )
+        e, c = summed(found)
         e, c = e[c > least_count], c[c > least_count]
         return pa.table({"e": pa.array(e.astype(np.int64)), "k": pa.array(np.log2(c).astype(np.int8))})
 
@@ -384,6 +403,7 @@ def _members(nodes: DataFrame, opened: DataFrame) -> DataFrame:
     return nodes.join(opened.select(F.explode(F.array("g1", "g2")).alias("g")).distinct(), "g", "left_semi").select("id", "g")
 
 
+@small_batches
 def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id that links of likeness >= threshold reach).
 

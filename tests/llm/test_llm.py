@@ -7,14 +7,18 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, fingerprints, htmlmain, linededup, mixing, ngramjoin, pii, queries, tokencount, toxicity, urlfilter
-from palimpsest.llm.common import Scratch
+from palimpsest.llm.common import BATCH_BYTES, Scratch, small_batches
 from palimpsest.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -771,6 +775,44 @@ def test_common_elements_are_counted_over_all_texts(spark, monkeypatch, pack):
     assert [len(c) for c in ngramjoin._common_elements(docs_of(spark, []), 3, "text", Scratch(spark))] == [0, 0]
 
 
+def test_counting_takes_little_memory_besides_the_keys(monkeypatch):
+    rng = np.random.default_rng(3)
+    list(ngramjoin.packed(np.arange(9, dtype=np.uint64), 5))  # loads what Arrow loads at first use
+    for size, width, most in ((400_000, 2**48 // 62, 2**48), (5_000, 2**48 // 7, 2**48), (3_000, 50, 900), (1, 2**40, 2**48)):
+        packs = [rng.integers(0, most, size, dtype=np.uint64) for _ in range(3)]
+        packs[1][: size // 2] = packs[0][: size // 2]
+        want = collections.Counter(np.concatenate(packs).tolist())
+        tracemalloc.start()
+        found = [b for keys in packs for b in ngramjoin.packed(keys, width)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 3 * ngramjoin.SENT + 300_000  # the form before took 16.6 MB for the largest
+        found, got = pa.Table.from_batches(found), collections.Counter()
+        monkeypatch.setattr(ngramjoin, "SUMMED", max(1, size // 50))
+        for part in set(found.column("part").to_pylist()):
+            e, c = ngramjoin.summed(found.filter(pc.equal(found.column("part"), part)))
+            assert (e[1:] > e[:-1]).all() and (e // np.uint64(width) == part).all()
+            got.update(dict(zip(e.tolist(), c.tolist())))
+        assert got == want
+
+
+def test_near_duplicates_send_small_batches_to_python(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 400, 1, 1).select(F.repeat(F.col("id").cast("string"), 40_000).alias("text"))
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["n"])
+
+    @small_batches
+    def run(docs):
+        return spark.createDataFrame(docs.mapInArrow(largest, "n long").collect())
+
+    before = spark.conf.get(name, None)
+    assert run(wide).first()[0] < 2 * BATCH_BYTES < wide.mapInArrow(largest, "n long").first()[0]
+    assert spark.conf.get(name, None) == before
+    assert ngramjoin.near_duplicate_classes.__wrapped__
+
+
 def test_packed_keys():
     rng = random.Random(9)
     for keys in ([], [0], [2**48 - 1], [0, 2**48 - 1], range(300), sorted(rng.sample(range(2**48), 1000))):
