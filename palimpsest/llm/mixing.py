@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import WORD, fresh, text_or_empty
+from .common import WORD, fresh, local_rows, text_or_empty
 
 #: Weights by rank of the source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -139,7 +139,7 @@ def _planned(docs: DataFrame, weights, volume, repeats, blocks, shards, seed, id
     cut = T.StructType([T.StructField("h", T.LongType()), T.StructField("id", base.schema[id_col].dataType), T.StructField("size", T.LongType())])
     draw = T.StructType([T.StructField("pass", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("whole", T.BooleanType()), T.StructField("cut", cut)])
     schema = T.StructType([T.StructField(source, T.StringType()), T.StructField(at, T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField(drawn, T.ArrayType(draw))])
-    dealt = spark.createDataFrame(rows, schema)
+    dealt = local_rows(spark, rows, schema)
     taken = F.filter(drawn, lambda d: d["whole"] | (d["cut"].isNotNull() & (key <= d["cut"])))
     out = base.join(F.broadcast(dealt), F.col(source_col).eqNullSafe(F.col(source)) & (F.col(block) == F.col(at)), "left")
     return out.withColumn("draws", F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))).drop(hash_, block, source, at, drawn), float(sum(targets))
@@ -156,7 +156,7 @@ def _boundary_cuts(rows: DataFrame, names, part) -> dict[int, tuple | None]:
     if not wanted:
         return {}
     shift = 64 - EDGE_BITS
-    edge = spark.createDataFrame(wanted, "source string, block int, i int").withColumnsRenamed({"source": "s", "block": "b"})
+    edge = local_rows(spark, wanted, T.StructType.fromDDL("source string, block int, i int")).withColumnsRenamed({"source": "s", "block": "b"})
     rows = rows.join(F.broadcast(edge), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).select("i", "key", F.shiftright("key.h", shift).alias("top"))
     sums: dict[int, list] = {}
     for i, top, words in sorted(tuple(r) for r in rows.groupBy("i", "top").agg(F.sum("key.size")).collect()):  # sources times 2 ** EDGE_BITS at most
@@ -169,7 +169,7 @@ def _boundary_cuts(rows: DataFrame, names, part) -> dict[int, tuple | None]:
                 around.append((i, top, before, float(part[i][2])))
                 break
             before += words
-    near = spark.createDataFrame(around, "i int, top long, before long, rest double")
+    near = local_rows(spark, around, T.StructType.fromDDL("i int, top long, before long, rest double"))
     rows = rows.join(F.broadcast(near), ["i", "top"])
     run = F.col("before") + F.sum("key.size").over(W.partitionBy("i").orderBy("key"))
     best = rows.withColumn("gap", F.abs(run - F.col("rest"))).groupBy("i").agg(F.min(F.struct("gap", "key")).alias("m")).collect()

@@ -18,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, fingerprints, htmlmain, linededup, mixing, ngramjoin, pii, queries, tokencount, toxicity, urlfilter
-from palimpsest.llm.common import BATCH_BYTES, Scratch, small_batches
+from palimpsest.llm.common import ARROW_BYTES, BATCH_BYTES, Scratch, small_batches
 from palimpsest.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -813,6 +813,35 @@ def test_near_duplicates_send_small_batches_to_python(spark):
     assert ngramjoin.near_duplicate_classes.__wrapped__
 
 
+@pytest.fixture
+def batch_limit(spark):
+    """Sets and reads the session's limit, and puts the old one back."""
+    before = spark.conf.get(ARROW_BYTES, None)
+    spark.conf.unset(ARROW_BYTES)
+    yield lambda: spark.conf.get(ARROW_BYTES, None)
+    spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
+
+
+@pytest.mark.parametrize("job", ["drop_toxic", "mask_personal_data"])
+def test_frames_that_run_later_send_small_batches_too(spark, batch_limit, monkeypatch, job):
+    import corpus_pipeline
+
+    monkeypatch.setattr(toxicity, "fit", lambda *a: toxicity.Lexicon())
+    docs = spark.createDataFrame([(1, "some words", None, None, 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    run = (lambda: queries.QUERIES[job](spark, SF)) if job in queries.QUERIES else (lambda: getattr(corpus_pipeline, job)(spark, docs, SF))
+    run()
+    assert int(batch_limit()) == BATCH_BYTES
+    spark.conf.set(ARROW_BYTES, str(1 << 20))  # the session's own limit stays
+    run()
+    assert int(batch_limit()) == 1 << 20
+
+
+def test_the_mixture_starts_no_python_workers_for_its_plan(spark):
+    docs = spark.range(0, 300, 1, 4).select(F.col("id").alias("doc_id"), F.concat(F.lit("a few words "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))).alias("source"))
+    plan = mixing.draw_plan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
 def test_packed_keys():
     rng = random.Random(9)
     for keys in ([], [0], [2**48 - 1], [0, 2**48 - 1], range(300), sorted(rng.sample(range(2**48), 1000))):
