@@ -822,7 +822,7 @@ def batch_limit(spark):
     spark.conf.unset(ARROW_BYTES) if before is None else spark.conf.set(ARROW_BYTES, before)
 
 
-@pytest.mark.parametrize("job", ["drop_toxic", "mask_personal_data"])
+@pytest.mark.parametrize("job", ["drop_toxic", "mask_personal_data", "op7_html_main_text"])
 def test_frames_that_run_later_send_small_batches_too(spark, batch_limit, monkeypatch, job):
     import corpus_pipeline
 
