@@ -17,8 +17,9 @@
    that their element counts in BINS hash bins allow reaches that of a link.  Opened
    pairs are compared exactly, block against block, and give a spanning forest
    of links.
-5. Groups that share a widespread element are first compared with one of them.
-   Then groups are cut by the classes that these links give.  Parts of one class
+5. Groups that share a widespread element are first compared with one of them:
+   that with a member of the least share of elements that aren't common, since
+   of a text and its edited copies the text itself is alike to most.  Then groups are cut by the classes that these links give.  Parts of one class
    are not paired with each other and meet others as one, so a large class of
    near copies costs no pair for each two groups.  All other pairs follow.
 6. Connected components of the links give the classes.
@@ -205,12 +206,12 @@ def _is_in(values: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, n: int, t: Fraction, common, id_col: str, text_col: str) -> DataFrame:
-    """id, size, digest of the set, sketch, prefix under the final order, counts by hash bin."""
+    """id, size, digest of the set, sketch, how many elements of a thousand aren't common, prefix under the final order, counts by hash bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, (last, level) = Shingler(n), common.value
         for b in pieces(batches):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for s in map(shingle, b.column(1).to_pylist()):
                 p = prefix_length(len(s), t)
                 hot = _is_in(s >> _KEY, last)
@@ -219,11 +220,11 @@ def _signatures(docs: DataFrame, n: int, t: Fraction, common, id_col: str, text_
                     common_ones = s[hot]
                     prefix = np.concatenate([s[~hot], common_ones[np.argsort(level[np.searchsorted(last, common_ones >> _KEY)], kind="stable")]])[:p]
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                for c, v in zip(rows, (len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sketch(s), prefix.view(np.int64), bin_counts(s).tobytes())):
+                for c, v in zip(rows, (len(s), (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, sketch(s), 1000 - 1000 * int(hot.sum()) // max(1, len(s)), prefix.view(np.int64), bin_counts(s).tobytes())):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["id", "n", "d1", "d2", "sketch", "prefix", "bins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())))], names=["id", "n", "d1", "d2", "sketch", "own", "prefix", "bins"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, sketch long, prefix array<long>, bins binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, d1 long, d2 long, sketch long, own long, prefix array<long>, bins binary")
 
 
 def sketch(s: np.ndarray) -> int:
@@ -268,21 +269,21 @@ def _allowed(pairs: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def _listed(reps: DataFrame, t: Fraction) -> DataFrame:
-    """A row per prefix element that several representatives have: id, n, sketch, e, what its place leaves, and the element before it.
+    """A row per prefix element that several representatives have: id, n, sketch, own, e, what its place leaves, and the element before it.
 
-    Most elements are one representative's own.  A list of the others that is
+    own is how many of a thousand elements of the set aren't common.  Most elements are one representative's own.  A list of the others that is
     not too long goes to the workers, so the rest are never shuffled; a longer
     one is joined.
     """
     shared = Scratch(reps.sparkSession).write(reps.select(F.explode("prefix").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("e"), "shared")
     if not small_enough(shared, SHARED_LIST):
-        rows = reps.select("id", "n", "sketch", "prefix", F.posexplode("prefix").alias("pos", "e"))
-        return rows.select("id", "n", "sketch", "e", _rest(F.col("n"), F.col("pos"), t).alias("rest"), F.get("prefix", F.col("pos") - 1).alias("pred")).join(shared, "e").select("id", "n", "sketch", "e", "rest", "pred")
+        rows = reps.select("id", "n", "sketch", "own", "prefix", F.posexplode("prefix").alias("pos", "e"))
+        return rows.select("id", "n", "sketch", "own", "e", _rest(F.col("n"), F.col("pos"), t).alias("rest"), F.get("prefix", F.col("pos") - 1).alias("pred")).join(shared, "e").select("id", "n", "sketch", "own", "e", "rest", "pred")
     sent = reps.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column("e").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            prefixes = b.column(3)
+            prefixes = b.column(4)
             size = prefixes.value_lengths().to_numpy().astype(np.int64)
             e = prefixes.flatten().to_numpy()
             row = np.repeat(np.arange(len(size)), size)
@@ -290,10 +291,10 @@ def _listed(reps: DataFrame, t: Fraction) -> DataFrame:
             keep = np.flatnonzero(_is_in(e, sent.value))
             n = b.column(1).to_numpy()[row[keep]]
             before = pa.array(np.where(pos[keep] > 0, e[keep - 1], 0), mask=pos[keep] == 0)
-            cols = [b.column(0).take(pa.array(row[keep])), pa.array(n), b.column(2).take(pa.array(row[keep])), pa.array(e[keep]), pa.array(n * t.denominator - pos[keep] * (t.numerator + t.denominator)), before]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "sketch", "e", "rest", "pred"])
+            cols = [b.column(0).take(pa.array(row[keep])), pa.array(n), b.column(2).take(pa.array(row[keep])), b.column(3).take(pa.array(row[keep])), pa.array(e[keep]), pa.array(n * t.denominator - pos[keep] * (t.numerator + t.denominator)), before]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n", "sketch", "own", "e", "rest", "pred"])
 
-    return reps.select("id", "n", "sketch", "prefix").mapInArrow(run, "id long, n long, sketch long, e long, rest long, pred long")
+    return reps.select("id", "n", "sketch", "own", "prefix").mapInArrow(run, "id long, n long, sketch long, own long, e long, rest long, pred long")
 
 
 def _packs(docs: DataFrame, members: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
@@ -364,9 +365,9 @@ def _links(pairs: DataFrame, packs: DataFrame, t: Fraction) -> DataFrame:
 
 
 def _unions(members: DataFrame, *by: str) -> DataFrame:
-    """The element-group matrix: for the members that hold an element in a prefix their least and greatest size, the most that its place leaves, and the element before it if that is the same one in all."""
+    """The element-group matrix: for the members that hold an element in a prefix their least and greatest size, the most that its place leaves, the least own, and the element before it if that is the same one in all."""
     one = (F.count("pred") == F.count(F.lit(1))) & (F.min("pred") == F.max("pred"))
-    return members.groupBy("e", *by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.when(one, F.min("pred")).alias("pred"))
+    return members.groupBy("e", *by).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("rest").alias("rest"), F.min("own").alias("own"), F.when(one, F.min("pred")).alias("pred"))
 
 
 def _side(matrix: DataFrame, k: int) -> DataFrame:
@@ -429,12 +430,12 @@ def near_duplicate_classes(docs: DataFrame, *, n: int = 5, threshold: str = "0.8
     nodes = listed.select("id", "sketch").distinct()
     parts = nodes.groupBy("sketch").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("k"))
     nodes = scratch.write(nodes.join(parts, "sketch").select("id", "sketch", F.xxhash64("sketch", F.pmod(F.xxhash64("id"), "k")).alias("g")), "groups")
-    held = listed.select("e", "id", "sketch", F.col("n").alias("lo"), F.col("n").alias("hi"), "rest", "pred")
+    held = listed.select("e", "id", "sketch", F.col("n").alias("lo"), F.col("n").alias("hi"), "rest", "own", "pred")
     counted = reps.select("id", "sketch", "bins")
 
-    # First only inside groups, and between the groups of a widespread element and the first of them.
+    # First only inside groups, and between the groups of a widespread element and the one of them with the least own.
     matrix = scratch.write(_unions(held.join(nodes, ["id", "sketch"]), "g"), "unions")
-    spread = matrix.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("g", "lo", "hi", "rest", "pred")).alias("first")).where(F.col("c") > SPREAD)
+    spread = matrix.groupBy("e").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("own", "g", "lo", "hi", "rest", "pred")).alias("first")).where(F.col("c") > SPREAD)
     met = _side(matrix, 2).join(spread.select("e", *[F.col(f"first.{c}").alias(f"{c}1") for c in ("g", "lo", "hi", "rest", "pred")]), "e").where(F.col("g1") != F.col("g2"))
     bins = scratch.write(_group_bins(counted.join(nodes, ["id", "sketch"])), "bins")
     within = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1).select(F.col("g").alias("g1"), F.col("g").alias("g2"))

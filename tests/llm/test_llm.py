@@ -762,6 +762,31 @@ def test_jaccard_with_common_passages(spark, monkeypatch):
         assert got == brute_classes(pairs, n, num, 100)
 
 
+@pytest.mark.parametrize("listed", [10**6, 0])
+def test_copies_of_one_text_meet_it_first(spark, monkeypatch, listed):
+    """Edited copies that are alike to their text more than to each other leave few pairs of groups to the second pass."""
+    monkeypatch.setattr(ngramjoin, "COMMON", 6)
+    monkeypatch.setattr(ngramjoin, "SHARED_LIST", listed)
+    rng, made, write = random.Random(21), {}, Scratch.write
+    base = [f"w{k}" for k in range(150)]
+    pairs = [(900, " ".join(base))]
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(len(w)), 3):
+            w[k] = f"own{i}x{k}"
+        pairs.append((i, " ".join(w)))
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    got = {i: (s, c) for i, s, c in rows(ngramjoin.near_duplicate_classes(docs_of(spark, pairs)), "doc_id", "n_shingles", "component_id")}
+    assert got == brute_classes(pairs, 5, 80, 100)
+    assert made["met"] + made["opened"] < 2 * len(pairs)
+
+
 @pytest.mark.parametrize("pack", [40, 10**6])
 def test_common_elements_are_counted_over_all_texts(spark, monkeypatch, pack):
     monkeypatch.setattr(ngramjoin, "COMMON", 3)
